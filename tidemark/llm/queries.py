@@ -9,18 +9,40 @@ from .common import written
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources, n_words
+from .ngram_join import ngram_join
+from .packing import pack
+from .token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("n")), "sizes")
     return mix_sources(sized, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -33,7 +55,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
+    "op3_token_files": op3_token_files,
+    "op5_packing": op5_packing,
     "op8_line_dedup": op8_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
