@@ -19,6 +19,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WS}]+", " ")
 
 
+def first_of_equals(rows: DataFrame) -> DataFrame:
+    """Adds group_size and `first` (none, doc_id, row: the least of the group, null doc_ids last) to a written table with doc_id, row, digest and h, a 64-bit hash of the digest."""
+    n = rows.count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    maybe = frequent(rows, "h", n)
+    winners = (
+        rows.join(F.broadcast(maybe), "h", "left_semi")
+        .groupBy("digest")
+        .agg(F.count("*").alias("group_size"), first)
+        .where(F.col("group_size") * HOT_KEYS > n)
+    )
+    winners = written(winners, "winners")
+    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.count("*").alias("group_size"), first)
+    return rows.join(F.broadcast(winners), "digest").unionByName(rest.join(groups, "digest"))
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -34,20 +51,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         ).withColumn("h", F.xxhash64("digest")),
         "digests",
     )
-    n = rows.count()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    maybe = frequent(rows, "h", n)
-    winners = (
-        rows.join(F.broadcast(maybe), "h", "left_semi")
-        .groupBy("digest")
-        .agg(F.count("*").alias("group_size"), first)
-        .where(F.col("group_size") * HOT_KEYS > n)
-    )
-    winners = written(winners, "winners")
-    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    groups = rest.groupBy("digest").agg(F.count("*").alias("group_size"), first)
-    found = rows.join(F.broadcast(winners), "digest").unionByName(rest.join(groups, "digest"))
-    return found.select(
+    return first_of_equals(rows).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
