@@ -13,6 +13,7 @@ from .line_dedup import line_dedup
 from .mixing import mix_sources, n_words
 from .ngram_join import ngram_join
 from .packing import pack
+from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
 from .warc import chunked, read_archives, records, write_archives
 
@@ -52,6 +53,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, length=2048)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint_neighbours(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -79,6 +85,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
