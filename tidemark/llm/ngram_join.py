@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import Words, mix, signed, text_slices, written
 
-BLOCK_GRAMS, BLOCK_TEXTS = 1 << 20, 2048
+BLOCK_GRAMS, BLOCK_TEXTS = 1 << 19, 1024
 
 
 def choose_bands(threshold: float, recall: float, most: int) -> tuple[int, int]:
     """(bands, rows) of at most `most` MinHash values: the most rows at which a pair at the threshold meets with the wanted probability."""
-    fit = [(r, math.ceil(math.log(1 - recall) / math.log(1 - threshold**r))) for r in range(1, most + 1)]
+    fit = [(r, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**r)))) for r in range(1, most + 1)]
     rows, bands = max((r, b) for r, b in fit if r * b <= most)
     return bands, rows
 
@@ -85,7 +85,7 @@ def _signatures(width: int, bands: int, rows: int):
     return run
 
 
-def _gram_sets(width: int):
+def _gram_sets(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_slices(batch.column(2)):
@@ -93,7 +93,10 @@ def _gram_sets(width: int):
                 ends = np.searchsorted(owner, np.arange(j - i + 1))
                 sets = [np.unique(values[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
                 part = batch.slice(i, j - i)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["cid", "met", "grams"])
+                at = part.column(1).flatten()
+                canon = np.full((j - i, bands), -1, np.int64)
+                canon[np.repeat(np.arange(j - i), part.column(1).value_lengths().to_numpy()), at.field("b").to_numpy()] = at.field("bid").to_numpy()
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([c.tobytes() for c in canon], pa.binary()), pa.array(sets, pa.binary())], ["cid", "met", "canon", "grams"])
 
     return run
 
@@ -119,31 +122,31 @@ def overlaps(sets: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
     return total
 
 
-def verified(group: list[tuple], threshold: float, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's block pair, rows (bid, one, two, mine, cid, met, grams): the cids that have links, their links counted here, and the least cid of their part of the graph."""
+def verified(group: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's block pair, rows (bid, one, two, mine, cid, canon, grams): the cids that have links, their links counted here, and the least cid of their part of the graph."""
     bid, one, two = group[0][:3]
     by_cid = {row[4]: row for row in group}  # a text that comes twice counts once
     cids = np.array(sorted(by_cid))
     rows = [by_cid[c] for c in cids.tolist()]
     sets = [np.frombuffer(r[6], np.uint64) for r in rows]
     both = overlaps(sets) if len(rows) > 1 else np.zeros((1, 1))
-    sizes = np.array([len(s) for s in sets], np.float64)
-    like = np.triu(both >= threshold * (sizes[:, None] + sizes - both) - 1e-6, 1)
-    if one != two:
-        mine = np.array([r[3] for r in rows])
-        like &= mine[:, None] != mine
-    p, q = np.nonzero(like)
+    sizes, mine = np.array([len(s) for s in sets], np.float64), np.array([r[3] for r in rows])
+    found = []
+    for k in range(len(rows)):  # inter >= t * (a + b - inter), a row of the matrix at a time
+        like = both[k, k + 1 :] * (1 + threshold) >= threshold * (sizes[k] + sizes[k + 1 :]) - 1e-6
+        if one != two:
+            like &= mine[k + 1 :] != mine[k]
+        found.append(np.flatnonzero(like).astype(np.int32) + np.int32(k + 1))
+    p, q = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in found]), np.concatenate(found)
+    del both
     if not len(p):
         return (np.zeros(0, np.int64),) * 3
-    canon = np.full((len(rows), bands), -1, np.int64)
-    for k, r in enumerate(rows):
-        for m in r[5]:
-            canon[k, m["b"]] = m["bid"]
+    canon = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(len(rows), -1)
     counted = np.zeros(len(p), bool)
-    for k in range(0, len(p), 1 << 18):
-        a, b = canon[p[k : k + (1 << 18)]], canon[q[k : k + (1 << 18)]]
+    for k in range(0, len(p), 1 << 15):
+        a, b = canon[p[k : k + (1 << 15)]], canon[q[k : k + (1 << 15)]]
         first = ((a == b) & (a >= 0)).argmax(1)
-        counted[k : k + (1 << 18)] = a[np.arange(len(a)), first] == bid
+        counted[k : k + (1 << 15)] = a[np.arange(len(a)), first] == bid
     n_links = np.bincount(p[counted], minlength=len(rows)) + np.bincount(q[counted], minlength=len(rows))
     label = np.arange(len(rows))
     while True:
@@ -159,12 +162,12 @@ def verified(group: list[tuple], threshold: float, bands: int) -> tuple[np.ndarr
     return cids[some], n_links[some], cids[label[some]]
 
 
-def _verify(threshold: float, bands: int):
+def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple]]:
             held: list[tuple] = []
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in (r for k in range(0, len(batch), 500) for r in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns), strict=True)):
                     if held and row[:3] != held[0][:3]:
                         yield held
                         held = []
@@ -175,7 +178,7 @@ def _verify(threshold: float, bands: int):
         found: list[tuple] = []
         n = 0
         for group in groups():
-            part = verified(group, threshold, bands)
+            part = verified(group, threshold)
             if len(part[0]):
                 found.append(part)
                 n += len(part[0])
@@ -210,7 +213,7 @@ def _key(text: Column, doc_id: Column) -> list[Column]:
     return [doc_id.cast("long").alias("doc_id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(11), body).alias("h2")]
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, most_hashes: int = 128, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, most_hashes: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_copies, first (and h1, h2, hashes of the text).
 
     Two different texts are linked if the sets of their runs of `width` words (unchanged, parted by ASCII white
@@ -232,11 +235,11 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall:
     wanted = met.join(classes.select("cid", "who.doc_id", "who.h1", "who.h2"), "cid")
     texts = docs.select(*_key(F.col(text), F.col(doc_id)), F.coalesce(text, F.lit("")).alias("text"))
     same = F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.h1") == F.col("t.h1")) & (F.col("w.h2") == F.col("t.h2"))
-    sets = texts.alias("t").join(wanted.alias("w"), same).select("w.cid", "w.met", "t.text").mapInArrow(_gram_sets(width), "cid long, met array<struct<b:int,bid:long,blocks:int>>, grams binary")
+    sets = texts.alias("t").join(wanted.alias("w"), same).select("w.cid", "w.met", "t.text").mapInArrow(_gram_sets(width, bands), "cid long, met array<struct<b:int,bid:long,blocks:int>>, canon binary, grams binary")
     own = lambda x: F.pmod(F.xxhash64("cid"), x["blocks"]).cast("int")
     ways = F.flatten(F.transform(F.array_distinct(F.transform("met", lambda m: F.struct(m["bid"].alias("bid"), m["blocks"].alias("blocks")))), lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda j: F.struct(x["bid"].alias("bid"), F.least(own(x), j).alias("one"), F.greatest(own(x), j).alias("two"), own(x).alias("mine")))))
-    sent = sets.select(F.explode(ways).alias("w"), "cid", "met", "grams").select("w.*", "cid", "met", "grams")
-    parts = sent.repartition("bid", "one", "two").sortWithinPartitions("bid", "one", "two").mapInArrow(_verify(threshold, bands), "cid long, links long, least long")
+    sent = sets.select(F.explode(ways).alias("w"), "cid", "canon", "grams").select("w.*", "cid", "canon", "grams")
+    parts = sent.repartition("bid", "one", "two").sortWithinPartitions("bid", "one", "two").mapInArrow(_verify(threshold), "cid long, links long, least long")
     parts = written(parts, "links")
     links = parts.groupBy("cid").agg(F.sum("links").alias("n_links"))
     roots = components(parts.select(F.col("cid").alias("u"), F.col("least").alias("v")))

@@ -96,9 +96,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .tokens import Encoder, encoded
+        from .tokens import encoded, encoder_of
 
-        encoder, packer, end = Encoder(tokenizer), SumOfSquares(length), np.array([end_id], "<u4").tobytes()
+        encoder, packer, end = encoder_of(tokenizer), SumOfSquares(length), np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
         schema = pa.schema([*((c, pa.int64()) for c in FIELDS), *([("ids", pa.binary())] if with_ids else [])])
 

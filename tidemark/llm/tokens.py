@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 #: White space other than blank and line feed.
 ODD_SPACES = "\u0009\u000d\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -60,6 +61,12 @@ class Encoder:
             yield b"".join(map(get, pieces))
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder a Python worker, whose tasks after the first find its pieces known."""
+    return Encoder(path)
+
+
 def encoded(encoder: Encoder, texts: list[str | None], at_once: int = 512) -> Iterator[bytes]:
     """Ids of each text in order, null as empty, a bounded number of texts at a time."""
     for i in range(0, len(texts), at_once):
