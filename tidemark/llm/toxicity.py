@@ -172,20 +172,23 @@ def learned_lexicon(sample: DataFrame, least: int = 6, different: int = 3, most:
     if not bad or not good:
         return lexicon
     words = sample.withColumn("doc", F.monotonically_increasing_id()).select("doc", "toxic", F.explode("w").alias("word"))
-    pos, neg = F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc"))), F.count_distinct(F.when(F.col("toxic") == 0, F.col("doc")))
+    docs = [F.count(F.when(F.col("toxic") == k, 1)).alias(c) for k, c in ((1, "pos"), (0, "neg"))]
     weight = F.log((F.col("pos") + 0.5) / (bad + 1)) - F.log((F.col("neg") + 0.5) / (good + 1))
 
-    def strong(rows: DataFrame, different: int, odds: float) -> dict:
-        counts = rows.groupBy("x").agg(pos.alias("pos"), neg.alias("neg"), F.count_distinct("word").alias("words"))
-        found = counts.withColumn("weight", weight).where((F.col("pos") >= least) & (F.col("words") >= different) & (F.col("weight") >= odds))
+    def strong(counts: DataFrame, odds: float) -> dict:
+        found = counts.withColumn("weight", weight).where((F.col("pos") >= least) & (F.col("weight") >= odds))
         return {r["x"]: r for r in found.orderBy(F.desc("pos"), "x").limit(most).collect()}
 
-    prefixes = F.transform(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word"))), lambda k: F.substring(F.col("word"), F.lit(1), k))
-    pure = strong(words.where(F.length("word") >= 4).withColumn("x", F.explode(prefixes)), different, stem_odds)
+    # a word stands once in a document's list; a stem may come from several words of one document
+    by_word = written(words.groupBy(F.col("word").alias("x")).agg(*docs), "word_counts")
+    prefixes = F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word"))), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("x")
+    several = by_word.withColumnRenamed("x", "word").where(F.length("word") >= 4).select(prefixes, "pos").groupBy("x").agg(F.count("*").alias("words"), F.sum("pos").alias("all")).where((F.col("words") >= different) & (F.col("all") >= least)).select("x")
+    stems = words.where(F.length("word") >= 4).select("doc", "toxic", prefixes).distinct().join(several, "x", "left_semi").groupBy("x").agg(*docs)
+    pure = strong(stems, stem_odds)
     # the longest stem that still stands for nearly all of what its shorter ones stand for
     kept = {x: r for x, r in pure.items() if not any(y[:-1] == x and q["pos"] >= 0.9 * r["pos"] for y, q in pure.items() if len(y) == len(x) + 1)}
     lexicon.stems = {x: float(r["weight"]) for x, r in kept.items() if not any(x[:k] in kept for k in range(4, len(x)))}
-    lexicon.words |= {x: float(r["weight"]) for x, r in strong(words.where(F.length("word") >= 3).withColumn("x", F.col("word")), 1, odds).items()}
+    lexicon.words |= {x: float(r["weight"]) for x, r in strong(by_word.where(F.length("x") >= 3), odds).items()}
     return lexicon
 
 
