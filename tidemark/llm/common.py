@@ -131,7 +131,7 @@ class Words:
         return mix(total[at]), at, text[at]
 
 
-def text_slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of a string array of about `most` bytes (a longer text is a run of its own): first and last index, bytes, offsets from 0. Null counts as empty."""
     texts = texts.cast(pa.large_string()) if pa.types.is_string(texts.type) else texts
     texts = texts.fill_null("") if texts.null_count else texts

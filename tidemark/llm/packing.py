@@ -104,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, w
 
         def windows() -> Iterator[list]:
             for batch in batches:
-                for doc, ids in zip(batch.column(0).to_pylist(), encoded(encoder, batch.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), encoded(encoder, batch.column(1)), strict=True):
                     yield from packer.add(doc, np.frombuffer(ids + end, "<u4"))
             yield from packer.chained(True)
 

@@ -131,7 +131,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, l
 
         writer, first, encoder, end = None, None, None, np.array([] if end_id is None else [end_id], "<u4").tobytes()
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(encoder := encoder_of(tokenizer), batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(encoder := encoder_of(tokenizer), batch.column(1)), strict=True):
                 if writer is None:
                     kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
                     writer, first = SequenceWriter(f"{folder}/{uuid.uuid4().hex}.arrow", length, per_batch, kind), doc

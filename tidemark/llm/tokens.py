@@ -14,6 +14,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+
 #: White space other than blank and line feed.
 ODD_SPACES = "\u0009\u000d\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_ASCII = tuple(c for c in ODD_SPACES if c < "\x80")
@@ -36,7 +38,7 @@ def word_pieces(text: str) -> list[str]:
 class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers (of a little-endian machine). At most `keep` pieces are remembered."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,7 +69,7 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(encoder: Encoder, texts: list[str | None], at_once: int = 512) -> Iterator[bytes]:
+def encoded(encoder: Encoder, texts: pa.Array, at_once: int = 128) -> Iterator[bytes]:
     """Ids of each text in order, null as empty, a bounded number of texts at a time."""
     for i in range(0, len(texts), at_once):
-        yield from encoder.ids(t or "" for t in texts[i : i + at_once])
+        yield from encoder.ids(t or "" for t in texts.slice(i, at_once).to_pylist())
