@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("windows",)
+MODULES: tuple[str, ...] = ("windows", "joins")
 
 
 def _joined(what: str) -> dict:

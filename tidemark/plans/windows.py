@@ -32,7 +32,7 @@ def rolling_asof_end(spark, d):
 
 def rolling_ratio_rate(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("day")).agg(F.sum(cents("l_extendedprice")).alias("v"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
-    return lines.select("l_suppkey", F.col("day").cast("string").alias("day"), places(W.lagged_ratio("l_suppkey", ["day"], "v", "q", 10, 90.0), 6).alias("rate"))
+    return lines.select("l_suppkey", F.col("day").cast("string").alias("day"), F.floor(W.lagged_ratio("l_suppkey", ["day"], "v", "q", 10, 90.0)).alias("rate"))
 
 
 def team_two_sided_rolling(spark, d):
@@ -156,7 +156,7 @@ ORACLE_SQL = {
     "lagged_rolling_means": f"{O} SELECT o_orderkey, o_custkey, " + ", ".join(f"round(avg(v) OVER ({BEFORE} {w} PRECEDING AND 1 PRECEDING), 4) AS v_r{w}" for w in (3, 5, 10)) + " FROM o",
     "rolling_asof_end": f"{O}, r AS (SELECT o_custkey, v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM o) SELECT o_custkey, " + ", ".join(f"round(avg(v) FILTER (WHERE n <= {w}), 4) AS v_r{w}" for w in (3, 5, 10)) + " FROM r GROUP BY o_custkey",
     "rolling_ratio_rate": """WITH l AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS day, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS v, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY ALL)
-SELECT l_suppkey, CAST(day AS VARCHAR) AS day, round(CAST(sum(v) OVER w AS DOUBLE) / nullif(sum(q) OVER w, 0) * 90.0, 6) AS rate FROM l WINDOW w AS (PARTITION BY l_suppkey ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
+SELECT l_suppkey, CAST(day AS VARCHAR) AS day, CAST(floor(CAST(sum(v) OVER w AS DOUBLE) / nullif(sum(q) OVER w, 0) * 90.0) AS BIGINT) AS rate FROM l WINDOW w AS (PARTITION BY l_suppkey ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""",
     "team_two_sided_rolling": """WITH m AS (SELECT c_nationkey AS home, s_nationkey AS away, CAST(l_shipdate AS DATE) AS day, CAST(l_quantity AS BIGINT) AS q
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
 t AS (SELECT home AS team, day, q AS gf, 0 AS ga FROM m UNION ALL SELECT away, day, 0, q FROM m),
