@@ -19,7 +19,7 @@ from .common import _BYTE, _powers, mix, written
 
 WANTED = 48
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-SLICE = 2 << 20
+SLICE = 1 << 19
 PAIR = "doc_id long, n_chars long, edited_sha256 string, k int, s1 string, s2 string, ek int, e1 string, e2 string, nk int, n1 string, n2 string"
 
 
@@ -107,7 +107,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([*part.columns, *(pa.nulls(part.num_rows, f.type) for f in edge), pa.array([False] * part.num_rows)], [*names, *edge.names, "edge"])
 
     for batch in batches:
-        for doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc in (d for k in range(0, len(batch), 200) for d in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True)):
             first = first or doc
             held.append(doc)
             size += len(doc[1])

@@ -83,7 +83,7 @@ def _write(folder: str, date: str, archive_bytes: int):
             sink, written_bytes, n_records = None, 0, 0
 
         for batch in batches:
-            for page_id, url, n_bytes, told, revisit, refers_to, n_chunks, chunk_no, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, n_bytes, told, revisit, refers_to, n_chunks, chunk_no, chunk in (r for k in range(0, len(batch), 200) for r in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True)):
                 if chunk_no == 0:
                     if written_bytes >= archive_bytes:
                         close()
