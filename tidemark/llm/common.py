@@ -110,12 +110,19 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)  # words of text i: first[i] to first[i + 1]
         self.counts = np.diff(self.first)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        ups, downs = _powers(len(self.data) + 1, which)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[which][self.data] * ups[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * downs[self.starts] + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, which: int = 0, at_once: int = 1 << 18) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, from running sums over about `at_once` bytes at a time."""
+        out, k = np.empty(len(self.starts), np.uint64), 0
+        while k < len(out):
+            j = max(k + 1, int(np.searchsorted(self.ends, self.starts[k] + at_once, "right")))
+            a, b = int(self.starts[k]), int(self.ends[j - 1])
+            ups, downs = _powers(b - a + 1, which)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_BYTE[which][self.data[a:b]] * ups[: b - a], out=sums[1:])
+            starts, ends = self.starts[k:j] - a, self.ends[k:j] - a
+            out[k:j] = mix((sums[ends] - sums[starts]) * downs[starts] + (ends - starts).astype(np.uint64))
+            k = j
+        return out
 
     def windows(self, hashes: np.ndarray, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each run of width words in one text: its hash, its first word, its text."""

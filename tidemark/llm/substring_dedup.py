@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from .common import Words, mix, scratch_path, text_slices, written
 
 ANCHOR = 5
-BLOCK_BYTES, TASK_BYTES, RANGE_BYTES = 4 << 20, 32 << 20, 64 << 20
+BLOCK_BYTES, TASK_BYTES, RANGE_BYTES, MOST_TASKS = 1 << 20, 16 << 20, 16 << 20, 50_000
 LAST = np.iinfo(np.int64).max  # the doc_id of documents without one: they come last
 
 
 def block_table(docs: DataFrame, total: int) -> DataFrame:
     """(block, docs): a block's doc_ids and texts, ascending by doc_id, as one Arrow stream. Bucketed by block in the shared folder."""
     spark = docs.sparkSession
-    n_blocks, n_tasks = max(1, total // BLOCK_BYTES), max(1, total // TASK_BYTES)
+    n_blocks, n_tasks = max(1, total // BLOCK_BYTES), min(MOST_TASKS, max(1, total // TASK_BYTES))
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +209,7 @@ def anchors_again(packed: list[bytes], several: list[bytes]) -> np.ndarray:
     keys = np.zeros((len(raw), 8), np.uint8)
     keys[:, 2:] = raw
     keys = keys.view(">u8").ravel().astype(np.uint64)
+    del raw
     local = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(p) // 6) for p, s in zip(packed, several, strict=True)]).astype(bool)
     order = np.argsort(keys, kind="stable")
     same = np.diff(keys[order]) == 0
