@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("windows", "joins")
+MODULES: tuple[str, ...] = ("windows", "joins", "metrics")
 
 
 def _joined(what: str) -> dict:
