@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
@@ -40,9 +40,8 @@ def records(pages: DataFrame, min_bytes: int = 100, payload: str = "html", page_
     again = (F.col("row") != F.col("first.row")) & (F.col("n_bytes") >= min_bytes)
     # rows equal in all columns are told apart by their order alone, so they share a list of roles
     lists = roles.groupBy("k1", "k2").agg(F.collect_list(F.struct("n_bytes", "digest", again.alias("again"), F.col("first.doc_id").alias("refers_to"))).alias("roles"))
-    one = base.join(lists, ["k1", "k2"])
-    alone = one.where(F.size("roles") == 1).unionByName(one.where(F.size("roles") > 1).dropDuplicates(["k1", "k2"]))
-    named = alone.select("page_id", "url", "payload", F.explode("roles").alias("r"))
+    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
+    named = base.join(lists, ["k1", "k2"]).withColumn("_n", place).select("page_id", "url", "payload", F.element_at("roles", F.col("_n")).alias("r"))
     return named.select("page_id", "url", F.when(F.col("r.again"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "r.n_bytes", "r.digest", F.col("r.again").alias("revisit"), F.when(F.col("r.again"), F.col("r.refers_to")).alias("refers_to"))
 
 
