@@ -36,7 +36,11 @@ def word_pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers (of a little-endian machine). At most `keep` pieces are remembered."""
+    """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers (of a little-endian machine).
+
+    Pieces are remembered in two generations of about `keep`: a full one becomes the older, whose
+    pieces come back as they are met again, so frequent pieces are never encoded twice.
+    """
 
     def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,14 +50,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = byte_pieces if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" else word_pieces
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
-        known, cut = self.known, [self.pieces(t) for t in texts]
-        new = list(set().union(*cut).difference(known))
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = list(set().union(*cut))
+        cut = [self.pieces(t) for t in texts]
+        used = set().union(*cut)
+        missing = used.difference(self.known)
+        if len(self.known) + len(missing) > self.keep:
+            self.older, self.known, missing = self.known, {}, used
+        known, older = self.known, self.older
+        new = []
+        for piece in missing:
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                new.append(piece)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
