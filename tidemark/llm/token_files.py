@@ -115,11 +115,12 @@ def documents_in(path: str) -> Iterator[tuple[int | None, int, int, int]]:
                 yield doc_id, begin, n, crc
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, length: int = 2048, per_batch: int = 64, folder: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, length: int = 2048, per_batch: int = 64, folder: str | None = None, keep: int = 600_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Writes the shards and returns their manifest with `start`, the ids before each shard.
 
     Order: ascending doc_id, null first, repeated doc_ids by a hash of the text. Null and empty texts
-    have the end id alone. An empty table has no shard, and so no row.
+    have the end id alone. An empty table has no shard, and so no row. A Python worker remembers the ids of
+    about twice `keep` pieces, some 200 bytes each.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -131,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, l
 
         writer, first, encoder, end = None, None, None, np.array([] if end_id is None else [end_id], "<u4").tobytes()
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(encoder := encoder_of(tokenizer), batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(encoder := encoder_of(tokenizer, keep), batch.column(1)), strict=True):
                 if writer is None:
                     kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
                     writer, first = SequenceWriter(f"{folder}/{uuid.uuid4().hex}.arrow", length, per_batch, kind), doc

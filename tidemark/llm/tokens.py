@@ -76,9 +76,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, keep: int = 300_000) -> Encoder:
     """One encoder a Python worker, whose tasks after the first find its pieces known."""
-    return Encoder(path)
+    return Encoder(path, keep)
 
 
 def encoded(encoder: Encoder, texts: pa.Array, at_once: int = 128) -> Iterator[bytes]:
