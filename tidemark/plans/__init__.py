@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("windows", "joins", "metrics")
+MODULES: tuple[str, ...] = ("windows", "joins", "metrics", "decisions")
 
 
 def _joined(what: str) -> dict:
