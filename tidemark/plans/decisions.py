@@ -51,8 +51,8 @@ def threshold_gate(spark, d):
 
 
 def token_resolution(spark, d):
-    """Parts against a list of the same names of which every second has its words turned round."""
-    p = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name")
+    """Parts, named with their keys, against a list of the same names of which every second has its words turned round."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), F.concat_ws(" ", "p_name", "p_partkey").alias("p_name"))
     left = p.select(F.col("p_partkey").alias("source_id"), normalised_name("p_name").alias("name"))
     turned = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.array_join(F.reverse(F.split("p_name", " ")), " "))
     right = p.select((F.col("p_partkey") + 1_000_000).alias("code"), normalised_name(turned).alias("name"))
@@ -122,7 +122,7 @@ WITH p AS (SELECT CAST(user_id AS BIGINT) AS user_id, sum(CASE WHEN event_type =
 SELECT user_id, CASE WHEN share >= 0.25 THEN 'act' WHEN share >= 0.1875 THEN 'near' ELSE 'hold' END AS decision FROM p""",
     "token_resolution": """
 WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n,
-  trim(regexp_replace(lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE array_to_string(list_reverse(string_split(p_name, ' ')), ' ') END), '[^a-z0-9]+', ' ', 'g')) AS m FROM part),
+  trim(regexp_replace(lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE array_to_string(list_reverse(string_split(p_name, ' ')), ' ') END), '[^a-z0-9]+', ' ', 'g')) AS m FROM (SELECT p_partkey, concat_ws(' ', p_name, p_partkey) AS p_name FROM part)),
 l1 AS (SELECT n AS k, min(id) AS source_id FROM p WHERE n <> '' GROUP BY n HAVING count(*) = 1), r1 AS (SELECT m AS k, min(id) + 1000000 AS code FROM p WHERE m <> '' GROUP BY m HAVING count(*) = 1),
 a AS (SELECT source_id, code FROM l1 JOIN r1 USING (k)),
 l2 AS (SELECT array_to_string(list_sort(list_distinct(string_split(n, ' '))), ' ') AS k, min(id) AS source_id FROM p WHERE n <> '' AND id NOT IN (SELECT source_id FROM a) GROUP BY k HAVING count(*) = 1),
