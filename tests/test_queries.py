@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import joins, windows
+from tidemark.operators import joins, metrics, windows
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
@@ -72,3 +72,16 @@ def test_prior_does_not_see_its_own_slot(spark):
     df = spark.createDataFrame([("a", "t", 1, 1, 1), ("b", "t", 1, 0, 1), ("a", "t", 2, 1, 1)], "e string, g string, s int, v int, n int")
     got = {(r.e, r.s): r.rate for r in windows.shrunk_ratio(df, "e", "g", "s", "v", "n", 2.0).collect()}
     assert got == {("a", 1): None, ("b", 1): None, ("a", 2): pytest.approx((1 + 2 * 0.5) / 3)}
+
+
+def test_p_best_splits_ties_and_keeps_losers(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 4), ("b", 4, 0), ("b", 5, 1), ("c", 6, 1), ("c", 7, None)], "g string, k int, v int")
+    got = {r.k: r.p_best for r in metrics.p_best(df, "g", "k", lambda draw: F.col("v") + F.when((F.col("k") == 4) & (draw < 500), 9).otherwise(0)).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.0, 4: 0.25, 5: 0.75, 6: None, 7: None}
+
+
+def test_ladder_p_best_gives_every_customer_a_share_of_2000_draws(spark, sf):
+    rows = QUERIES["ladder_p_best"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert sum(r.p_best for r in rows) == pytest.approx(len({r.c_mktsegment for r in rows}), abs=1e-5)
+    assert any(0 < r.p_best < 1 / 40 for r in rows)

@@ -139,7 +139,14 @@ def mc_p_best(spark, d):
     return best.groupBy("c_mktsegment", F.col("m.c_custkey").alias("c_custkey")).agg((F.count(F.lit(1)) / 40.0).alias("p_best"))
 
 
-QUERIES = {f.__name__: f for f in (stratified_errors, reliability_bins, brier_logloss, cumulative_metrics, sigma_grouping_sets, empirical_cdf_by_type, weighted_ownership_se, share_of_group_max, first_change_latency, confusion_last_row, ols_slope, margin_sigma_fallback, softmax_threats, rule_table_score, convex_blend, availability_cascade, devig_normalise, poisson_tail, winsor_minmax, mc_p_best)}
+def ladder_p_best(spark, d):
+    """How often each customer has its segment's best noisy balance, over the reference's 2000 draws; draws depend on keys alone."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", cents("c_acctbal").alias("b"))
+    noisy = lambda draw: F.col("b") + F.floor(hash_uniform(F.col("c_custkey"), draw) * 200000)
+    return M.p_best(c, "c_mktsegment", "c_custkey", noisy).select("c_mktsegment", "c_custkey", places("p_best", 8).alias("p_best"))
+
+
+QUERIES = {f.__name__: f for f in (stratified_errors, reliability_bins, brier_logloss, cumulative_metrics, sigma_grouping_sets, empirical_cdf_by_type, weighted_ownership_se, share_of_group_max, first_change_latency, confusion_last_row, ols_slope, margin_sigma_fallback, softmax_threats, rule_table_score, convex_blend, availability_cascade, devig_normalise, poisson_tail, winsor_minmax, mc_p_best, ladder_p_best)}
 
 P_ = "WITH s AS (SELECT least(n_chars / 20000.0, 1.0)::DOUBLE AS p, quality::BIGINT AS y FROM documents JOIN labels USING (doc_id))"
 L_ = "WITH l AS (SELECT l_orderkey, l_suppkey, l_partkey, l_returnflag, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS v, CAST(round(l_discount * 100) AS BIGINT) AS disc FROM lineitem)"
@@ -172,4 +179,10 @@ SELECT coalesce(bucket, 'all') AS bucket, count(*) AS n, round(sqrt(avg(e * e)),
 n AS (SELECT *, b + CAST(floor(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 200000) AS BIGINT) AS s FROM c),
 m AS (SELECT c_mktsegment, draw, c_custkey FROM n QUALIFY row_number() OVER (PARTITION BY c_mktsegment, draw ORDER BY s DESC, c_custkey DESC) = 1)
 SELECT c_mktsegment, c_custkey, CAST(count(*) AS DOUBLE) / 40.0 AS p_best FROM m GROUP BY ALL""",
+    "ladder_p_best": """WITH c AS (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS b, draw FROM customer, range(0, 2000) t(draw)),
+n AS (SELECT *, b + CAST(floor(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 200000) AS BIGINT) AS s FROM c),
+m AS (SELECT c_mktsegment, draw, max(s) AS s FROM n GROUP BY ALL),
+w AS (SELECT c_custkey, 1.0::DOUBLE / count(*) OVER (PARTITION BY c_mktsegment, draw) AS share FROM n JOIN m USING (c_mktsegment, draw, s)),
+p AS (SELECT c_custkey, sum(share) / 2000.0::DOUBLE AS p FROM w GROUP BY 1)
+SELECT c_mktsegment, c_custkey, CASE WHEN NOT bool_or(c_acctbal IS NULL) OVER (PARTITION BY c_mktsegment) THEN round(coalesce(p, 0), 8) END AS p_best FROM customer LEFT JOIN p USING (c_custkey)""",
 }
