@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import joins, metrics, windows
+from tidemark.operators import facts, joins, metrics, windows
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
@@ -85,3 +85,19 @@ def test_ladder_p_best_gives_every_customer_a_share_of_2000_draws(spark, sf):
     assert len(rows) == spark.read.parquet(f"{sf}/customer.parquet").count()
     assert sum(r.p_best for r in rows) == pytest.approx(len({r.c_mktsegment for r in rows}), abs=1e-5)
     assert any(0 < r.p_best < 1 / 40 for r in rows)
+
+
+def test_offences_are_what_no_fact_says(spark):
+    told = spark.createDataFrame([(1, "Fernandes is 96% to drop, 3,5 points for Shocky Supplies; −4 now."), (2, "Saka has 7.")], "c int, text string")
+    prose = spark.createDataFrame([(1, 0, "Sell Fernandes at -96 and +3.5. Haaland's on 4, Palmer’s on 96 in GW12! Then Saka has 7."), (2, 1, "Both Saka and Rice have 7 or 8 or 8."), (3, 0, None)], "c int, t int, text string")
+    got = lambda **how: {tuple(r) for r in facts.offences(told, prose, "c", "t", "text", **how).collect()}
+    want = {(1, 0, 2, "number", "4", 1), (1, 0, 2, "name", "Palmer", 1), (1, 0, 2, "number", "12", 1), (1, 0, 3, "name", "Saka", 1), (1, 0, 3, "number", "7", 1), (2, 1, 1, "name", "Rice", 1), (2, 1, 1, "number", "8", 2)}
+    assert got() == want
+    assert got(known=spark.createDataFrame([("Haaland",), ("Fernandes",)], "name string")) == want | {(1, 0, 2, "name", "Haaland", 1)}
+
+
+def test_check_brief_reports_openers_no_fact_of_the_conversation_says(spark, tmp_path):
+    rows = [(1, 0, "user", "Rice has 7. Saka too"), (1, 1, "assistant", "Saka has 7. The 8 of Rice"), (2, 0, "user", "Old news"), (2, 1, None, "Saka is in")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["check_brief"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 2, "number", "8", 1), (2, 1, 1, "name", "Saka", 1)}

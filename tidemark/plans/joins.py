@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cents, normalised_name, places
+from ..operators import facts as facts_op
 from ..operators import joins as J
 from ..sources.tables import table
 
@@ -129,6 +130,13 @@ def numbers_in_facts(spark, d):
     return c.select("conv_id", "turn", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([0-9]+)"), 1)).cast("bigint").alias("numbers"))
 
 
+def check_brief(spark, d):
+    """Numbers and capitalised names that the other turns of a conversation say and its user's turns don't; capitalised words of any user's turn are known names."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("role").eqNullSafe(F.lit("user")).alias("fact"))
+    known = facts_op.tokens(c.where("fact"), [], "text").where((F.col("kind") == "name") & F.col("token").rlike(r"^\p{Lu}")).select(F.col("token").alias("name"))
+    return facts_op.offences(c.where("fact"), c.where("NOT fact"), "conv_id", "turn", "text", known=known)
+
+
 def html_table_parse(spark, d):
     p = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("h"))
     return p.select("page_id", F.regexp_extract("h", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("h", F.lit("(<a )"), 1)).cast("bigint").alias("links"), F.size(F.regexp_extract_all("h", F.lit("(<p[ >])"), 1)).cast("bigint").alias("paragraphs"))
@@ -142,13 +150,14 @@ def bounded_counter_fold(spark, d):
     return listed.select("o_custkey", bank.alias("bank"))
 
 
-QUERIES = {f.__name__: f for f in (interval_join_spells, slot_window_assign, asof_forward, asof_backward_latest, asof_next, many_to_one_enrich, lookup_conflict_poison, semi_having, anti_threats, dense_grid_counts, idempotent_append, dedupe_keep_last, trend_projection, version_diff_movers, pair_by_category, json_props_extract, name_normalise, numbers_in_facts, html_table_parse, bounded_counter_fold)}
+QUERIES = {f.__name__: f for f in (interval_join_spells, slot_window_assign, asof_forward, asof_backward_latest, asof_next, many_to_one_enrich, lookup_conflict_poison, semi_having, anti_threats, dense_grid_counts, idempotent_append, dedupe_keep_last, trend_projection, version_diff_movers, pair_by_category, json_props_extract, name_normalise, numbers_in_facts, check_brief, html_table_parse, bounded_counter_fold)}
 
 _values = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
 S_ = f"WITH s AS (SELECT CAST(slot AS BIGINT) AS slot, CAST(due AS TIMESTAMP) AS due FROM (VALUES {_values(SLOTS)}) v(slot, due))"
 N_ = "WITH o AS (SELECT o_orderkey, CAST(c_nationkey AS BIGINT) AS nation, o_orderdate AS t, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders JOIN customer ON o_custkey = c_custkey), r AS (SELECT nation, t, max(v) AS v FROM o GROUP BY ALL)"
 V_ = "CAST(round(value * 100) AS BIGINT)"
 DAY = "CAST(CAST(ts AS DATE) AS VARCHAR)"
+BLANK = facts_op.BLANK
 
 ORACLE_SQL = {
     "interval_join_spells": f"""WITH s AS (SELECT k, CAST(a AS TIMESTAMP) AS a, CAST(b AS TIMESTAMP) AS b, n FROM (VALUES {_values(SPELLS)}) v(k, a, b, n))
@@ -171,6 +180,16 @@ SELECT o_custkey, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'dropped'
     "json_props_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "name_normalise": "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM part",
     "numbers_in_facts": "SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS numbers FROM conversations",
+    "check_brief": rf"""WITH t AS (SELECT conv_id, turn, role IS NOT DISTINCT FROM 'user' AS fact, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^{BLANK}|{BLANK}$', '', 'g'), '([.!?]){BLANK}', '\1' || chr(1), 'g'), chr(1)) AS a FROM conversations),
+s AS (SELECT conv_id, turn, fact, unnest(a) AS x, CAST(generate_subscripts(a, 1) AS BIGINT) AS sentence FROM t),
+w AS (SELECT conv_id, turn, fact, sentence, unnest(string_split_regex(x, '{BLANK}')) AS w, generate_subscripts(string_split_regex(x, '{BLANK}'), 1) AS i FROM s),
+k AS (SELECT conv_id, turn, fact, sentence, 'number' AS kind, ltrim(replace(replace(unnest(regexp_extract_all(x, '{facts_op.NUMBER}')), '−', '-'), ',', '.'), '+') AS token, 0 AS i FROM s
+  UNION ALL SELECT conv_id, turn, fact, sentence, 'name', regexp_replace(trim(w, '{facts_op.STRIP.replace("'", "''")}'), '[''’]s$', ''), i FROM w),
+f AS (SELECT DISTINCT conv_id, kind, token FROM k WHERE fact AND token <> ''), o AS (SELECT DISTINCT token FROM f WHERE kind = 'name' AND regexp_matches(token, '^\p{{Lu}}'))
+SELECT conv_id, turn, sentence, kind, token, count(*) AS n FROM k WHERE NOT fact
+AND (kind = 'number' OR (token <> '' AND token NOT IN {facts_op.ALLOW} AND CASE WHEN i = 1 THEN token IN (SELECT token FROM o) ELSE regexp_matches(token, '^\p{{Lu}}') AND NOT regexp_matches(token, '^GW[0-9]+$') END))
+AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.kind = k.kind AND f.token = k.token)
+AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.kind = k.kind AND k.kind = 'number' AND f.token = ltrim(k.token, '-')) GROUP BY ALL""",
     "html_table_parse": "SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(coalesce(html, ''), '<a ')) AS links, len(regexp_extract_all(coalesce(html, ''), '<p[ >]')) AS paragraphs FROM pages",
     "bounded_counter_fold": """WITH RECURSIVE m AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS slot, count(*) AS n FROM orders GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY slot) AS k, count(*) OVER (PARTITION BY o_custkey) AS z FROM m),
