@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.operators import models, policy, resolution
 from tidemark.streaming import finality
 
@@ -68,3 +69,15 @@ def test_rerun_replaces_its_partition(spark, tmp_path):
     write(spark.createDataFrame([(1, "a"), (2, "b")], "v int, day string"), 0)
     write(spark.createDataFrame([(3, "b")], "v int, day string"), 1)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "log")).select("v", "day").collect()) == [(1, "a"), (3, "b")]
+
+
+def test_out_of_fold_scores_come_from_other_folds(spark):
+    rows = spark.range(40).select((F.col("id") % 2).alias("fold"), (F.col("id") % 2).cast("double").alias("y"), F.col("id").cast("double").alias("x"))
+    got = models.out_of_fold(rows, "fold", ["x"], "y", "p", trees=2, depth=1).collect()
+    assert len(got) == 40 and all(r.p == pytest.approx(1 - r.y) for r in got)
+
+
+def test_gbt_head_scores_every_labelled_row(spark, sf):
+    labelled = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    rows = plans.queries()["gbt_head"](spark, sf).collect()
+    assert len(rows) == labelled.count() and all(0 <= r.score <= 1 for r in rows)
