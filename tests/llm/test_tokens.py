@@ -6,19 +6,18 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm.packing import SumOfSquares, pack
+from tidemark.llm.packing import CUT, SumOfSquares, pack
 from tidemark.llm.queries import tokenizer_file
 from tidemark.llm.token_files import read_token_files, sequence, write_token_files
 from tidemark.llm.tokens import Encoder
 
-ODD = ["a  b", " lead", "tail ", "x\n\n y", "tab\tand nbsp  em", "don't we'll it's", "x <|endoftext|> y", "\x00 nul", "naïve Straße ÉCOLE", "1234 5,6", "\r\n mixed \n", "emoji 😀 😀"]
+ODD = ["a  b", " lead", "tail ", "x\n\n y", "tab\tand nbsp  em", "don't we'll it's", "x <|endoftext|> y", "\x00 nul", "naïve Straße ÉCOLE", "1234 5,6", "\r\n mixed \n", "emoji 😀 😀", "<|startoftext|>x.<|endoftext|>", "x.. y,, z. 's. A.", "İstanbul. ΣΑΣ, ét́e क़. Å ﬁ ẞ! Ǆ? ŉa;", ". , ;"]
 
 
 def whole(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -75,21 +74,40 @@ def test_pack(rows, docs, empty):
 
 
 def test_sum_of_squares_rule():
-    """Each placement is the one that a full search over levels finds."""
-    rng, packer = np.random.default_rng(1), SumOfSquares(32)
-    for k in range(500):
-        size = int(rng.integers(1, 32))
-        n = packer.counts.copy()
+    """Each placement is the one that a full search over the level array finds."""
+    rng, packer = np.random.default_rng(1), SumOfSquares(256, 8)
+    for k in range(2000):
+        size = int(rng.integers(1, 256))
 
         def after(level):
-            m = n.copy()
-            if level:
-                m[level] -= 1
-            if level + size < 32:
-                m[level + size] += 1
-            return int((m[1:32] ** 2).sum())
-
-        fits = [0, *[v for v in range(1, 33 - size) if v < 32 and n[v]]]
+            n = np.array(packer.counts)
+            fill = packer.windows[level][-1][0] + size if level >= 0 else size
+            if level >= 0:
+                n[level] -= 1
+            price = CUT * (fill > 256)
+            fill -= 256 * (fill > 256)
+            if 0 < fill <= 248:
+                n[fill // 8] += 1
+            return int((n**2).sum()) + price
+
+        fits = [-1, *[v for v, n in enumerate(packer.counts) if n]]
         at = packer.level(size)
         assert at in fits and after(at) == min(map(after, fits))
         list(packer.add(k, np.zeros(size, "<u4")))
+
+
+@pytest.mark.parametrize("sizes", [[1500], [1025], [1100, 1300, 1900, 700], list(range(1, 2048, 7)), [1], [5000, 3]])
+def test_open_windows_stay_few_whatever_the_sizes(sizes):
+    """All closed windows are full, no id is lost, and no sequence of sizes makes the open windows grow with the documents."""
+    rng, packer = np.random.default_rng(2), SumOfSquares()
+    most, into, out = [], 0, 0
+    for k in range(6000):
+        n = int(rng.choice(sizes))
+        into += n
+        for window in packer.add(k, np.zeros(n, "<u4")):
+            out += sum(len(p[2]) for p in window)
+            assert out % 2048 == 0
+        most.append(packer.n_open)
+    assert max(most[3000:]) <= max(700, 1.1 * max(most[:3000]))
+    rest = [sum(len(p[2]) for p in w) for w in packer.rest()]
+    assert out + sum(rest) == into and all(n == 2048 or n & (n - 1) == 0 for n in rest)
