@@ -19,7 +19,10 @@ import numpy as np
 import pyarrow as pa
 
 #: White space other than blank and line feed.
-ODD_SPACES = "\u0009\u000d\u000b\u000c\u001c\u001d\u001e\u001f\u0085                 　"
+ODD_SPACES = (
+    "\u0009\u000d\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _ODD_ASCII = tuple(c for c in ODD_SPACES if c < "\x80")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
 _BEFORE_WORD = re.compile(r"(?= \S)")
