@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -42,11 +43,12 @@ def plain_lines(rows, least=5):
     for d, t, _ in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= 40:
-                holders[k].append(-(2**63) if d is None else d)
-    gone = {k: max(v) for k, v in holders.items() if len(v) >= least}
+                holders[k].append(d)
+    ids = {k: {d for d in v if d is not None} for k, v in holders.items()}
+    gone = {k: max(v) for k, v in ids.items() if len(v) >= least}
     for d, t, _ in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if key(x) not in gone or (-(2**63) if d is None else d) == gone[key(x)]]
+        kept = [x for x in lines if d is None or d == gone.get(key(x), d)]
         yield d, len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
@@ -59,6 +61,24 @@ def test_line_dedup(rows, docs, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_dedup_counts_doc_ids_not_rows(spark):
+    line = "a line that is long enough to be looked at by the operator"
+    df = lambda ids: spark.createDataFrame([(d, line, 1, "x", 2) for d in ids], "doc_id long, text string, h int, row string, gone int")
+    got = line_dedup(df([1, 1, 1, 2, 2, None, None, None])).collect()
+    assert not any(r.n_dropped for r in got)
+    got = line_dedup(df([1, 1, 2, 3, 4, 5, 5, None, -(2**63)])).collect()
+    assert Counter((r.doc_id, r.n_dropped, r.row, r.h, r.gone) for r in got) == Counter((d, int(d is not None and d != 5), "x", 1, 2) for d in [1, 1, 2, 3, 4, 5, 5, None, -(2**63)])
+
+
+def test_line_dedup_is_linear_in_the_lines_of_a_text(spark):
+    shared = [f"line {i} of a very long text, and it is shared by all of the documents" for i in range(100_000)]
+    rows = [(d, "\n".join(x for i in range(100_000) for x in (shared[i], f"{d} {i}"))) for d in range(5)]
+    start = time.monotonic()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.n) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "n_lines", "n_dropped", "length(kept_text) n").collect()}
+    assert got == {d: (200_000, 100_000 * (d < 4), len("\n".join(f"{d} {i}" for i in range(100_000))) if d < 4 else len(rows[4][1])) for d in range(5)}
+    assert time.monotonic() - start < 60
+
+
 def test_line_dedup_hot_line(spark):
     line = "This very common line stands in a third of all of the documents"
     df = spark.range(3000).selectExpr("id doc_id", f"CASE WHEN id % 3 = 0 THEN '{line}' ELSE concat('own line with enough letters in it to count as one, number ', id) END text")

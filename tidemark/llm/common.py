@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters 0x20 and 0x09 to 0x0D, as a regex class body for Java and Python.
@@ -20,12 +20,18 @@ HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (local tests) a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, in full (a path without a scheme is one of the default file system).
+
+    Where it is unset, a local session (tests) gets a temporary folder, and a cluster an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,6 +61,11 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one, so that they clash with no other name on the way."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns])
+
+
 def frequent(df: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Candidates for keys that hold more than n_rows / HOT_KEYS rows, by the Misra-Gries counters of freqItems: at most HOT_KEYS rows, none of the true ones missing."""
     found = df.select(F.col(key).alias("k")).freqItems(["k"], support=1.0 / HOT_KEYS)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, WS_CHARS, frequent, written
+from .common import HOT_KEYS, WS_CHARS, whole_row, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+KEY = ("k1", "k2")
 
 
 def line_key(line: Column) -> Column:
@@ -16,49 +17,47 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs with kept_text, n_lines and n_dropped added (columns of those names are replaced).
+def long_lines(text: Column, min_chars: int) -> Column:
+    """Array of (k1, k2, pos) of the lines whose key has min_chars code points at least; k1 and k2 are hashes of the key."""
+    keys = F.transform(F.split(text, "\n"), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("pos")))
+    kept = F.filter(keys, lambda x: F.char_length(x["key"]) >= min_chars)
+    return F.transform(kept, lambda x: F.struct(F.xxhash64(x["key"]).alias("k1"), F.xxhash64(F.lit(7), x["key"]).alias("k2"), x["pos"].alias("pos")))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at the positions of an array, in time linear in its lines: the split array is bound once."""
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    bound = F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
+    return F.get(bound, F.lit(0))
 
-    A key of at least min_chars code points found in at least min_docs documents loses all its
-    lines except in the largest doc_id that holds it. Null text is one empty line. Each row is a
-    document of its own; rows that repeat the largest doc_id all keep the line, and in rows with a null
-    doc_id such a line stays only if no other row has it with a doc_id. Rows equal in doc_id and
-    text get the same result. Counts are of all documents; lines of keys in more than 1/HOT_KEYS of
-    all lines are resolved by a broadcast of those keys, others by a shuffle of 128-bit hashes.
+
+def line_dedup(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs with kept_text, n_lines and n_dropped added (columns of those names are replaced, all others stay).
+
+    A key of at least min_chars code points found in at least min_docs documents (different doc_ids) loses all its
+    lines except in the largest doc_id that holds it. Null text is one empty line. Rows that repeat a doc_id count
+    as one document, and those with the largest all keep the line. Rows without a doc_id count for nothing and keep all
+    lines. An empty table gives no rows. Counts are of all documents, a key's documents first told apart and
+    then added up, so no task gets a key whole. Lines of keys in more than 1/HOT_KEYS of all lines (at most HOT_KEYS
+    such) are resolved by a broadcast of those keys, others by a shuffle of 128-bit hashes.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = [F.xxhash64(F.col(doc_id), body).alias("_r1"), F.coalesce(F.col(doc_id), F.lit(-(2**63))).cast("long").alias("_r2")]
-    keys = F.transform(
-        F.split(body, "\n"),
-        lambda x, i: F.struct(line_key(x).alias("key"), i.alias("pos")),
-    )
-    long_keys = F.filter(keys, lambda x: F.char_length(x["key"]) >= min_chars)
-    hashed = F.array_sort(F.transform(long_keys, lambda x: F.struct(F.xxhash64(x["key"]).alias("k1"), F.xxhash64(F.lit(7), x["key"]).alias("k2"), x["pos"].alias("pos"))))
-    marked = F.transform("_a", lambda x, i: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2"), x["pos"].alias("pos"), ((i > 0) & (F.get("_a", i - 1)["k1"] == x["k1"]) & (F.get("_a", i - 1)["k2"] == x["k2"])).alias("again")))
+    rows = docs.select(
+        whole_row(docs).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"), F.col(doc_id).cast("long").alias("id")
+    ).withColumn("h", F.xxhash64("id", "body"))
     lines = written(
-        docs.select(*own, hashed.alias("_a")).select("_r1", "_r2", F.explode(marked).alias("l")).select("_r1", "_r2", "l.*"), "lines"
-    )
-    n = lines.count()
-    counted = [F.sum(F.when(F.col("again"), 0).otherwise(1)).alias("n_docs"), F.max("_r2").alias("last")]
-    hot = written(
-        lines.join(F.broadcast(frequent(lines, "k1", n)), "k1", "left_semi").groupBy("k1", "k2").agg(*counted, F.count("*").alias("n_lines")).where(F.col("n_lines") * HOT_KEYS > n).drop("n_lines"),
-        "hot_lines",
-    )
-    rest = lines.join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti")
-    common = rest.groupBy("k1", "k2").agg(*counted).where(F.col("n_docs") >= min_docs)
-    drop = (
-        lines.join(F.broadcast(hot.where(F.col("n_docs") >= min_docs)), ["k1", "k2"])
-        .unionByName(rest.join(common, ["k1", "k2"]))
-        .where(F.col("_r2") < F.col("last"))
-        .groupBy("_r1", "_r2")
-        .agg(F.collect_set("pos").alias("_drop"))
-    )
-    split = F.split(body, "\n")
-    joined = docs.drop("kept_text", "n_lines", "n_dropped", "_r1", "_r2", "_drop").select("*", *own).join(drop, ["_r1", "_r2"], "left")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_drop"), lambda i: F.get(split, i)), "\n")
-    return joined.select(
-        *[c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped", "_r1", "_r2", "_drop")],
-        F.when(F.col("_drop").isNull(), body).otherwise(kept).alias("kept_text"),
-        F.size(split).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        rows.where("id IS NOT NULL").select("id", "h", F.explode(long_lines(F.col("body"), min_chars)).alias("l")).select("id", "h", "l.*"), "lines"
     )
+    by_doc = lines.groupBy(*KEY, "id").agg(F.count("*").alias("n"))
+    common = by_doc.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("last"), F.sum("n").alias("n_lines"))
+    common = written(common.where(F.col("n_docs") >= min_docs), "common_lines")
+    hot = F.broadcast(common.where(F.col("n_lines") * HOT_KEYS > lines.count()).select(*KEY, "last"))
+    rest = lines.join(hot.select(*KEY), [*KEY], "left_anti").join(common.select(*KEY, "last"), [*KEY])
+    gone = lines.join(hot, [*KEY]).unionByName(rest).where("id < last").groupBy("id", "h").agg(F.collect_set("pos").alias("gone"))
+    joined = rows.join(gone, ["id", "h"], "left")
+    added = {
+        "kept_text": F.when(F.col("gone").isNull(), F.col("body")).otherwise(without_lines(F.col("body"), F.col("gone"))),
+        "n_lines": F.size(F.split("body", "\n")).cast("long"),
+        "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+    }
+    found = joined.select("row", F.struct(*[c.alias(n) for n, c in added.items()]).alias("added"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], "added.*")

@@ -94,14 +94,14 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op8_line_dedup": f"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
-lines AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line FROM split),
+WITH split AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+lines AS (SELECT doc_id, r, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line FROM split),
 keyed AS (SELECT *, translate(trim(line, {SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
 common AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-flagged AS (SELECT k.*, c.last IS NOT NULL AND k.doc_id <> c.last AS gone FROM keyed k LEFT JOIN common c USING (key))
+flagged AS (SELECT k.*, coalesce(k.doc_id <> c.last, false) AS gone FROM keyed k LEFT JOIN common c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM flagged GROUP BY doc_id""",
+FROM flagged GROUP BY r, doc_id""",
     "op9_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 g AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
