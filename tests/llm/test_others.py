@@ -13,7 +13,7 @@ from tidemark.llm.fingerprints import fingerprint_neighbours, fingerprints
 from tidemark.llm.mixing import mix_sources, mixed_documents, sainte_lague, source_targets
 from tidemark.llm.queries import op4_toxicity
 from tidemark.llm.token_files import opened
-from tidemark.llm.warc import chunked, read_archives, records, write_archives
+from tidemark.llm.warc import chunk_table, read_archives, roles, write_archives
 
 
 def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
@@ -109,7 +109,9 @@ def test_warc(spark):
     big = "z" * 300_000
     rows = [(1, "http://a/1", "<p>é</p>" * 30), (2, "http://a/2", "<p>é</p>" * 30), (3, None, None), (4, "u\r\nX: y", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", big), (8, "v", big), (9, "v", "WARC/1.1\r\n\r\n" * 40), (9, "v", "WARC/1.1\r\n\r\n" * 40), (None, "w", big)]
     pages = spark.createDataFrame([(*r, 1, b"x") for r in rows], "page_id long, url string, html string, digest int, payload binary")
-    manifest = write_archives(chunked(records(pages), 1000), archive_bytes=2000)
+    chunks = chunk_table(pages, 1000)
+    assert chunks.agg(F.max(F.length("chunk"))).first()[0] == 1000
+    manifest = write_archives(chunks, roles(chunks), archive_bytes=2000)
     body = lambda h: (h or "").encode()
     first = {}
     for d, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -129,7 +131,8 @@ def test_warc(spark):
     with system.open_input_stream(name, compression=None) as raw:
         assert gzip.decompress(raw.read()).startswith(b"WARC/1.1\r\nWARC-Type: ")
     none = spark.createDataFrame([], pages.schema)
-    assert read_archives(write_archives(chunked(records(none)))).count() == 0
+    chunks = chunk_table(none)
+    assert read_archives(write_archives(chunks, roles(chunks))).count() == 0
 
 
 def weigh(text):

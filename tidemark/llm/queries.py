@@ -15,7 +15,7 @@ from .ngram_join import ngram_join
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .token_files import read_token_files, write_token_files
-from .warc import chunked, read_archives, records, write_archives
+from .warc import chunk_table, read_archives, roles, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(chunked(records(_table(spark, sf_dir, "pages"))))
-    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    chunks = chunk_table(_table(spark, sf_dir, "pages"))
+    return read_archives(write_archives(chunks, roles(chunks))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Web archives (WARC 1.1, a gzip member a record) by way of a chunked record table.
 
-A payload moves as rows (record, chunk number, chunk), so neither a writer nor a reader ever holds more
-than a chunk of it, and digests are carried from chunk to chunk. Of records with equal payloads the first is a response,
+Payloads are cut at once into rows (record, chunk number, chunk), and only these are written, shuffled and sorted, so
+neither a writer nor a reader ever holds more than a chunk, and digests are carried from chunk to chunk. Of records with equal payloads the first is a response,
 the others revisit it. A task writes archives under names of its own; the committed manifest names those that count.
 """
 
@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
@@ -26,30 +26,31 @@ URN = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def records(pages: DataFrame, min_bytes: int = 100, payload: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """Of each page: page_id, url, payload (binary; empty for a revisit), n_bytes, digest (SHA-256), refers_to (null for a response).
+def chunk_table(pages: DataFrame, chunk_bytes: int = 1 << 16, payload: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """The payloads as a written table with a row per chunk: record, page_id, url, n_bytes, digest (SHA-256), n_chunks, chunk_no, chunk (binary).
 
-    Payloads of at least min_bytes that are equal revisit the one with the smallest page_id. Null payloads are
-    empty. A null page_id comes last among equals; of repeated page_ids one row is the response.
+    `record` tells the pages apart, repeated ones too. A page without payload (null counts as empty) has one empty
+    chunk. Past this scan, where the page's own cell is read, no row holds more than a chunk.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    key = [F.xxhash64(F.col(page_id), F.col(url), body).alias("k1"), F.xxhash64(F.lit(5), F.col(page_id), F.col(url), body).alias("k2")]
-    base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"), *key)
-    light = base.select(F.col("page_id").alias("doc_id"), "k1", "k2", F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha2("payload", 256)).alias("digest"))
-    roles = first_of_equals(written(light.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("digest")), "payload_digests"))
-    again = (F.col("row") != F.col("first.row")) & (F.col("n_bytes") >= min_bytes)
-    # rows equal in all columns are told apart by their order alone, so they share a list of roles
-    lists = roles.groupBy("k1", "k2").agg(F.collect_list(F.struct("n_bytes", "digest", again.alias("again"), F.col("first.doc_id").alias("refers_to"))).alias("roles"))
-    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
-    named = base.join(lists, ["k1", "k2"]).withColumn("_n", place).select("page_id", "url", "payload", F.element_at("roles", F.col("_n")).alias("r"))
-    return named.select("page_id", "url", F.when(F.col("r.again"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "r.n_bytes", "r.digest", F.col("r.again").alias("revisit"), F.when(F.col("r.again"), F.col("r.refers_to")).alias("refers_to"))
+    told = pages.select(F.monotonically_increasing_id().alias("record"), F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("body") / chunk_bytes)).cast("int")
+    sized = told.select("*", F.octet_length("body").cast("long").alias("n_bytes"), F.unhex(F.sha2("body", 256)).alias("digest"), n.alias("n_chunks"))
+    numbered = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
+    part = F.substring(F.col("body"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return written(numbered.select("record", "page_id", "url", "n_bytes", "digest", "n_chunks", "chunk_no", part.alias("chunk")), "chunks")
+
 
+def roles(chunks: DataFrame, min_bytes: int = 100) -> DataFrame:
+    """Of each record of a chunk table: record, revisit, refers_to (null for a response).
 
-def chunked(rows: DataFrame, chunk_bytes: int = 1 << 16) -> DataFrame:
-    """One row per chunk, a record's chunks in order and together; a record without payload has one empty chunk."""
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk_bytes)).cast("int")
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk_no"), F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk")))
-    return rows.select("page_id", "url", "n_bytes", "digest", "revisit", "refers_to", n.alias("n_chunks"), F.explode(at).alias("c")).select("page_id", "url", "n_bytes", "digest", "revisit", "refers_to", "n_chunks", "c.*")
+    Payloads of at least min_bytes that are equal revisit the one with the smallest page_id. A null page_id comes last among
+    equals; of repeated page_ids one row is the response.
+    """
+    light = chunks.where("chunk_no = 0").select(F.col("page_id").alias("doc_id"), F.col("record").alias("row"), "n_bytes", "digest", F.xxhash64("digest").alias("h"))
+    found = first_of_equals(written(light, "payload_digests"))
+    again = (F.col("row") != F.col("first.row")) & (F.col("n_bytes") >= min_bytes)
+    return found.select(F.col("row").alias("record"), again.alias("revisit"), F.when(again, F.col("first.doc_id")).alias("refers_to"))
 
 
 def _urn(page_id: int | None) -> str:
@@ -70,7 +71,8 @@ def record_head(page_id, url, n_bytes: int, digest: bytes, revisit: bool, refers
 
 def _write(folder: str, date: str, archive_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = sink = member = digest = None
+        path = sink = member = digest = refers_to = due = None
+        revisit = False
         written_bytes = n_records = 0
         done: list[tuple] = []
 
@@ -82,7 +84,18 @@ def _write(folder: str, date: str, archive_bytes: int):
             sink, written_bytes, n_records = None, 0, 0
 
         for batch in batches:
-            for page_id, url, n_bytes, told, revisit, refers_to, n_chunks, chunk_no, chunk in (r for k in range(0, len(batch), 200) for r in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True)):
+            rows = (r for k in range(0, len(batch), 200) for r in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True))
+            for record, chunk_no, page_id, url, n_bytes, told, n_chunks, chunk, is_revisit, points_to in rows:
+                if chunk_no < 0:
+                    revisit, refers_to, due = is_revisit, points_to, (record, 0)
+                    continue
+                if (record, chunk_no) != due:
+                    raise ValueError(f"chunk {chunk_no} of record {record} came where {due} was due")
+                due = (record, chunk_no + 1)
+                if revisit:
+                    if chunk_no:
+                        continue
+                    n_chunks, chunk = 1, b""
                 if chunk_no == 0:
                     if written_bytes >= archive_bytes:
                         close()
@@ -110,12 +123,19 @@ def _write(folder: str, date: str, archive_bytes: int):
     return run
 
 
-def write_archives(chunks: DataFrame, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 1 << 30, folder: str | None = None) -> DataFrame:
-    """Writes chunked() rows; returns the manifest (path, n_records, n_bytes). An empty table has no archive."""
+def write_archives(chunks: DataFrame, kinds: DataFrame, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 1 << 30, folder: str | None = None) -> DataFrame:
+    """Writes a chunk table with its roles(); returns the manifest (path, n_records, n_bytes). An empty table has no archive.
+
+    A record's role travels as a row before its first chunk, so chunks are shuffled once and joined with nothing, and
+    neither equal payloads nor repeated rows make a hot key.
+    """
     folder = folder or scratch_path(chunks.sparkSession, "warc")
     system, name = opened(folder)
     system.create_dir(name, recursive=True)
-    return written(chunks.mapInArrow(_write(folder, date, archive_bytes), "path string, n_records long, n_bytes long"), "archives")
+    heads = kinds.select("record", F.lit(-1).alias("chunk_no"), "revisit", "refers_to")
+    ordered = chunks.unionByName(heads, allowMissingColumns=True).repartition("record").sortWithinPartitions("record", "chunk_no")
+    rows = ordered.select("record", "chunk_no", "page_id", "url", "n_bytes", "digest", "n_chunks", "chunk", "revisit", "refers_to")
+    return written(rows.mapInArrow(_write(folder, date, archive_bytes), "path string, n_records long, n_bytes long"), "archives")
 
 
 def read_archive(path: str, chunk_bytes: int = 1 << 16) -> Iterator[tuple]:
