@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters 0x20 and 0x09 to 0x0D, as a regex class body for Java and Python.
@@ -66,6 +66,20 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns])
 
 
+def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with a column for each of `sums`: its sum over all rows up to and with this one, in an order that tells all rows apart.
+
+    Rows are dealt to ranges of the order and summed there; of a range only its totals meet others, so no task holds all rows.
+    """
+    ranges = written(df.withColumns({f"_{c}": x for c, x in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    totals = ranges.groupBy("_range").agg(*[F.sum(f"_{c}").alias(f"_before_{c}") for c in sums])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_before_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranges.join(F.broadcast(offsets), "_range")
+    return joined.select(*df.columns, *[(F.sum(f"_{c}").over(here) + F.col(f"_before_{c}")).alias(c) for c in sums])
+
+
 def frequent(df: DataFrame, key: str, n_rows: int) -> DataFrame:
     """Candidates for keys that hold more than n_rows / HOT_KEYS rows, by the Misra-Gries counters of freqItems: at most HOT_KEYS rows, none of the true ones missing."""
     found = df.select(F.col(key).alias("k")).freqItems(["k"], support=1.0 / HOT_KEYS)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, running, written
 
 ADDED = ("size", "source_size", "target", "taken", "whole", "cuts")
 
@@ -26,74 +26,79 @@ def source_targets(totals: DataFrame, weights: Sequence[int], share: float, most
     """Adds source_no, weight and target to (source, source_size): share times all words split by weight, none above most times its size.
 
     Sources count by code point, null last. In order of cap / weight, all before some place are at their
-    cap, and the level there settles the rest, so the repeated resharing has a closed form.
+    cap, and the level there settles the rest, so the repeated resharing has a closed form. Running sums go by ranges of
+    sources, so there may be as many as there are sites.
     """
-    one = Window.partitionBy()
-    named = totals.withColumn("source_no", F.row_number().over(one.orderBy(F.col("source").isNull(), "source")))
-    named = named.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") - 1) % len(weights) + 1)).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    ranked = one.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    full = F.coalesce(F.sum("cap").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(ranked.rowsBetween(0, Window.unboundedFollowing))
-    levels = named.withColumn("level", (F.sum("source_size").over(one) * F.lit(float(share)) - full) / left).withColumn("place", F.row_number().over(ranked))
-    level = F.min_by(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")), F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("place"))).over(one)
-    return levels.withColumn("found", level).withColumn("target", F.coalesce(F.least("cap", F.col("found") * F.col("weight")), "cap")).select("source", "source_size", "source_no", "weight", "target")
+    named = running(totals, [F.col("source").isNull(), F.col("source")], {"source_no": F.lit(1)}, "source_numbers")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_no") - 1) % len(weights) + 1).cast("int"))
+    named = named.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    everything = named.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    by_fill = [F.col("cap") / F.col("weight"), F.col("source_no")]
+    ranked = running(named, by_fill, {"place": F.lit(1), "caps": F.col("cap"), "weights": F.col("weight")}, "source_levels")
+    full, left = F.col("caps") - F.col("cap"), F.lit(everything["weight"] or 0) - F.col("weights") + F.col("weight")
+    levels = ranked.withColumn("level", (F.lit(float((everything["size"] or 0) * share)) - full) / left)
+    fits = F.col("level") * F.col("weight") <= F.col("cap")
+    level = levels.agg(F.min_by("level", F.when(fits, F.col("place")))).first()[0]
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    return named.withColumn("target", target).select("source", "source_size", "source_no", "weight", "target")
 
 
 def sainte_lague(parties: DataFrame, votes: str, seats: Column, by: Sequence[str], party: str) -> DataFrame:
     """Adds `quota`: the seats of each party within its group `by` (seats is the group's number), ties to the lower party.
 
-    Rounding votes / divisor for the mean divisor is off by half the number of parties in all, and
-    quotas move one way with the divisor, so only quotients that near the rounded share can decide.
+    For the divisor that settles a group of n parties, the rounded quotients sum to the seats, so it gives the
+    parties within n / 2 of as many seats before rounding, and each its part of that. Only the quotients in
+    that interval are compared, some four a party, ranked by ranges of all groups' quotients.
     """
-    group = Window.partitionBy(*by)
-    shares = parties.withColumns({"_seats": seats, "_all": F.sum(votes).over(group), "_n": F.count("*").over(group)})
-    near = F.floor(F.col("_n") / 2) + 1
-    mid = F.when(F.col("_all") > 0, F.round(F.col("_seats") * F.col(votes) / F.col("_all"))).otherwise(0).cast("long")
-    shares = shares.withColumn("_lo", F.greatest(F.lit(0).cast("long"), mid - near)).withColumn("_hi", mid + near)
-    quotients = shares.withColumn("_open", F.col("_seats") - F.sum("_lo").over(group)).select(*by, party, "_open", (F.col(votes) > 0).alias("_any"), F.col(votes).alias("_v"), F.explode(F.sequence("_lo", "_hi")).alias("_k"))
-    best = Window.partitionBy(*by).orderBy(F.desc(F.col("_v") / (2 * F.col("_k") + 1)), party, "_k")
-    won = quotients.where("_any").withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= F.col("_open")).groupBy(*by, party).agg(F.count("*").alias("_won"))
-    return shares.join(won, [*by, party], "left").withColumn("quota", F.col("_lo") + F.coalesce("_won", F.lit(0))).drop("_seats", "_all", "_n", "_lo", "_hi", "_won")
+    groups = parties.groupBy(*by).agg(F.sum(votes).alias("_all"), F.count("*").alias("_n"))
+    shares = parties.withColumn("_seats", seats).join(groups, [*by])
+    part = F.when(F.col("_all") > 0, F.col(votes) / F.col("_all")).otherwise(0.0)
+    reach = part * F.col("_n") / 2 + 0.5 + 1e-6
+    lo, hi = F.greatest(F.lit(0), F.floor(part * F.col("_seats") - reach)), F.ceil(part * F.col("_seats") + reach)
+    shares = written(shares.withColumn("_lo", F.when(F.col(votes) > 0, lo).otherwise(0).cast("long")).withColumn("_hi", hi.cast("long")), "shares")
+    quotients = shares.where(F.col(votes) > 0).select(*by, party, F.col(votes).alias("_v"), F.explode(F.sequence("_lo", "_hi")).alias("_k"))
+    best = [*map(F.col, by), F.desc(F.col("_v") / (2 * F.col("_k") + 1)), F.col(party), F.col("_k")]
+    ranked = written(running(quotients, best, {"_place": F.lit(1)}, "quotients"), "places")
+    given = shares.groupBy(*by).agg((F.first("_seats") - F.sum("_lo")).alias("_open"))
+    limits = ranked.groupBy(*by).agg(F.min("_place").alias("_first")).join(given, [*by])
+    won = ranked.join(limits, [*by]).where(F.col("_place") - F.col("_first") < F.col("_open")).groupBy(*by, party).agg(F.count("*").alias("_won"))
+    return shares.join(won, [*by, party], "left").withColumn("quota", F.col("_lo") + F.coalesce("_won", F.lit(0))).select(*parties.columns, "quota")
 
 
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17,
-    shard_words: int = 1 << 20, max_shards: int = 256, size: Column | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source",
+    shard_words: int = 1 << 20, size: Column | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source",
 ) -> DataFrame:
     """The rows of docs with size, source_size, target, taken, whole and cuts added (columns of those names are replaced).
 
     taken counts the words the mix takes from the document, repeats included: `whole` passes over all of
     it, and in `cuts` the ranges (from, to) of its words that a further pass takes. size: the column's own
     word counts, if known; otherwise words of `text`. Null and empty texts have size 0 and are never
-    taken; a null source is a source of its own, the last. Rows that repeat a doc_id are documents of their own.
-    Memory is bounded by the sources' number and max_shards, not by any source: running sums go by shard.
+    taken; a null source is a source of its own, the last. Rows that repeat a doc_id are documents of their own; an
+    empty table gives no rows. A source has a shard for each shard_words of its words (to a power of two), and running sums
+    go by shard, so no task holds more of a source however large it is.
     """
     size = n_words(F.col(text)) if size is None else size
     base = docs.withColumn("_size", size).drop("size", *ADDED[1:]).withColumnRenamed("_size", "size")
     who, order = F.xxhash64(F.lit(seed), F.col(doc_id)), [F.xxhash64(F.lit(seed + 1), F.col(doc_id)), F.col(doc_id), F.hash(*[F.col(c) for c in docs.columns if c in (text, source)])]
-    # the finest shards are fixed by a hash; a small source uses a divisor of them
-    parts = written(base.groupBy(F.col(source).alias("source"), F.pmod(who, F.lit(max_shards)).alias("fine")).agg(F.sum("size").alias("n")), "fine_shards")
-    sources = source_targets(parts.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
-    total = F.floor(F.sum("target").over(Window.partitionBy()) / block).cast("long")
-    sources = sainte_lague(sources.withColumn("_one", F.lit(0)), "target", total, ["_one"], "source_no").drop("_one").withColumnRenamed("quota", "blocks")
-    ceiling = F.ceil(F.log2(F.greatest(F.col("source_size") / F.lit(shard_words), F.lit(1.0))))
-    sources = written(sources.withColumn("shards", F.least(F.lit(max_shards), F.pow(F.lit(2.0), ceiling)).cast("int")), "sources")
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    shards = parts.alias("a").join(sources.alias("b"), same).groupBy("source_no", "blocks", F.pmod("fine", "shards").alias("shard")).agg(F.sum("n").alias("shard_size"))
+    totals = written(base.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "source_sizes")
+    sources = source_targets(totals, weights, share, most)
+    words = written(sources, "source_targets")
+    blocks = int((words.agg(F.sum("target")).first()[0] or 0) // block)
+    sources = sainte_lague(words.withColumn("_one", F.lit(0)), "target", F.lit(blocks).cast("long"), ["_one"], "source_no").drop("_one").withColumnRenamed("quota", "blocks")
+    n_shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("source_size") / F.lit(shard_words), F.lit(1.0))))).cast("long")
+    known = written(sources.select(F.col("source").alias("_source"), F.struct("source_size", "target").alias("_s"), n_shards.alias("_shards"), F.col("source_no").alias("_no"), "blocks"), "sources")
+    dealt = base.join(known.drop("blocks"), F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("_shard", F.pmod(who, "_shards")).drop("_source", "_shards")
+    shards = dealt.groupBy(F.col("_no").alias("source_no"), F.col("_shard").alias("shard")).agg(F.sum("size").alias("shard_size"))
+    shards = shards.join(known.select(F.col("_no").alias("source_no"), "blocks"), "source_no")
     shards = sainte_lague(shards, "shard_size", F.col("blocks"), ["source_no"], "shard")
     shards = shards.withColumn("words", F.least(F.col("quota") * block, (F.col("shard_size") * F.lit(most)).cast("long")))
-    shards = written(
-        shards.select(
-            "source_no", "shard", "shard_size", F.when(F.col("shard_size") > 0, F.expr("words div shard_size")).otherwise(0).alias("passes"), F.when(F.col("shard_size") > 0, F.col("words") % F.col("shard_size")).otherwise(0).alias("rest"),
-            (F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))) * block).alias("begin"),
-        ),
-        "shards",
-    )
-    plan = shards.join(sources, "source_no").select(F.col("source").alias("_source"), F.struct("source_size", "target").alias("_s"), F.col("shards").alias("_shards"), F.col("shard").alias("_shard"), F.struct("shard_size", "passes", "rest", "begin").alias("_q"), F.col("source_no").alias("_no"))
-    known = plan.select("_source", "_shards", "_no", "_s").distinct()
-    dealt = base.join(known, F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("_shard", F.pmod(F.pmod(who, F.lit(max_shards)), "_shards")).drop("_source", "_shards")
+    passes = [F.when(F.col("shard_size") > 0, x).otherwise(0) for x in (F.expr("words div shard_size"), F.col("words") % F.col("shard_size"))]
+    begin = F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))) * block
+    plan = shards.select(F.col("source_no").alias("_no"), F.col("shard").alias("_shard"), F.struct("shard_size", passes[0].alias("passes"), passes[1].alias("rest"), begin.alias("begin")).alias("_q"))
+    plan = written(plan, "shards")
     run = Window.partitionBy("_no", "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("_to", F.sum("size").over(run)).join(plan.select("_no", "_shard", "_q"), ["_no", "_shard"], "left")
+    placed = dealt.withColumn("_to", F.sum("size").over(run)).join(plan, ["_no", "_shard"], "left")
     at, q = F.col("_to") - F.col("size"), lambda c: F.col(f"_q.{c}")
     end = q("begin") + q("rest")
 
