@@ -169,3 +169,13 @@ def test_substring_dedup(rows, docs, empty, monkeypatch, small):
     assert sum(k[2] for k in want) > 100
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(docs).collect()) == want
     assert substring_dedup(empty).count() == 0
+
+
+def test_ngram_join_hot_repeated_rows(spark):
+    """Rows that repeat a representative's doc_id and text are one text."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base), "s")] * 300 + [(2, " ".join([*base[:59], "x"]), "s"), (None, " ".join([*base[:58], "y", "z"]), "s")]
+    df = spark.createDataFrame([(d, t, 1, "c") for d, t, _ in rows], "doc_id long, text string, h1 int, _k1 string").repartition(5)
+    assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join(df).collect()) == plain_join(rows)
+    kept = near_distinct(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, " ".join(base), 1, "c")]

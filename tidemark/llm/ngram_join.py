@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, signed, text_slices, written
+from .common import Words, mix, signed, text_slices, whole_row, written
 
 BLOCK_GRAMS, BLOCK_TEXTS = 1 << 19, 1024
 
@@ -87,7 +87,13 @@ def _signatures(width: int, bands: int, rows: int):
 
 def _gram_sets(width: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat a representative's doc_id and text give its set once a task
         for batch in batches:
+            new = []
+            for cid in batch.column(0).to_pylist():
+                new.append(cid not in seen)
+                seen.add(cid)
+            batch = batch if all(new) else batch.filter(pa.array(new))
             for i, j, data, offsets in text_slices(batch.column(2)):
                 values, owner, _ = grams(Words(data, offsets), width)
                 ends = np.searchsorted(owner, np.arange(j - i + 1))
@@ -122,12 +128,11 @@ def overlaps(sets: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
     return total
 
 
-def verified(group: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's block pair, rows (bid, one, two, mine, cid, canon, grams): the cids that have links, their links counted here, and the least cid of their part of the graph."""
-    bid, one, two = group[0][:3]
-    by_cid = {row[4]: row for row in group}  # a text that comes twice counts once
+def verified(by_cid: dict[int, tuple], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's block pair, rows (bid, one, two, mine, cid, canon, grams) by cid: the cids that have links, their links counted here, and the least cid of their part of the graph."""
     cids = np.array(sorted(by_cid))
     rows = [by_cid[c] for c in cids.tolist()]
+    bid, one, two = rows[0][:3]
     sets = [np.frombuffer(r[6], np.uint64) for r in rows]
     both = overlaps(sets) if len(rows) > 1 else np.zeros((1, 1))
     sizes, mine = np.array([len(s) for s in sets], np.float64), np.array([r[3] for r in rows])
@@ -164,14 +169,16 @@ def verified(group: list[tuple], threshold: float) -> tuple[np.ndarray, np.ndarr
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
+        def groups() -> Iterator[dict[int, tuple]]:
+            held: dict[int, tuple] = {}  # a text that comes twice is held once
+            at = None
             for batch in batches:
                 for row in (r for k in range(0, len(batch), 500) for r in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns), strict=True)):
-                    if held and row[:3] != held[0][:3]:
+                    if held and row[:3] != at:
                         yield held
-                        held = []
-                    held.append(row)
+                        held = {}
+                    at = row[:3]
+                    held[row[4]] = row
             if held:
                 yield held
 
@@ -220,7 +227,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall:
     space) have a Jaccard similarity of the threshold or more. n_links counts the different texts that a row's text is
     linked with, n_copies the rows with the same words; class_id is the least doc_id among all that
     links and copies connect (null only if no member has a doc_id), `first` marks the rows whose doc_id and text
-    represent the class. Null, empty and blank texts are copies of each other. Shorter texts have one n-gram.
+    represent the class. Null, empty and blank texts are copies of each other. Shorter texts have one n-gram. Rows that repeat
+    a doc_id are rows of their own; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     bands, rows = choose_bands(threshold, recall, most_hashes)
     signs = written(docs.select(*_key(F.col(text), F.col(doc_id)), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(_signatures(width, bands, rows), "doc_id long, h1 long, h2 long, c1 long, c2 long, n_grams long, bands array<long>"), "signatures")
@@ -252,9 +260,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall:
 
 
 def near_distinct(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, one of each class: that with the least doc_id, and of rows equal in doc_id and text any one."""
-    keep = ngram_join(docs, text=text, doc_id=doc_id, **how).where("first").select(F.col("doc_id").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
-    _, h1, h2 = _key(F.col(text), F.col(doc_id))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2"))
-    held = docs.withColumns({"_k1": h1, "_k2": h2}).join(keep, same, "left_semi")
-    return held.dropDuplicates([doc_id, "_k1", "_k2"]).drop("_k1", "_k2")
+    """The rows of docs, one of each class: that with the least doc_id, and of rows equal in doc_id and text any one. All columns stay, whatever their names."""
+    keep = ngram_join(docs, text=text, doc_id=doc_id, **how).where("first").select(F.col("doc_id").alias("d"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct()
+    keyed = docs.select(whole_row(docs).alias("row"), *_key(F.col(text), F.col(doc_id)))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("row.*")
