@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm.exact_dedup import exact_dedup
@@ -179,3 +180,31 @@ def test_ngram_join_hot_repeated_rows(spark):
     assert Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join(df).collect()) == plain_join(rows)
     kept = near_distinct(df)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, " ".join(base), 1, "c")]
+
+
+def test_automata_of_reference_shards(spark, rows, docs):
+    """Spans of all shards together cover what the substring query removes."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.automaton import matched_spans
+
+    numbered = [(i, d, t) for i, (d, t, _) in enumerate(r for r in rows if r[0] is not None)]
+    df = spark.createDataFrame(numbered, "row long, doc_id long, text string")
+    spans = defaultdict(set)
+    for r in matched_spans(df, df, 13, 20_000, owner="doc_id").collect():
+        spans[r["row"]] |= set(range(r["from"], r["to"]))
+    want = Counter((d, n) for d, _, n, _ in plain_substring([(d, t, None) for _, d, t in numbered]))
+    assert Counter((d, len(spans[i])) for i, d, _ in numbered) == want
+    whole = matched_spans(df, df.where("doc_id = 901"), 13).count()
+    assert whole == 0
+
+
+def test_ranges_take_time_by_keys():
+    from tidemark.llm import substring_dedup as module
+
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
+    for n in (1, 7, 10**6):
+        of, at = module._ranges(keys, n)
+        assert [int(k) * n >> 64 for k in keys] == np.repeat(of, np.diff(at)).tolist() or all(abs((int(k) * n >> 64) - r) <= 1 for k, r in zip(keys, np.repeat(of, np.diff(at))))
+        assert len(of) == len(set(of.tolist())) <= n
+    assert module._bits(None, module._ranges(keys[:0], 5)).size == 0

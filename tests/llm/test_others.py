@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
@@ -135,9 +136,10 @@ def test_warc(spark):
     assert read_archives(write_archives(chunks, roles(chunks))).count() == 0
 
 
-def weigh(text):
-    lexicon = toxicity.Lexicon()
-    return toxicity.clause_weight(toxicity.LETTERS.findall(text.lower()), lexicon)[:2]
+def weigh(text, lexicon=None):
+    scorer = toxicity.Scorer(lexicon or toxicity.Lexicon())
+    insults, threats = scorer.run([scorer.symbols(toxicity.LETTERS.findall(text.lower()))])
+    return insults[0], threats[0]
 
 
 def test_clause_grammar():
@@ -146,14 +148,56 @@ def test_clause_grammar():
     assert weigh("i will kill you")[1] > weigh("i will not kill you")[1] > 0 == weigh("to kill time")[1]
 
 
+def test_learned_words_keep_their_roles():
+    lexicon = toxicity.Lexicon({"not": 9.0, "you": 9.0, "kill": 9.0}, {"no": 9.0})
+    assert weigh("not you kill", lexicon) == (0, 0) and weigh("nobody", lexicon) == (9, 0)
+
+
+def plain_weigh(kinds, weights):
+    """The grammar said plainly, each word looking back over the clause."""
+    insults = threats = 0.0
+    for i, (kind, weight) in enumerate(zip(kinds, weights)):
+        def marks(j):
+            return 0.3 ** ("N" in kinds[max(0, j - 3) : j]) * 0.5 ** ("R" in kinds[:j])
+
+        if kind == "I":
+            insults += weight * marks(i) * 1.5 ** ("G" in kinds[max(0, i - 6) : i])
+        if kind == "G":
+            held = [j for j in range(max(0, i - 4), i) if kinds[j] == "T"]
+            if held and "G" not in kinds[held[-1] : i]:
+                threats += 4.0 * marks(held[-1])
+    return insults, threats
+
+
+def test_composition_against_a_plain_reading():
+    rng, scorer = random.Random(8), toxicity.Scorer(toxicity.Lexicon())
+    clauses = [[rng.choice("----ITGNR") for _ in range(rng.choice([0, 1, 5, 30]))] for _ in range(400)]
+    weights = [[rng.choice([1.0, 3.0]) for _ in c] for c in clauses]
+    a, b = scorer.run([([toxicity.KINDS.index(k) for k in c], w) for c, w in zip(clauses, weights)])
+    for x, y, c, w in zip(a, b, clauses, weights):
+        assert abs(x - plain_weigh(c, w)[0]) < 1e-9 and abs(y - plain_weigh(c, w)[1]) < 1e-9
+    words = {"I": "idiot", "T": "kill", "G": "you", "N": "not", "R": "said", "-": "word"}
+    for c in clauses + [["G", *"-" * 50, "I"], ["R", *"-" * 50, "I"]]:
+        want = plain_weigh(c, [3.0] * len(c))
+        assert all(abs(x - y) < 1e-9 for x, y in zip(weigh(" ".join(words[k] for k in c)), want))
+
+
 def test_toxicity_held_out(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = op4_toxicity(spark, sf).join(labels, "doc_id").where("held_out and toxic is not null").select("toxic", "predicted", "score").collect()
     right = sum(r.toxic == r.predicted for r in rows)
     assert len(rows) > 40 and right >= 0.9 * len(rows)
+    caught = [r.predicted for r in rows if r.toxic == 1]
+    assert sum(caught) >= 0.5 * len(caught)
     model = toxicity.Model(toxicity.Lexicon(), toxicity.np.array([1.0, 1, 0, 0, 1, -2.5]))
     scored = toxicity.toxicity(docs, model)
     assert scored.where("score between 0 and 1").count() == docs.count() and toxicity.toxicity(empty, model).count() == 0
     bare = toxicity.train(docs, labels.where("false"))
     assert len(bare.weights) == len(toxicity.FEATURES) + 1
+    clashing = docs.selectExpr("*", "'x' toxic", "1 _id", "2 id", "3 w")
+    told = spark.createDataFrame([(r.doc_id, k, "y") for r in docs.where("doc_id < 200").collect() for k in (0, None, int(r.doc_id % 2))], "doc_id long, toxic int, text string")
+    twice = [toxicity.train(clashing.repartition(n), told.repartition(n)) for n in (2, 5)]
+    assert np.allclose(twice[0].weights, twice[1].weights) and twice[0].lexicon == twice[1].lexicon
+    assert set(toxicity.toxicity(clashing, twice[0]).columns) == {*clashing.columns, "score"}
+    assert len(toxicity.train(empty, told).weights) == len(bare.weights)

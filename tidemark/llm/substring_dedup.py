@@ -1,13 +1,13 @@
 """Removal of word runs that also stand in an earlier document.
 
-Documents are dealt into blocks by a hash of doc_id and kept as a bucketed table with a row per block, so that
+Documents are dealt into blocks by a hash and kept as a bucketed table with a row per block, so that
 what is found out about a block joins it without moving texts again.
 
 1. Anchors. Every window of `width` words has as its anchor the least hash among its runs of ANCHOR words; equal
    windows have equal anchors. Blocks send their distinct anchors, sorted and packed, to the hash range that owns them,
    and get a bit for each back: does it occur in another document? Most text ends here.
 2. Windows. For windows with such an anchor, a block sends each distinct window once, with its least doc_id
-   (80 bits of hash), and gets a bit back: does it start in a document with a smaller doc_id?
+   (64 bits of one hash of its words and 16 of another), and gets a bit back: does it start in a document with a smaller doc_id?
 3. Words under windows with such a bit, or whose window starts earlier in the block, are removed.
 
 A key that stands in a third of all documents is one entry per block, so no range is hot.
@@ -26,15 +26,26 @@ from pyspark.sql import functions as F
 from .common import Words, mix, scratch_path, text_slices, written
 
 ANCHOR = 5
-BLOCK_BYTES, TASK_BYTES, RANGE_BYTES, MOST_TASKS = 1 << 20, 16 << 20, 16 << 20, 50_000
-LAST = np.iinfo(np.int64).max  # the doc_id of documents without one: they come last
+BLOCK_BYTES, TASK_BYTES, RANGE_BYTES = 1 << 20, 16 << 20, 16 << 20
+LAST = np.iinfo(np.int64).max  # where documents without a doc_id stand: they come last
+
+
+def block_tasks(total: int) -> int:
+    """Tasks for so many bytes: of TASK_BYTES up to 200 of them, and where that would be more than 16 TASK_BYTES each, as many as that takes."""
+    return max(1, min(200, total // TASK_BYTES), total // (16 * TASK_BYTES))
 
 
 def block_table(docs: DataFrame, total: int) -> DataFrame:
-    """(block, docs): a block's doc_ids and texts, ascending by doc_id, as one Arrow stream. Bucketed by block in the shared folder."""
+    """(block, docs): a block's doc_ids and texts, ascending by doc_id, as one Arrow stream. Bucketed by block in the shared folder.
+
+    Blocks are dealt by doc_id, text and partition, so neither rows without a doc_id nor repeated rows gather in one.
+    """
     spark = docs.sparkSession
-    n_blocks, n_tasks = max(1, total // BLOCK_BYTES), min(MOST_TASKS, max(1, total // TASK_BYTES))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), F.coalesce("doc_id", F.lit(int(LAST))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_blocks, n_tasks = max(1, total // BLOCK_BYTES), block_tasks(total)
+    if n_tasks > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(n_tasks))
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks))
+    rows = docs.select(block.alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -65,16 +76,19 @@ def block_table(docs: DataFrame, total: int) -> DataFrame:
     name = f"tidemark_blocks_{uuid.uuid4().hex}"
     packed = rows.repartition(n_tasks, "block").sortWithinPartitions("block", "doc_id").mapInArrow(pack, "block long, docs binary")
     packed.write.format("parquet").bucketBy(n_tasks, "block").option("path", scratch_path(spark, "blocks")).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows them
+    return table
 
 
 class Block:
     """A block's words, windows and the distinct anchors that it sends."""
 
     def __init__(self, raw: bytes, width: int):
-        table = pa.ipc.open_stream(raw).read_all().combine_chunks()
-        self.doc_ids = table.column("doc_id").to_numpy()
-        texts = table.column("text").combine_chunks()
+        table = pa.ipc.open_stream(raw).read_all()
+        ids = table.column("doc_id").combine_chunks()
+        self.ids, self.doc_ids = ids, ids.fill_null(int(LAST)).to_numpy(zero_copy_only=False)
+        texts = table.column("text").cast(pa.large_string()).combine_chunks()
         self.width = width
         ((_, _, data, offsets),) = text_slices(texts, 1 << 62)
         self.words = Words(data, offsets)
@@ -99,17 +113,17 @@ class Block:
     def windows(self, again: np.ndarray) -> None:
         """Distinct windows whose anchor stands in several documents: self.keys with the least doc_id of each in self.least."""
         self.some = np.flatnonzero(again[self.of])
-        h = self._hash(0)
+        h = self._hash(self.hashes, self.some)
         self.keys, first, self.key_of = np.unique(h, return_index=True, return_inverse=True)
         self.doc = self.doc_ids[self.owner[self.some]]
         self.least = np.full(len(self.keys), LAST)
         np.minimum.at(self.least, self.key_of, self.doc)
-        self.more = (self._hash(1)[first] >> np.uint64(48)).astype("<u2")
+        self.more = (self._hash(self.words.hashes(1) if len(first) else self.hashes, self.some[first]) >> np.uint64(48)).astype("<u2")
 
-    def _hash(self, which: int) -> np.ndarray:
-        at, total = self.at[self.some], np.zeros(len(self.some), np.uint64)
+    def _hash(self, hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
+        at, total = self.at[some], np.zeros(len(some), np.uint64)
         for k in range(self.width):
-            total = mix(total + self.hashes[at + k] + np.uint64(which + 1))
+            total = mix(total + hashes[at + k] + np.uint64(1))
         return total
 
     def result(self, earlier: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -131,18 +145,20 @@ class Block:
         return self.words.counts - left, pa.array([raw[a : max(a, b - 1)] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()).cast(pa.string())
 
 
-def _ranges(keys: np.ndarray, n: int) -> list[int]:
-    """Where in sorted 64-bit keys each of n equal hash ranges begins, and the end."""
-    bounds = [np.uint64(-(-(k << 64) // n)) for k in range(1, n)]
-    return [0, *np.searchsorted(keys, np.array(bounds, np.uint64)).tolist(), len(keys)]
+def _ranges(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges, of n equal ones, that hold any of sorted 64-bit keys, and where each begins, with the end: work by keys, not by n."""
+    of = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    starts = np.flatnonzero(np.diff(of, prepend=np.uint64(2**63)))
+    return of[starts].astype(np.int64), np.append(starts, len(keys))
 
 
-def _bits(got: list | None, ranges: list[int]) -> np.ndarray:
+def _bits(got: list | None, ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The bits that came back for a block's sorted keys, range by range."""
-    out = np.zeros(ranges[-1], bool)
+    of, at = ranges
+    out = np.zeros(at[-1], bool)
     for x in got or ():
-        a, b = ranges[x["range"]], ranges[x["range"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
+        k = int(np.searchsorted(of, x["range"]))
+        out[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=at[k + 1] - at[k])
     return out
 
 
@@ -156,9 +172,10 @@ def _send_anchors(width: int, n_ranges: int):
         for batch in batches:
             for k in range(len(batch)):
                 block = Block(batch.column(1)[k].as_py(), width)
-                cut = _ranges(block.anchors, n_ranges)
+                of, cut = _ranges(block.anchors, n_ranges)
                 six = block.anchors.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows = [(r, batch.column(0)[k].as_py(), six[a:b].tobytes(), np.packbits(block.several[a:b]).tobytes()) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+                own = batch.column(0)[k].as_py()
+                rows = [(r, own, six[a:b].tobytes(), np.packbits(block.several[a:b]).tobytes()) for r, a, b in zip(of.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 if rows:
                     yield _rows(rows)
 
@@ -171,9 +188,10 @@ def _send_windows(width: int, n_ranges: int):
             for k in range(len(batch)):
                 block = Block(batch.column(1)[k].as_py(), width)
                 block.windows(_bits(batch.column(2)[k].as_py(), _ranges(block.anchors, n_ranges)))
-                cut = _ranges(block.keys, n_ranges)
+                of, cut = _ranges(block.keys, n_ranges)
                 columns = block.keys.astype("<u8"), block.more, block.least.astype("<i8")
-                rows = [(r, batch.column(0)[k].as_py(), b"".join(c[a:b].tobytes() for c in columns), b"") for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+                own = batch.column(0)[k].as_py()
+                rows = [(r, own, b"".join(c[a:b].tobytes() for c in columns), b"") for r, a, b in zip(of.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 if rows:
                     yield _rows(rows)
 
@@ -240,8 +258,7 @@ def _finish(width: int, n_ranges: int):
                 block = Block(batch.column(1)[k].as_py(), width)
                 block.windows(_bits(batch.column(2)[k].as_py(), _ranges(block.anchors, n_ranges)))
                 removed, kept = block.result(_bits(batch.column(3)[k].as_py(), _ranges(block.keys, n_ranges)))
-                ids = pa.array(block.doc_ids, pa.int64(), mask=block.doc_ids == LAST)
-                yield pa.record_batch([ids, pa.array(block.words.counts, pa.int64()), pa.array(removed, pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept_text"])
+                yield pa.record_batch([block.ids, pa.array(block.words.counts, pa.int64()), pa.array(removed, pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return run
 
@@ -252,7 +269,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, text: str = "text", doc_id
     A word goes if a run of `width` words that covers it also starts in a document with a smaller doc_id; all is
     judged on the input. Words are parted by ASCII white space and unchanged. Null texts have no words. Documents
     without doc_id come last and do not remove from each other, nor do rows that repeat a doc_id; runs that repeat
-    within one document stay. An empty table gives no rows.
+    within one document stay. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0

@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Insults, threats, targets, negations and reported speech are small transducers over the word classes of a clause.
-They run side by side on it (their composition's state is the tuple of their states), and the final weight of a
-clause is that of its insults and threats, raised by a target and lowered by a negation before them or by reported
-speech around them. A text's score is a logistic function of its clauses' weights, fitted on labelled rows.
-Insult words beyond the listed ones are learned as stems from the labelled rows.
+Words become symbols: insult, threat, target, negation, verb of reporting, other. Five transducers are composed, each reading what
+the one before it writes: negation marks insults and threats in its reach, reported speech those after its verb,
+a target the insults after it, threat turns a verb and its target into one symbol, and insult gives
+insults and threats their weights, by the marks on them. The composition is built once as one table, (state, symbol) to
+(state, weight), and clauses run through it side by side as arrays. A text's score is a logistic function of the
+weights of its matched clauses, fitted on labelled rows. Insult words beyond the listed ones are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -31,60 +32,77 @@ REPORTS = set("said says wrote called calls quoted reported claimed alleged sagt
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-#: Words over which a negation reaches; a target reaches twice as far.
+#: Words over which a negation reaches; a target reaches twice as far, which is the longest memory but that of reported speech.
 REACH = 3
+KINDS = "-ITGNR"  # other, insult, threat, target, negation, report
+ROLES = {**dict.fromkeys(REPORTS, 5), **dict.fromkeys(NEGATIONS, 4), **dict.fromkeys(TARGETS, 3), **dict.fromkeys(THREATS, 2)}
+#: Weights of marks (n negated, r reported, a aimed at a target) and of a threat with its target.
+WEIGHTS = {"n": 0.3, "r": 0.5, "a": 1.5, "H": 4.0}
 
-# -- transducers: (state, word class) -> (next state, weight factor or weight) ------------------------
+# -- transducers: (state, symbol) -> (next state, symbol); a symbol is a kind and the marks on it -----
 
 
-class Negation:
-    """State: words left for which a negation still holds. Factor of an insult or threat in its reach."""
+def negation(left: int, symbol: str) -> tuple[int, str]:
+    """State: words left over which a negation still reaches."""
+    if symbol == "N":
+        return REACH, symbol
+    return max(0, left - 1), symbol + "n" if left and symbol[0] in "IT" else symbol
 
-    start = 0
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        if kind == "N":
-            return REACH, 1.0
-        return max(0, state - 1), 0.3 if state and kind in "IT" else 1.0
+def reported(told: int, symbol: str) -> tuple[int, str]:
+    """State: whether the clause has had a verb of reporting."""
+    return int(told or symbol == "R"), symbol + "r" if told and symbol[0] in "IT" else symbol
 
 
-class Reported:
-    """State: whether a verb of reporting has been read in this clause."""
+def target(left: int, symbol: str) -> tuple[int, str]:
+    """State: words left in which an insult is aimed at the last target."""
+    if symbol == "G":
+        return 2 * REACH, symbol
+    return max(0, left - 1), symbol + "a" if left and symbol[0] == "I" else symbol
 
-    start = 0
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        return (1, 1.0) if kind == "R" else (state, 0.5 if state and kind in "IT" else 1.0)
+def threat(state: tuple[int, str], symbol: str) -> tuple[tuple[int, str], str]:
+    """State: words left in which a threat's target may come, and the marks on the threat, which the whole keeps."""
+    left, marks = state
+    if symbol[0] == "T":
+        return (REACH + 1, symbol[1:]), "-"
+    if symbol == "G" and left:
+        return (0, ""), "H" + marks
+    return (left - 1, marks) if left > 1 else (0, ""), symbol
 
 
-class Target:
-    """State: words left in which what is said is aimed at the last target."""
+def insult(_: None, symbol: str) -> tuple[None, float]:
+    """No state. The weight of an insult (a factor of the word's own) or of a threat."""
+    return None, math.prod(WEIGHTS[m] for m in symbol[1:]) * WEIGHTS.get(symbol[0], 1.0) if symbol[0] in "IH" else 0.0
 
-    start = 0
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        if kind == "G":
-            return 2 * REACH, 1.0
-        return max(0, state - 1), 1.5 if state and kind == "I" else 1.0
+CASCADE = ((negation, 0), (reported, 0), (target, 0), (threat, (0, "")), (insult, None))
 
 
-class Threat:
-    """State: 0 nothing, 1 a threat that awaits its target. Weight when the target comes; a verb alone says nothing."""
-
-    start = 0
-    weight = 4.0
-
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        if kind == "T":
-            return REACH + 1, 0.0
-        if kind == "G" and state:
-            return 0, self.weight
-        return max(0, state - 1), 0.0
+def composed(cascade=CASCADE) -> tuple[np.ndarray, np.ndarray]:
+    """The composition as two tables over (state, kind): the next state and the weight. State 0 is the start."""
+    states = {tuple(start for _, start in cascade): 0}
+    following, weights = [], []
+    for state in (queue := list(states)):
+        row, weight = [], []
+        for kind in KINDS:
+            new, symbol = [], kind
+            for (step, _), part in zip(cascade, state, strict=True):
+                part, symbol = step(part, symbol)
+                new.append(part)
+            if (key := tuple(new)) not in states:
+                states[key] = len(states)
+                queue.append(key)
+            row.append(states[key])
+            weight.append(symbol)
+        following.append(row)
+        weights.append(weight)
+    return np.array(following, np.int32), np.array(weights, float)
 
 
 @dataclass
 class Lexicon:
-    """Insult words and stems (a stem of at least three letters stands for all words that begin with it), with weights."""
+    """Insult words and stems (a stem stands for all words that begin with it), with weights. Words of a role keep it, whatever was learned."""
 
     words: dict[str, float] = field(default_factory=lambda: dict(INSULTS))
     stems: dict[str, float] = field(default_factory=dict)
@@ -92,11 +110,11 @@ class Lexicon:
     def weight(self, word: str) -> float:
         found = self.words.get(word, 0.0)
         if not found and self.stems:
-            found = max((self.stems.get(word[:k], 0.0) for k in range(3, min(len(word), 8) + 1)), default=0.0)
+            found = max((self.stems.get(word[:k], 0.0) for k in sorted({len(x) for x in self.stems})), default=0.0)
         return found
 
     def automaton(self):
-        """Finds where words that may matter begin; everything else is skipped without being split into words."""
+        """Finds where words that may matter begin; clauses without any aren't split into words."""
         import ahocorasick
 
         found = ahocorasick.Automaton()
@@ -106,46 +124,86 @@ class Lexicon:
         return found
 
 
-PARTS = (Negation(), Reported(), Target(), Threat())
-
-
-def clause_weight(words: Iterable[str], lexicon: Lexicon) -> tuple[float, float, float]:
-    """(weight of insults, weight of threats, plain count of insults) of one clause, by the composition of the transducers."""
-    states = [p.start for p in PARTS]
-    insults = threats = count = held = 0.0
-    for word in words:
-        weight = lexicon.weight(word)
-        kind = "I" if weight else "T" if word in THREATS else "G" if word in TARGETS else "N" if word in NEGATIONS else "R" if word in REPORTS else "-"
-        out = []
-        for k, part in enumerate(PARTS):
-            states[k], got = part.step(states[k], kind)
-            out.append(got)
-        factor = out[0] * out[1] * out[2]
-        if kind == "I":
-            insults += weight * factor
-            count += 1
-        elif kind == "T":
-            held = factor  # a negated or reported threat stays so until its target
-        threats += out[3] * held
-    return insults, threats, count
-
-
-FEATURES = ("log insults", "log threats", "strongest clause", "insults a thousand letters", "any")
-
-
-def features(text: str, lexicon: Lexicon, automaton) -> tuple[float, ...]:
-    """What the score is made of; zeros for a text without a match."""
-    low = text.lower()
-    starts = [s for end, n in automaton.iter(low) if not (s := end - n + 1) or not low[s - 1].isalpha()]
-    if not starts:
-        return (0.0,) * len(FEATURES)
-    insults = threats = strongest = count = 0.0
-    edges = [0, *(m.end() for m in CLAUSE.finditer(low)), len(low)]
-    for k in np.unique(np.searchsorted(edges, starts, "right")).tolist():
-        words = (m.group() for m in LETTERS.finditer(low, edges[k - 1], edges[min(k, len(edges) - 1)]))
-        a, b, n = clause_weight(words, lexicon)
-        insults, threats, strongest, count = insults + a, threats + b, max(strongest, a + b), count + n
-    return (math.log1p(insults), math.log1p(threats), min(strongest, 20.0), min(1000.0 * count / len(low), 50.0), float(insults + threats > 0))
+FEATURES = ("log insults", "log threats", "log strongest clause", "log matched clauses", "share of clauses matched")
+
+
+class Scorer:
+    """Runs the grammar over texts."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.automaton = lexicon, lexicon.automaton()
+        self.following, self.factors = composed()
+        self.known: dict[str, tuple[int, float]] = {w: (k, 1.0) for w, k in ROLES.items()}
+
+    def _symbol(self, word: str) -> tuple[int, float]:
+        found = self.known.get(word)
+        if found is None:
+            weight = self.lexicon.weight(word)
+            found = (1, weight) if weight else (0, 0.0)
+            if len(self.known) < 1 << 18:
+                self.known[word] = found
+        return found
+
+    def symbols(self, words: Iterable[str]) -> tuple[list[int], list[float]]:
+        """Kind and weight of each word. Of a run of other words as many as the longest memory say as much as all of them."""
+        kinds, weights, others = [], [], 0
+        for word in words:
+            kind, weight = self._symbol(word)
+            others = 0 if kind else others + 1
+            if others <= 2 * REACH:
+                kinds.append(kind)
+                weights.append(weight)
+        return kinds, weights
+
+    def run(self, clauses: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of insults and weight of threats of each clause."""
+        sizes = np.array([len(k) for k, _ in clauses], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
+        kinds = np.array([k for c, _ in clauses for k in c], np.int32)
+        weights = np.array([w for _, c in clauses for w in c], float)
+        state, out = np.zeros(len(clauses), np.int32), np.zeros((2, len(clauses)))
+        longest_first = sizes[order]
+        for t in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(-longest_first, -t, "left"))  # clauses that have a word t
+            at = offsets[:n] + t
+            kind, got = kinds[at], self.factors[state[:n], kinds[at]]
+            insults = kind == 1
+            out[0, order[:n]] += np.where(insults, got * weights[at], 0.0)
+            out[1, order[:n]] += np.where(insults, 0.0, got)
+            state[:n] = self.following[state[:n], kind]
+        return out[0], out[1]
+
+    def features(self, texts: list[str], at_once: int = 256) -> np.ndarray:
+        """What the score is made of, a row a text; zeros for a text without a matched clause."""
+        found = np.zeros((len(texts), len(FEATURES)))
+        for k in range(0, len(texts), at_once):
+            self._fill(texts[k : k + at_once], found[k : k + at_once])
+        return found
+
+    def _fill(self, texts: list[str], found: np.ndarray) -> None:
+        clauses, owner, n_clauses = [], [], np.ones(len(texts))
+        for i, text in enumerate(texts):
+            low = text.lower()
+            starts = [s for end, n in self.automaton.iter(low) if not (s := end - n + 1) or not low[s - 1].isalpha()]
+            if not starts:
+                continue
+            edges = [0, *(m.end() for m in CLAUSE.finditer(low)), len(low)]
+            n_clauses[i] = len(edges) - 1
+            for k in np.unique(np.searchsorted(edges, starts, "right")).tolist():
+                clauses.append(self.symbols(m.group() for m in LETTERS.finditer(low, edges[k - 1], edges[min(k, len(edges) - 1)])))
+                owner.append(i)
+        if not clauses:
+            return
+        owner = np.array(owner)
+        insults, threats = self.run(clauses)
+        n = len(texts)
+        strongest = np.zeros(n)
+        np.maximum.at(strongest, owner, insults + threats)
+        matched = np.bincount(owner[insults + threats > 0], minlength=n)
+        columns = (np.bincount(owner, insults, n), np.bincount(owner, threats, n), strongest, matched)
+        found[:, :4] = np.log1p(np.column_stack(columns))
+        found[:, 4] = matched / n_clauses
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,18 +212,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """At most `most` labelled rows (text, toxic), not held out: those whose doc_id hashes lowest."""
-    rows = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), "toxic")
-    picked = rows.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return written(docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "toxic"), "labelled")
+    """At most `most` labelled doc_ids, not held out, those that hash lowest, with the texts of their rows (text, toxic).
+
+    Rows without doc_id or label are left out; of several labels of one doc_id the highest counts. Null texts are empty.
+    """
+    rows = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
+    rows = rows.groupBy(F.col(doc_id).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(most)
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return written(texts.join(F.broadcast(picked), "id").select("text", "toxic"), "labelled")
 
 
-def learned_lexicon(sample: DataFrame, least: int = 6, different: int = 3, most: int = 1000, odds: float = 3.0, stem_odds: float = 4.0) -> Lexicon:
-    """Listed words, and words and stems of four to seven letters that toxic texts of the sample have far more often than others.
+def learned_lexicon(
+    sample: DataFrame, least: int = 6, different: int = 3, odds: float = 3.0, stem_odds: float = 4.0, stem_letters: tuple[int, int] = (4, 7)
+) -> Lexicon:
+    """Listed words, and words and stems of stem_letters letters that toxic texts of the sample have far more often than others.
 
-    Either must be in `least` toxic texts, a stem also stand for several different words; copies count once.
+    Either must be in `least` toxic texts, a stem also stand for `different` words; odds and stem_odds are least logarithms of how much
+    more often. Copies count once, as toxic if any is. What comes to the driver is bounded by the sample alone.
     """
-    sample = written(sample.dropDuplicates(["text"]).withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))), "words")
+    shortest, longest = stem_letters
+    sample = written(sample.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))), "words")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     lexicon = Lexicon()
@@ -177,17 +244,17 @@ def learned_lexicon(sample: DataFrame, least: int = 6, different: int = 3, most:
 
     def strong(counts: DataFrame, odds: float) -> dict:
         found = counts.withColumn("weight", weight).where((F.col("pos") >= least) & (F.col("weight") >= odds))
-        return {r["x"]: r for r in found.orderBy(F.desc("pos"), "x").limit(most).collect()}
+        return {r["x"]: r for r in found.orderBy(F.desc("pos"), "x").collect()}
 
     # a word stands once in a document's list; a stem may come from several words of one document
     by_word = written(words.groupBy(F.col("word").alias("x")).agg(*docs), "word_counts")
-    prefixes = F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(7), F.length("word"))), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("x")
-    several = by_word.withColumnRenamed("x", "word").where(F.length("word") >= 4).select(prefixes, "pos").groupBy("x").agg(F.count("*").alias("words"), F.sum("pos").alias("all")).where((F.col("words") >= different) & (F.col("all") >= least)).select("x")
-    stems = words.where(F.length("word") >= 4).select("doc", "toxic", prefixes).distinct().join(several, "x", "left_semi").groupBy("x").agg(*docs)
+    prefixes = F.explode(F.transform(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length("word"))), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("x")
+    several = by_word.withColumnRenamed("x", "word").where(F.length("word") >= shortest).select(prefixes, "pos").groupBy("x").agg(F.count("*").alias("words"), F.sum("pos").alias("all")).where((F.col("words") >= different) & (F.col("all") >= least)).select("x")
+    stems = words.where(F.length("word") >= shortest).select("doc", "toxic", prefixes).distinct().join(several, "x", "left_semi").groupBy("x").agg(*docs)
     pure = strong(stems, stem_odds)
     # the longest stem that still stands for nearly all of what its shorter ones stand for
     kept = {x: r for x, r in pure.items() if not any(y[:-1] == x and q["pos"] >= 0.9 * r["pos"] for y, q in pure.items() if len(y) == len(x) + 1)}
-    lexicon.stems = {x: float(r["weight"]) for x, r in kept.items() if not any(x[:k] in kept for k in range(4, len(x)))}
+    lexicon.stems = {x: float(r["weight"]) for x, r in kept.items() if not any(x[:k] in kept for k in range(shortest, len(x)))}
     lexicon.words |= {x: float(r["weight"]) for x, r in strong(by_word.where(F.length("x") >= 3), odds).items()}
     return lexicon
 
@@ -212,35 +279,36 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Learns stems and score weights from at most `most` labelled rows that are not held out. Without labels the listed words decide."""
+    """Learns stems and score weights from at most `most` labelled documents that are not held out (see labelled_sample for
+    nulls and ties). Without labels of both kinds, or without documents, the listed words decide."""
     sample = labelled_sample(docs, labels, most, text, doc_id)
     lexicon = learned_lexicon(sample)
     rows = sample.mapInArrow(_features(lexicon), "toxic int, " + ", ".join(f"f{k} double" for k in range(len(FEATURES)))).toPandas()
     y = rows["toxic"].to_numpy(float)
     if len(set(y)) < 2:
-        return Model(lexicon, np.array([1.0, 1.0, 0.0, 0.0, 1.0, -2.5]))
+        return Model(lexicon, np.array([1.0, 1.0, 0.0, 0.0, 0.0, -1.0]))
     return Model(lexicon, fitted(rows.drop(columns="toxic").to_numpy(float), y))
 
 
 def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lexicon.automaton()
+        scorer = Scorer(lexicon)
         for batch in batches:
-            found = [features(t, lexicon, automaton) for t in batch.column(0).to_pylist()]
-            columns = zip(*found, strict=True) if found else [[]] * len(FEATURES)
-            yield pa.record_batch([batch.column(1).cast(pa.int32()), *(pa.array(list(c), pa.float64()) for c in columns)], ["toxic", *(f"f{k}" for k in range(len(FEATURES)))])
+            found = scorer.features(batch.column(0).to_pylist())
+            yield pa.record_batch([batch.column(1), *(pa.array(c) for c in found.T)], ["toxic", *(f"f{k}" for k in range(len(FEATURES)))])
 
     return run
 
 
 def toxicity(docs: DataFrame, model: Model, score: str = "score", text: str = "text") -> DataFrame:
-    """The rows of docs with the score added (0 to 1; a column of that name is replaced). Null and empty texts are scored as texts without a match."""
+    """The rows of docs with the score added (0 to 1; a column of that name is replaced, all others stay). Null and empty
+    texts are scored as texts without a match, each row of repeated ones for itself; an empty table gives no rows."""
     lexicon, weights = model.lexicon, model.weights
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = lexicon.automaton()
+        scorer = Scorer(lexicon)
         for part in texts:
-            x = np.array([features(t or "", lexicon, automaton) for t in part], float).reshape(-1, len(FEATURES))
+            x = scorer.features([t or "" for t in part])
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
     return docs.withColumn(score, F.pandas_udf(run, "double")(F.coalesce(F.col(text), F.lit(""))))
