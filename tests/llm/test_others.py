@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
+from tidemark.llm.common import _BYTE
 from tidemark.llm.fingerprints import fingerprint_neighbours, fingerprints
 from tidemark.llm.mixing import mix_sources, mixed_documents, sainte_lague, source_targets
 from tidemark.llm.queries import op4_toxicity
@@ -201,3 +203,67 @@ def test_toxicity_held_out(spark, docs, empty):
     assert np.allclose(twice[0].weights, twice[1].weights) and twice[0].lexicon == twice[1].lexicon
     assert set(toxicity.toxicity(clashing, twice[0]).columns) == {*clashing.columns, "score"}
     assert len(toxicity.train(empty, told).weights) == len(bare.weights)
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_fingerprint(data):
+    """Byte by byte: the rolling hash of the last eight bytes, the block size by chunk counts, a letter a chunk."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    level = []
+    for i in range(len(data)):
+        x = plain_mix(int.from_bytes(data[i - 7 : i + 1], "little")) if i >= 7 else None
+        level.append(-1 if x is None else 64 if x == 0 else (x & -x).bit_length() - 1)
+    if not data:
+        return 0, "", ""
+    counts = [sum(v >= k for v in level) for k in range(66)]
+    best = min(range(66), key=lambda k: (round(abs(math.log((counts[k] + 1) / 49)), 12), k))
+    out = [best]
+    for k in (best, best + 1):
+        text, total, factor = "", 0, 1
+        for i, byte in enumerate(data):
+            total = (total + int(_BYTE[0][byte]) * factor) % 2**64
+            factor = factor * 0x9E3779B97F4A7C15 % 2**64
+            if level[i] >= k or i == len(data) - 1:
+                text += letters[plain_mix(total) & 63]
+                total, factor = 0, 1
+        out.append(text)
+    return tuple(out)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_likeness(a, b):
+    near = lambda x, y: 1 - plain_distance(x, y) / max(len(x), len(y), 1)
+    if a[0] == b[0]:
+        return max(near(a[1], b[1]), near(a[2], b[2]))
+    return near(a[1], b[2]) if a[0] == b[0] + 1 else near(a[2], b[1]) if b[0] == a[0] + 1 else 0.0
+
+
+def test_fingerprints_against_a_plain_loop(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(rng.choice([0, 1, 7, 8, 9, 40, 700, 4000]))) for _ in range(30)]
+    texts += [texts[-1][:600] + texts[3], "x" * 3000, "x" * 3000, None]
+    df = spark.createDataFrame([(i, t, 5, "y") for i, t in enumerate(texts)], "doc_id long, text string, k int, fingerprint string").repartition(4)
+    plain = [plain_fingerprint((t or "").encode()) for t in texts]
+    shown = lambda f: f"{2 ** f[0]}:{f[1]}:{f[2]}"
+    for r in fingerprint_neighbours(df).collect():
+        t, after = texts[r.doc_id] or "", texts[(r.doc_id + 1) % len(texts)] or ""
+        edited = plain_fingerprint((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode())
+        own, following = plain[r.doc_id], plain[(r.doc_id + 1) % len(texts)]
+        assert r.fingerprint == shown(own) and r.edited_fingerprint == shown(edited)
+        assert abs(r.near_edited - plain_likeness(own, edited)) < 1e-12 and abs(r.near_next - plain_likeness(own, following)) < 1e-12
