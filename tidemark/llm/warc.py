@@ -38,7 +38,7 @@ def chunk_table(pages: DataFrame, chunk_bytes: int = 1 << 16, payload: str = "ht
     sized = told.select("*", F.octet_length("body").cast("long").alias("n_bytes"), F.unhex(F.sha2("body", 256)).alias("digest"), n.alias("n_chunks"))
     numbered = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
     part = F.substring(F.col("body"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
-    return written(numbered.select("record", "page_id", "url", "n_bytes", "digest", "n_chunks", "chunk_no", part.alias("chunk")), "chunks")
+    return written(numbered.select("record", "page_id", "url", "n_bytes", "digest", "n_chunks", "chunk_no", part.alias("chunk")), "chunks", "zstd")
 
 
 def roles(chunks: DataFrame, min_bytes: int = 100) -> DataFrame:
