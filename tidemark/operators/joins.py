@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import filled
+
 
 def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of df; the query fails if a key occurs twice."""
@@ -19,26 +21,30 @@ def many_to_one(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(unique_by(dim, on), list(on), "left")
 
 
-def interval_join(facts: DataFrame, spells: DataFrame, on: str, time: str, row: str) -> DataFrame:
-    """Left join to the spell (start, end, ...) that holds the time, start included and end not; a null end is open. Of several the earliest start counts."""
-    holds = (F.col(f"f.{on}") == F.col(f"s.{on}")) & (F.col(time) >= F.col("start")) & (F.col("end").isNull() | (F.col(time) < F.col("end")))
-    found = facts.alias("f").join(spells.alias("s"), holds, "left").drop(F.col(f"s.{on}"))
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy(row).orderBy("start"))).where("_n = 1").drop("_n", "start", "end")
+def interval_join(facts: DataFrame, spells: DataFrame, on: str, time: str) -> DataFrame:
+    """Left join to the spell (start, end, ...) that holds the time, start included and end not; a null end is open. Of several the earliest start counts.
+
+    A key's spells, a short history, become one sorted array, in which each fact looks up its own: facts aren't grouped again.
+    """
+    told = [c for c in spells.columns if c not in (on, "start", "end")]
+    packed = spells.groupBy(on).agg(F.array_sort(F.collect_list(F.struct("start", "end", *told))).alias("_spells"))
+    holds = lambda s: (F.col(time) >= s["start"]) & (s["end"].isNull() | (F.col(time) < s["end"]))
+    found = facts.join(packed, on, "left").withColumn("_spell", F.get(F.filter("_spells", holds), F.lit(0)))
+    return found.select(*facts.columns, *[F.col(f"_spell.{c}").alias(c) for c in told])
 
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: str, forward: bool = False, strict: bool = True) -> DataFrame:
     """left with `value` of the nearest right row (one per key and time) before or after; strict leaves out equal times.
 
-    Both sides meet in one sort by key and time instead of a range join, so a key costs its rows once.
+    Both sides meet in one order by key and time, dealt to ranges, so a key costs its rows once and a hot key is split.
     """
     tagged = left.withColumns({value: F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(1)})
     seen = right.select(*by, time, value, F.lit(0).alias("_side"))
     rows = tagged.unionByName(seen, allowMissingColumns=True)
-    ahead = (F.col("_side") if not strict else -F.col("_side")) if not forward else (-F.col("_side") if not strict else F.col("_side"))
-    w = Window.partitionBy(*by).orderBy(time, ahead)
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
-    return rows.withColumn(value, pick(F.when(F.col("_side") == 0, F.col(value)), ignorenulls=True).over(frame)).where("_side = 1").drop("_side")
+    # among equal times, those of the right that may count stand on the side that is looked at
+    ahead = F.col("_side") if strict == forward else -F.col("_side")
+    out = filled(rows, by, [F.col(time), ahead], {value: F.when(F.col("_side") == 0, F.col(value))}, forward)
+    return out.where("_side = 1").drop("_side").select(*left.columns, value)
 
 
 def agreed(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cents, normalised_name, places
 from ..operators import facts as facts_op
 from ..operators import joins as J
+from ..operators.ordered import ranked
 from ..sources.tables import table
 
 SPELLS = [(0, "2024-01-01", "2024-01-10", "a"), (0, "2024-01-10", None, "b"), (1, "2024-01-05", "2024-01-20", "c"), (1, "2024-01-15", "2024-01-25", "d")]
@@ -25,19 +26,20 @@ def _slots(spark):
 def interval_join_spells(spark, d):
     spells = spark.createDataFrame(SPELLS, "k long, start string, end string, spell string").withColumns({c: F.col(c).cast("timestamp") for c in ("start", "end")})
     e = _events(spark, d).select("event_id", "ts", F.pmod("user_id", F.lit(3)).alias("k"))
-    out = J.interval_join(e, F.broadcast(spells), "k", "ts", "event_id")
+    out = J.interval_join(e, spells, "k", "ts")
     return out.select("event_id", F.coalesce("spell", F.concat(F.lit("k"), "k")).alias("spell"))
 
 
 def slot_window_assign(spark, d):
     spells = _slots(spark).withColumn("end", F.lead("at").over(Window.orderBy("at"))).select(F.lit(0).alias("k"), "slot", F.col("at").alias("start"), "end")  # a row a slot
-    return J.interval_join(_events(spark, d).select("event_id", "ts", F.lit(0).alias("k")), F.broadcast(spells), "k", "ts", "event_id").select("event_id", "slot")
+    return J.interval_join(_events(spark, d).select("event_id", "ts", F.lit(0).alias("k")), spells, "k", "ts").select("event_id", "slot")
 
 
 def asof_forward(spark, d):
-    slots = F.broadcast(_slots(spark))
-    e = _events(spark, d).select("event_id", "ts")
-    return e.join(slots, F.col("at") >= F.col("ts"), "left").groupBy("event_id").agg(F.min("slot").alias("slot"))
+    """The first slot due at or after an event: a lookup in one sorted array of all slots."""
+    slots = _slots(spark).agg(F.array_sort(F.collect_list(F.struct("at", "slot"))).alias("slots"))
+    e = _events(spark, d).select("event_id", "ts").join(F.broadcast(slots))  # one row
+    return e.select("event_id", F.get(F.filter("slots", lambda s: s["at"] >= F.col("ts")), F.lit(0))["slot"].alias("slot"))
 
 
 def _nation_orders(spark, d):
@@ -112,8 +114,8 @@ def version_diff_movers(spark, d):
 
 def pair_by_category(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", cents("p_retailprice").alias("price"))
-    up = p.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("price", "p_partkey")))
-    down = p.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("price"), "p_partkey")))
+    up = ranked(p, ["p_brand"], [F.col("price"), F.col("p_partkey")], "n")
+    down = ranked(p, ["p_brand"], [F.desc("price"), F.col("p_partkey")], "n")
     return up.alias("a").join(down.alias("b"), ["p_brand", "n"]).select("p_brand", F.col("a.p_partkey").alias("low"), F.col("b.p_partkey").alias("high"), (F.col("b.price") - F.col("a.price")).alias("gap"))
 
 

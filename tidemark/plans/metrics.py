@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cents, clip, hash_uniform, log_loss, places, tail_two_or_more
 from ..operators import metrics as M
+from ..operators.ordered import percentiles
 from ..sources.tables import table
 
 RULES = [("A", 3), ("N", 1), ("R", -2)]
@@ -93,8 +94,11 @@ def margin_sigma_fallback(spark, d):
 
 
 def softmax_threats(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.exp(cents("c_acctbal") / 100000.0).alias("e"))
-    return c.select("c_custkey", places(F.col("e") / F.sum("e").over(Window.partitionBy("c_mktsegment")), 8).alias("weight"))
+    """Shares of a segment by the exponential of the balance, shifted by the segment's greatest so that none overflows."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", (cents("c_acctbal") / 100000.0).alias("x"))
+    c = c.join(c.groupBy("c_mktsegment").agg(F.max("x").alias("most")), "c_mktsegment").withColumn("e", F.exp(F.col("x") - F.col("most")))
+    sums = c.groupBy("c_mktsegment").agg(F.sum("e").alias("total"))
+    return c.join(sums, "c_mktsegment").select("c_custkey", places(F.col("e") / F.col("total"), 8).alias("weight"))
 
 
 def rule_table_score(spark, d):
@@ -126,9 +130,15 @@ def poisson_tail(spark, d):
 
 
 def winsor_minmax(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", cents("s_acctbal").alias("b"))
-    edges = s.agg(F.percentile("b", 0.05).alias("lo"), F.percentile("b", 0.95).alias("hi"))
-    return s.crossJoin(F.broadcast(edges)).select("s_suppkey", places((F.least(F.greatest("b", "lo"), "hi") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("x"))
+    """Balances between their 5th and 95th percentile as 0 to 1; unknown ones, and all where there is no spread, are a half."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 10 > 0, cents("s_acctbal")).alias("b"))
+    edges = percentiles(s, "b", [0.05, 0.95]).select(F.col("p0").alias("lo"), F.col("p1").alias("hi"))
+    x = (clip_to(F.col("b"), F.col("lo"), F.col("hi")) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    return s.join(F.broadcast(edges)).select("s_suppkey", places(F.coalesce(x, F.lit(0.5)), 6).alias("x"))  # one row
+
+
+def clip_to(x, low, high):
+    return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
 def mc_p_best(spark, d):
@@ -168,13 +178,13 @@ SELECT coalesce(bucket, 'all') AS bucket, count(*) AS n, round(sqrt(avg(e * e)),
     "confusion_last_row": f"{E_}, t AS (SELECT arg_max(v, (ts, event_id)) AS last, max(v) AS most FROM e GROUP BY user_id, day) SELECT last > 5000 AS said, most > 8000 AS was, count(*) AS n FROM t GROUP BY 1, 2",
     "ols_slope": f"WITH o AS (SELECT o_custkey, {Y_} AS y, year(o_orderdate) * 12 + month(o_orderdate) AS x FROM orders) SELECT o_custkey, count(*) AS n, round(regr_slope(y, x), 4) AS slope FROM o GROUP BY 1 HAVING count(*) >= 5 AND var_pop(x) > 0",
     "margin_sigma_fallback": f"WITH o AS (SELECT o_custkey, {Y_} AS y FROM orders), p AS (SELECT stddev_samp(y) AS s FROM o), g AS (SELECT o_custkey, count(*) AS n, stddev_samp(y) AS s FROM o GROUP BY 1) SELECT o_custkey, round(least(greatest(CASE WHEN n >= 6 THEN g.s ELSE p.s END, 0.5), 1.2), 4) AS sigma FROM g, p",
-    "softmax_threats": "WITH c AS (SELECT c_custkey, c_mktsegment, exp(CAST(round(c_acctbal * 100) AS BIGINT) / 100000.0::DOUBLE) AS e FROM customer) SELECT c_custkey, round(e / sum(e) OVER (PARTITION BY c_mktsegment), 8) AS weight FROM c",
+    "softmax_threats": "WITH b AS (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) / 100000.0::DOUBLE AS x FROM customer), c AS (SELECT *, exp(x - max(x) OVER (PARTITION BY c_mktsegment)) AS e FROM b) SELECT c_custkey, round(e / sum(e) OVER (PARTITION BY c_mktsegment), 8) AS weight FROM c",
     "rule_table_score": f"{L_} SELECT l_orderkey, CAST(sum(q * CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 1 WHEN 'R' THEN -2 ELSE 0 END) AS BIGINT) AS score FROM l GROUP BY 1",
     "convex_blend": f"{L_}, g AS (SELECT l_partkey, CAST(sum(v) AS DOUBLE) / sum(q) AS market FROM l GROUP BY 1), p AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS DOUBLE) AS own FROM part) SELECT p_partkey, round(coalesce(market * 0.8::DOUBLE + own * 0.2::DOUBLE, own), 3) AS blend FROM p LEFT JOIN g ON p_partkey = l_partkey",
     "availability_cascade": f"{E_} SELECT event_id, CAST(CASE WHEN v IS NULL THEN 1.0 WHEN v >= 7500 THEN 0.0 WHEN v >= 5000 AND user_id % 2 = 0 THEN 0.25 WHEN v >= 5000 THEN 0.5 WHEN v >= 2500 THEN 0.75 ELSE 1.0 END AS DOUBLE) AS chance FROM e",
     "devig_normalise": f"{L_}, g AS (SELECT l_orderkey, l_suppkey, sum(1.0::DOUBLE / v) AS i FROM l GROUP BY ALL) SELECT l_orderkey, l_suppkey, round(i / sum(i) OVER (PARTITION BY l_orderkey), 6) AS p FROM g",
     "poisson_tail": f"{L_}, g AS (SELECT l_orderkey, CAST(sum(q) AS DOUBLE) / 50.0 AS m FROM l GROUP BY 1) SELECT l_orderkey, round(1 - exp(-m) * (1 + m), 6) AS p FROM g",
-    "winsor_minmax": "WITH s AS (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS b FROM supplier), e AS (SELECT quantile_cont(b, 0.05) AS lo, quantile_cont(b, 0.95) AS hi FROM s) SELECT s_suppkey, round((least(greatest(b, lo), hi) - lo) / (hi - lo), 6) AS x FROM s, e",
+    "winsor_minmax": "WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 > 0 THEN CAST(round(s_acctbal * 100) AS BIGINT) END AS b FROM supplier), e AS (SELECT quantile_cont(b, 0.05) AS lo, quantile_cont(b, 0.95) AS hi FROM s) SELECT s_suppkey, CASE WHEN b IS NULL OR hi = lo THEN 0.5::DOUBLE ELSE round((least(greatest(b, lo), hi) - lo) / (hi - lo), 6) END AS x FROM s, e",
     "mc_p_best": """WITH c AS (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS b, draw FROM customer, range(0, 40) t(draw)),
 n AS (SELECT *, b + CAST(floor(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 200000) AS BIGINT) AS s FROM c),
 m AS (SELECT c_mktsegment, draw, c_custkey FROM n QUALIFY row_number() OVER (PARTITION BY c_mktsegment, draw ORDER BY s DESC, c_custkey DESC) = 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cents, places
 from ..operators import windows as W
+from ..operators.ordered import filled, ranked
 from ..sources.tables import table
 
 TIME = ["o_orderdate", "o_orderkey"]
@@ -116,23 +117,18 @@ def topn_per_group_plus_owned(spark, d):
 
 def rank_change_table(spark, d):
     o = _orders(spark, d).where("yr = 2000").groupBy("o_custkey").agg(F.sum(F.when(F.month("o_orderdate") < 12, F.col("v")).otherwise(0)).alias("pre"), F.sum("v").alias("total"))
-    return W_rank(o)
-
-
-def W_rank(o):
-    from pyspark.sql import Window
-
-    # a league table is one list by nature: the rows are one per entrant
-    r = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "o_custkey")).cast("bigint")
-    return o.withColumns({"pre_rank": r("pre"), "live_rank": r("total")}).select("o_custkey", "total", "live_rank", (F.col("pre_rank") - F.col("live_rank")).alias("change"))
+    out = ranked(ranked(o, [], [F.desc("pre"), F.col("o_custkey")], "pre_rank"), [], [F.desc("total"), F.col("o_custkey")], "live_rank")
+    return out.select("o_custkey", "total", F.col("live_rank").cast("bigint").alias("live_rank"), (F.col("pre_rank") - F.col("live_rank")).cast("bigint").alias("change"))
 
 
 def neighbour_margins(spark, d):
-    from pyspark.sql import Window
-
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("nation"), cents("c_acctbal").alias("bal"))
-    w = Window.partitionBy("nation").orderBy(F.desc("bal"), "c_custkey")
-    return c.select("c_custkey", (F.lag("bal").over(w) - F.col("bal")).alias("behind"), (F.col("bal") - F.lead("bal").over(w)).alias("ahead"), (F.first("bal").over(w) - F.col("bal")).alias("to_leader"))
+    c = c.withColumn("place", F.struct((-F.col("bal")).alias("b"), F.col("c_custkey").alias("k")))
+    before = filled(c, ["nation"], [F.col("place")], {"above": F.col("bal")}, own=False)
+    both = filled(before, ["nation"], [F.col("place")], {"below": F.col("bal")}, forward=True, own=False)
+    leaders = c.groupBy("nation").agg(F.max("bal").alias("leader"))
+    out = both.join(leaders, "nation")
+    return out.select("c_custkey", (F.col("above") - F.col("bal")).alias("behind"), (F.col("bal") - F.col("below")).alias("ahead"), (F.col("leader") - F.col("bal")).alias("to_leader"))
 
 
 def latest_per_key(spark, d):
