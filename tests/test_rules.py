@@ -1,14 +1,16 @@
 """Bands, squads, stored tables and drifting sources against plain versions."""
 
 import math
+import re
 import random
+import unicodedata
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import odds, rules
+from tidemark.functions import normalised_name, odds, rules, table_cells
 from tidemark.operators import ordered, reports, squads
 from tidemark.sources import contracts, stores
 
@@ -135,3 +137,13 @@ def test_late_rows_and_projection(spark):
     assert {tuple(r) for r in reports.latest_before(df, "k", "t", [], F.col("due")).collect()} == {("a", 3, 10, False), ("b", 12, 10, True)}
     series = spark.createDataFrame([("a", 1, 10), ("a", 3, 20), ("a", 9, 99), ("b", 1, 5)], "k string, t int, v int")
     assert [tuple(r) for r in reports.projected(series, "k", "t", "v", F.lit(5)).collect()] == [("a", 2, 5.0, 30.0)]
+
+
+def test_names_and_cells(spark):
+    names = ["Łukasz Fabiański", "Ødegaard", "João Félix", "N'Golo Kanté", "Čech-Šesko", "Müller", "Ștefan", "Nguyễn", "Åke", "D’Alè"]
+    got = [r.n for r in spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, x string").orderBy("i").select(normalised_name("x").alias("n")).collect()]
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c))
+    assert got == [" ".join(re.sub("[^a-z0-9]+", " ", re.sub("['’]", "", plain(x))).split()) for x in names]
+    html = "<table><!-- <tr><td>no</td></tr> --><tr><th>Player</th><th>Status</th></tr>\n<TR class='x'><td><a href='/p'>Saka</a>  B.</td><td>75%\n fit</td></TR><tr></tr></table>"
+    cells = spark.createDataFrame([(html,), ("",), (None,)], "h string").select(table_cells(F.col("h")).alias("c")).collect()
+    assert [r.c for r in cells] == [[["Player", "Status"], ["Saka B.", "75% fit"], []], [], None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -50,10 +51,28 @@ def ratio(top: Column | str, bottom: Column | str) -> Column:
     return _c(top) / F.nullif(_c(bottom), F.lit(0))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Each lower-case Latin letter that decomposes into one plain letter and marks, and that letter; marks by themselves go."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare.isascii() and bare != c:
+            found[c] = bare
+    return "".join(found), "".join(found.values())
+
+
 def normalised_name(name: Column | str) -> Column:
-    """Lower case without the common Latin accents and apostrophes; other punctuation parts words, runs of blanks shrink."""
-    accented, plain = "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy"
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(_c(name)), accented, plain), "['’]", ""), "[^a-z0-9]+", " "))
+    """Lower case without the accents of Latin letters and apostrophes; other punctuation parts words, runs of blanks shrink."""
+    plain = F.regexp_replace(F.translate(F.lower(_c(name)), *_plain_letters()), "[\u0300-\u036f'’]", "")
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+
+
+def table_cells(html: Column) -> Column:
+    """Array of a page's table rows, each an array of its cells' texts without tags; comments and scripts don't count."""
+    clean = F.regexp_replace(html, "(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>", "")
+    rows = F.regexp_extract_all(clean, F.lit("(?is)<tr\\b[^>]*>(.*?)</tr>"), 1)
+    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", " "), r"\s+", " "))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh]\\b[^>]*>(.*?)</t[dh]>"), 1), text))
 
 
 def tail_two_or_more(mean: Column | str) -> Column:

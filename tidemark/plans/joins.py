@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import cents, normalised_name, places
+from ..functions import cents, normalised_name, places, table_cells
 from ..operators import facts as facts_op
 from ..operators import joins as J
 from ..operators.ordered import ranked
@@ -124,7 +124,8 @@ def json_props_extract(spark, d):
 
 
 def name_normalise(spark, d):
-    return table(spark, d, "part").select("p_partkey", normalised_name("p_name").alias("name"))
+    """Part names, some of them with accents put on, as plain ones."""
+    return table(spark, d, "part").select("p_partkey", normalised_name(F.translate("p_name", "aeoncs", "ÁêØñçš")).alias("name"))
 
 
 def numbers_in_facts(spark, d):
@@ -140,20 +141,29 @@ def check_brief(spark, d):
 
 
 def html_table_parse(spark, d):
+    """The items that a page lists, and the cells of its tables if it has any, as rows in their order."""
     p = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("h"))
-    return p.select("page_id", F.regexp_extract("h", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("h", F.lit("(<a )"), 1)).cast("bigint").alias("links"), F.size(F.regexp_extract_all("h", F.lit("(<p[ >])"), 1)).cast("bigint").alias("paragraphs"))
+    links = F.arrays_zip(F.regexp_extract_all("h", F.lit(LINK), 1).alias("x"), F.regexp_extract_all("h", F.lit(LINK), 2).alias("y"))
+    cells = F.flatten(F.transform(table_cells(F.col("h")), lambda r, i: F.transform(r, lambda c: F.struct(i.cast("string").alias("x"), c.alias("y")))))
+    return p.select("page_id", F.posexplode(F.concat(links, cells)).alias("n", "c")).select("page_id", F.col("n").cast("bigint").alias("n"), F.col("c.x").alias("key"), F.col("c.y").alias("value"))
 
 
 def bounded_counter_fold(spark, d):
-    """A bank that gains one a month up to five and pays for each order; a customer's months are bounded by the calendar."""
-    m = table(spark, d, "orders").groupBy("o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    listed = m.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("a"))
-    bank = F.aggregate("a", F.lit(1).cast("bigint"), lambda b, x: F.least(F.lit(5), F.greatest(b - x["n"], F.lit(0)) + 1).cast("bigint"))
-    return listed.select("o_custkey", bank.alias("bank"))
+    """Free moves left: from one, each month of the calendar adds one, up to five, after paying for its orders; months of a chip (every eleventh) change nothing."""
+    o = table(spark, d, "orders").select("o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("slot"))
+    span = o.agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+    months = o.groupBy("o_custkey", "slot").agg(F.count(F.lit(1)).alias("n")).groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("used"))  # a calendar's months
+    spent = lambda m: F.coalesce(F.try_element_at("used", m), F.lit(0))
+    step = lambda bank, m: F.when(m % 11 == 0, bank).otherwise(F.least(F.lit(5), F.greatest(bank - spent(m), F.lit(0)) + 1)).cast("bigint")
+    folded = F.aggregate(F.sequence("first", "last"), F.lit(1).cast("bigint"), step)
+    return months.join(F.broadcast(span)).select("o_custkey", folded.alias("bank"))  # one row
 
 
+LINK = '<a href="([^"]*)"[^>]*>([^<]*)</a>'
+
 QUERIES = {f.__name__: f for f in (interval_join_spells, slot_window_assign, asof_forward, asof_backward_latest, asof_next, many_to_one_enrich, lookup_conflict_poison, semi_having, anti_threats, dense_grid_counts, idempotent_append, dedupe_keep_last, trend_projection, version_diff_movers, pair_by_category, json_props_extract, name_normalise, numbers_in_facts, check_brief, html_table_parse, bounded_counter_fold)}
 
+ACCENTED = "translate(p_name, 'aeoncs', 'ÁêØñçš')"
 _values = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
 S_ = f"WITH s AS (SELECT CAST(slot AS BIGINT) AS slot, CAST(due AS TIMESTAMP) AS due FROM (VALUES {_values(SLOTS)}) v(slot, due))"
 N_ = "WITH o AS (SELECT o_orderkey, CAST(c_nationkey AS BIGINT) AS nation, o_orderdate AS t, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders JOIN customer ON o_custkey = c_custkey), r AS (SELECT nation, t, max(v) AS v FROM o GROUP BY ALL)"
@@ -180,7 +190,7 @@ SELECT event_id, coalesce(arg_min(n, a), 'k' || CAST(any_value(user_id % 3) AS V
 SELECT o_custkey, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'dropped' ELSE 'moved' END AS kind, coalesce(b, 0) - coalesce(a, 0) AS delta FROM t WHERE (a IS NOT NULL OR b IS NOT NULL) AND (a IS NULL OR b IS NULL OR abs(b - a) >= 1000000)""",
     "pair_by_category": "WITH p AS (SELECT p_brand, p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS price FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY price, p_partkey) AS u, row_number() OVER (PARTITION BY p_brand ORDER BY price DESC, p_partkey) AS w FROM p) SELECT a.p_brand, a.p_partkey AS low, b.p_partkey AS high, b.price - a.price AS gap FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.u = b.w",
     "json_props_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "name_normalise": "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM part",
+    "name_normalise": f"SELECT p_partkey, trim(regexp_replace(regexp_replace(strip_accents(lower({ACCENTED})), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM part",
     "numbers_in_facts": "SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS numbers FROM conversations",
     "check_brief": rf"""WITH t AS (SELECT conv_id, turn, role IS NOT DISTINCT FROM 'user' AS fact, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^{BLANK}|{BLANK}$', '', 'g'), '([.!?]){BLANK}', '\1' || chr(1), 'g'), chr(1)) AS a FROM conversations),
 s AS (SELECT conv_id, turn, fact, unnest(a) AS x, CAST(generate_subscripts(a, 1) AS BIGINT) AS sentence FROM t),
@@ -192,9 +202,10 @@ SELECT conv_id, turn, sentence, kind, token, count(*) AS n FROM k WHERE NOT fact
 AND (kind = 'number' OR (token <> '' AND token NOT IN {facts_op.ALLOW} AND CASE WHEN i = 1 THEN token IN (SELECT token FROM o) ELSE regexp_matches(token, '^\p{{Lu}}') AND NOT regexp_matches(token, '^GW[0-9]+$') END))
 AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.kind = k.kind AND f.token = k.token)
 AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.kind = k.kind AND k.kind = 'number' AND f.token = ltrim(k.token, '-')) GROUP BY ALL""",
-    "html_table_parse": "SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(coalesce(html, ''), '<a ')) AS links, len(regexp_extract_all(coalesce(html, ''), '<p[ >]')) AS paragraphs FROM pages",
-    "bounded_counter_fold": """WITH RECURSIVE m AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS slot, count(*) AS n FROM orders GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY slot) AS k, count(*) OVER (PARTITION BY o_custkey) AS z FROM m),
-f AS (SELECT o_custkey, CAST(0 AS BIGINT) AS k, any_value(z) AS z, CAST(1 AS BIGINT) AS bank FROM r GROUP BY o_custkey UNION ALL SELECT f.o_custkey, r.k, f.z, CAST(least(5, greatest(bank - n, 0) + 1) AS BIGINT) FROM f JOIN r ON r.o_custkey = f.o_custkey AND r.k = f.k + 1)
-SELECT o_custkey, bank FROM f WHERE k = z""",
+    "html_table_parse": f"""WITH p AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{LINK}', 1) AS xs, regexp_extract_all(coalesce(html, ''), '{LINK}', 2) AS ys FROM pages)
+SELECT page_id, unnest(range(0, len(xs))) AS n, unnest(xs) AS key, unnest(ys) AS value FROM p""",
+    "bounded_counter_fold": """WITH RECURSIVE m AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS slot, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT min(slot) AS a, max(slot) AS z FROM m),
+f AS (SELECT DISTINCT o_custkey, a AS slot, z, CAST(1 AS BIGINT) AS bank FROM m, s UNION ALL
+  SELECT f.o_custkey, f.slot + 1, z, CASE WHEN f.slot % 11 = 0 THEN bank ELSE CAST(least(5, greatest(bank - coalesce(n, 0), 0) + 1) AS BIGINT) END FROM f LEFT JOIN m ON m.o_custkey = f.o_custkey AND m.slot = f.slot WHERE f.slot <= z)
+SELECT o_custkey, bank FROM f WHERE slot = z + 1""",
 }

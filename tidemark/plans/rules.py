@@ -91,7 +91,7 @@ def formation_check(spark, d):
 
 def tilt_dial(spark, d):
     c = table(spark, d, "customer").select("c_custkey", (cents("c_acctbal") / 100000.0).alias("ep"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey") % 13 / 10.0).alias("cover"), F.explode(F.array(*map(F.lit, (-0.5, 0.0, 0.4)))).alias("dial"))
-    return c.select("c_custkey", "dial", places(R.tilt(F.col("ep"), F.col("cover"), F.col("dial"))).alias("ep"))
+    return c.select("c_custkey", "dial", places(R.tilt(F.col("ep"), F.col("cover"), F.col("dial")), 8).alias("ep"))
 
 
 def remaining_expectation(spark, d):
@@ -206,7 +206,7 @@ SELECT squad, count(*) = 11 AND count(*) FILTER (WHERE kind = 'GKP') = 1 AND cou
   AND count(*) FILTER (WHERE kind = 'MID') BETWEEN 2 AND 5 AND count(*) FILTER (WHERE kind = 'FWD') BETWEEN 1 AND 3 AS legal FROM p GROUP BY 1""",
     "tilt_dial": """WITH c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) / 100000 AS ep, coalesce(least(CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 13 / 10 END, 1), 0) AS cover,
   unnest([-0.5, 0.0, 0.4]::DOUBLE[]) AS dial FROM customer)
-SELECT c_custkey, dial, round(CASE WHEN dial = 0 THEN ep ELSE ep * (1 + dial * (1 - CASE WHEN c_custkey % 4 > 0 THEN cover ELSE 0 END)) / (1 + greatest(dial, 0)) END, 4)::DOUBLE AS ep FROM c""",
+SELECT c_custkey, dial, round(CASE WHEN dial = 0 THEN ep ELSE ep * (1 + dial * (1 - CASE WHEN c_custkey % 4 > 0 THEN cover ELSE 0 END)) / (1 + greatest(dial, 0)) END, 8)::DOUBLE AS ep FROM c""",
     "remaining_expectation": f"""{L} SELECT l_orderkey, k, round(CASE WHEN l_linestatus = 'F' THEN 0 WHEN k <= 1 THEN 1
   ELSE least(1, (k % 2 + greatest(0, 1 - q * 2 / 90)) / greatest(1, disc % 3)) END, 4)::DOUBLE AS "left" FROM l""",
     "event_estimates": f"""{L}, s AS (SELECT greatest(0, coalesce(nullif(q, 9) / 20 - k / 10, 0)) AS gap FROM l)
