@@ -20,6 +20,10 @@ RETURNS_NOW = 50.0
 RECOVERY = 0.7
 PEN_XG, PEN_LEAST = 0.79, 0.5
 FULL_MATCH = 90
+GOAL_POINTS = {"GKP": 10.0, "DEF": 6.0, "MID": 5.0, "FWD": 4.0}
+PEN_CONVERSION, PENS_PER_GAME = 0.78, 0.13
+ATTACK_BOUNDS, PEN_EP_BOUNDS = (0.6, 1.6), (-0.3, 0.8)
+HOME_EDGE = 60.0
 
 
 def order_score(order: Column) -> Column:
@@ -138,3 +142,38 @@ def gap_win_probability(mine: Column, theirs: Column, slots: Column, sigma: floa
     """That a lead outlasts so many slots of normal noise of both sides."""
     sure = (mine >= theirs).cast("double")
     return F.when(slots <= 0, sure).otherwise(normal_cdf((mine - theirs) / (sigma * F.sqrt(2 * F.greatest(slots, F.lit(1))))))
+
+
+def goal_points(kind: Column) -> Column:
+    out = F.lit(0.0)
+    for name, points in GOAL_POINTS.items():
+        out = F.when(kind == name, points).otherwise(out)
+    return out
+
+
+def penalty_increment(now: Column, before: Column, attack: Column, points: Column, plays: Column) -> Column:
+    """Goals to add for a change of a taker's share, (goals, ep), scaled so that plays x goals x points is the bounded ep."""
+    goals = (F.coalesce(now, F.lit(0.0)) - F.coalesce(before, F.lit(0.0))) * PENS_PER_GAME * clip(F.coalesce(attack, F.lit(1.0)), *ATTACK_BOUNDS) * PEN_CONVERSION
+    raw = goals * points * F.coalesce(plays, F.lit(0.0))
+    ep = clip(raw, *PEN_EP_BOUNDS)
+    return F.struct(F.when(raw == 0, 0.0).otherwise(goals * ep / raw).alias("goals"), ep.alias("ep"))
+
+
+def expected_score(own: Column, other: Column, home: Column) -> Column:
+    """By Elo's logistic curve, with the edge of playing at home."""
+    return 1 / (1 + F.pow(F.lit(10.0), -(own + F.when(home, HOME_EDGE).otherwise(0.0) - other) / 400))
+
+
+def rescaled_modes(absent: Column, calibrated: Column, sub: Column, start: Column) -> Column:
+    """(absent, sub, start) with the calibrated chance of absence: the other two keep their ratio; without any mass of theirs, what is freed goes to sub."""
+    rest = 1 - absent
+    wide = rest > 1e-12
+    scale = F.when(wide, (1 - calibrated) / F.when(wide, rest)).otherwise(1.0)
+    return F.struct(calibrated.alias("absent"), (sub * scale + F.when(wide, 0.0).otherwise(1 - calibrated)).alias("sub"), (start * scale).alias("start"))
+
+
+def first_date(text: Column, *formats: str) -> Column:
+    """The date by the first format that reads the text, null if none does; two-digit years from 69 on are of the last century."""
+    found = [(f, F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f in formats]
+    century = lambda f, t: F.when(F.year(t) > 2068, F.add_months(t, -1200)).otherwise(t) if "yyyy" not in f else t
+    return F.coalesce(*[century(f, t) for f, t in found])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import XI_BOUNDS
@@ -57,3 +57,20 @@ def substituted(rows: DataFrame, squad: str, place: str, kind: str, played: str,
     start = F.struct(counts.alias("counts"), F.array().cast("array<int>").alias("ins"), F.lit(0).cast("bigint").alias("points"))
     done = squads.withColumn("s", F.aggregate("xi", start, step))
     return done.select(squad, F.size("s.ins").cast("bigint").alias("n_subs"), F.col("s.ins").alias("ins"), F.col("s.points").alias("points"))
+
+
+def effective_multipliers(picks: DataFrame, squad: str, place: str, multiplier: str, captain: str, vice: str, starters: int = 11) -> DataFrame:
+    """The picks that count in an ordinary week, with their multiplier: starters once, one armband twice.
+
+    The armband is the captain's if that one starts, else the vice's, else the first doubled starter's. In a
+    squad with an unknown place the stored multipliers stand, up to 2. A squad is a window of fifteen rows.
+    """
+    whole = Window.partitionBy(squad)
+    starts = F.col(place) <= starters
+    claim = F.when(starts & F.col(captain), 1).when(starts & F.col(vice), 2).when(starts & (F.col(multiplier) >= 2), 3)
+    claim = F.when(claim.isNotNull(), F.struct(claim, F.col(place)))
+    rows = picks.withColumns({"_claim": claim, "_best": F.min(claim).over(whole), "_unknown": F.max(F.col(place).isNull()).over(whole)})
+    ordinary = F.when(starts, F.when(F.col("_claim") == F.col("_best"), 2).otherwise(1))
+    stored = F.least(F.coalesce(multiplier, F.lit(0)), F.lit(2))
+    out = rows.withColumn(multiplier, F.when(F.col("_unknown"), stored).otherwise(ordinary).cast("bigint"))
+    return out.where(F.col(multiplier) > 0).select(*picks.columns)
