@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cents, hash_uniform, odds, places
 from ..functions import rules as R
+from ..operators import feeds, models
 from ..operators import reviews as V
 from ..operators import simulation as S
 from ..operators import squads as Q
@@ -247,12 +248,51 @@ def horizon_decomposition(spark, d):
     return grid.select("l_returnflag", "horizon", "total", (F.first("total").over(by_source) - F.col("total")).alias("gap_horizon"), (F.max("total").over(by_horizon) - F.col("total")).alias("gap_source"))
 
 
+def merged_availability(spark, d):
+    """Parts as an official list, some of it listed as injured by the lines and hinted at by sizes; slot 6 is the present."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("code"), "p_size")
+    status = F.element_at(F.array(*map(F.lit, "aidsun")), (F.col("p_size") % 6 + 1).cast("int"))
+    official = p.select("code", status.alias("status"), F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 4 * 25.0).alias("chance"))
+    injuries = p.where("code % 3 > 0").select("code", F.concat(F.lit("type "), F.col("code") % 7).alias("injury_type"), F.when(F.col("code") % 5 > 0, F.col("code") % 10).alias("return_slot"), F.when(F.col("code") % 4 == 1, 25.0).alias("pct"), F.lit("press").alias("source"))
+    lineups = p.where("code % 2 = 0").select("code", (F.col("p_size") / 50.0).alias("p_start_hint"))
+    return feeds.merged_availability(official, injuries, lineups, 6)
+
+
+def superseded_versions(spark, d):
+    """Orders as versions of a customer's month, graded by a stamp that often exists."""
+    v = table(spark, d, "orders").select("o_custkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("slot"), F.col("o_orderkey").alias("stamp"))
+    grades = v.where("o_custkey % 4 > 0").groupBy("o_custkey", "slot").agg((F.max("stamp") + F.when(F.col("o_custkey") % 5 == 0, 1_000_000_000).otherwise(0)).alias("stamp"))
+    return feeds.superseded(v, grades, ["o_custkey", "slot"], "stamp")
+
+
+def rival_strategy(spark, d):
+    c = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 8).cast("bigint").alias("league"), "c_custkey", F.floor(cents("c_acctbal") / 5000).alias("total"), (F.col("c_custkey") % 5 + 8).cast("double").alias("sigma"))
+    out = feeds.strategy(c, "league", "c_custkey", "total", F.col("c_custkey") % 8 == 5, "sigma", 9, 0.5, 1.0, 0.25)
+    return out.select("league", "rival", "gap", places("z", 6).alias("z"), places("dial", 6).alias("dial"), "stance")
+
+
+def lane_odds(spark, d):
+    """What my captain and my transfers are worth in chances to win a league of twenty, against two other choices on the same draws."""
+    c = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 20).cast("bigint").alias("league"), "c_custkey", (cents("c_acctbal") / 100000.0).alias("mean"), (F.col("c_custkey") % 4 + 1).cast("double").alias("sigma"))
+    out = S.lane_gains(c, "league", "c_custkey", F.col("c_custkey") % 20 == 7, "mean", "sigma", {"captain": F.col("mean") + 1, "transfer": F.col("mean") - 2, "same": F.col("mean")}, 100)
+    return out.select("league", "lane", places("gain", 4).alias("gain"))
+
+
+def score_strengths(spark, d):
+    """Orders as matches of a customer's nation against another, the goals from price and key."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    m = o.select("c_nationkey", (F.col("o_orderkey") % 25).alias("away"), (cents("o_totalprice") % 5).alias("hg"), (F.col("o_orderkey") % 7 % 4).alias("ag"), "o_orderdate").where("c_nationkey <> away")
+    teams, edge, rho = models.score_model(m, "c_nationkey", "away", "hg", "ag", "o_orderdate")
+    return teams.select("team", places("attack").alias("attack"), places("defence").alias("defence"), F.lit(round(edge, 4)).alias("edge"), F.lit(round(rho, 4)).alias("rho"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         gated_calibration, starter_health, starter_bias, sigma_floor, lead_histogram, verdict_grades, captain_tiers, biggest_misses, penalty_blocks, attack_multipliers, penalty_increments,
         fixture_difficulty, ladder_walk, same_as_rungs, seed_spread, availability_draws, field_rank, effective_picks, local_day_match, archive_dates, threshold_rows, scoring_points,
         carried_orders, coverage_gate, mode_rescale, other_side_club, attached_verdicts, open_play_totals, horizon_decomposition,
+        merged_availability, superseded_versions, rival_strategy, lane_odds, score_strengths,
     )
 }
 
@@ -348,4 +388,20 @@ SELECT doc_id, quality, verdict FROM r FULL JOIN v USING (doc_id)""",
     "open_play_totals": f"SELECT l_suppkey, year(l_shipdate) AS yr, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE {CENTS.format('l_extendedprice')} END) AS BIGINT) AS open_play FROM lineitem GROUP BY 1, 2",
     "horizon_decomposition": f"""WITH g AS (SELECT l_returnflag, CAST(floor(round(l_tax * 100) / 3) AS BIGINT) AS horizon, CAST(sum({CENTS.format("l_extendedprice")}) AS BIGINT) AS total FROM lineitem GROUP BY 1, 2)
 SELECT *, first_value(total) OVER (PARTITION BY l_returnflag ORDER BY horizon) - total AS gap_horizon, max(total) OVER (PARTITION BY horizon) - total AS gap_source FROM g""",
+    "merged_availability": """WITH p AS (SELECT p_partkey AS code, p_size AS z, CASE p_size % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'i' WHEN 2 THEN 'd' WHEN 3 THEN 's' WHEN 4 THEN 'u' ELSE 'n' END AS st, CASE WHEN p_size % 4 > 0 THEN p_size % 4 * 25::DOUBLE END AS ch FROM part),
+n AS (SELECT *, st NOT IN ('s', 'u', 'n') AS o, code % 3 > 0 AND (code % 5 = 0 OR code % 10 >= 6) AS hit FROM p),
+k AS (SELECT *, CASE WHEN o AND hit THEN least(CASE WHEN code % 5 > 0 THEN CASE WHEN code % 10 > 6 THEN 0 ELSE 50 END END, CASE WHEN code % 4 = 1 THEN 25 END)::DOUBLE END AS nc FROM n)
+SELECT code, CASE WHEN nc < coalesce(ch, 101) AND st NOT IN ('i', 'd') THEN 'i' ELSE st END AS status, CASE WHEN nc < coalesce(ch, 101) THEN nc ELSE ch END AS chance, CASE WHEN o AND hit THEN 'type ' || code % 7 END AS injury_type, CASE WHEN o AND hit AND code % 5 > 0 THEN code % 10 END AS return_slot,
+  CASE WHEN o AND code % 2 = 0 THEN z / 50 END AS p_start_hint, CASE WHEN o THEN CASE WHEN hit THEN 'press' WHEN code % 2 = 0 THEN 'lineups' END END AS source FROM k""",
+    "superseded_versions": """WITH v AS (SELECT o_custkey, year(o_orderdate) * 12 + month(o_orderdate) AS slot, o_orderkey AS stamp FROM orders)
+SELECT * FROM v WHERE o_custkey % 4 > 0 AND o_custkey % 5 > 0 QUALIFY stamp < max(stamp) OVER (PARTITION BY o_custkey, slot)""",
+    "rival_strategy": f"""WITH c AS (SELECT c_custkey // 8 AS league, c_custkey, CAST(floor({CENTS.format("c_acctbal")} / 5000) AS BIGINT) AS total, c_custkey % 5 + 8 AS sigma FROM customer),
+m AS (SELECT league, total AS own FROM c WHERE c_custkey % 8 = 5), r AS (SELECT c.*, own, (own - total) / (sigma * 3)::DOUBLE AS norm FROM c JOIN m USING (league) WHERE c_custkey % 8 <> 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY CASE WHEN top > own THEN -total ELSE norm END, c_custkey) AS i FROM (SELECT *, max(total) OVER (PARTITION BY league) AS top FROM r)),
+z AS (SELECT league, c_custkey AS rival, abs(own - total) AS gap, CASE WHEN abs(norm) < 0.25 THEN 0 ELSE -norm END AS z FROM k WHERE i = 1)
+SELECT league, rival, gap, round(z, 6) AS z, round(0.5 * tanh(abs(z)) * sign(z), 6) AS dial, CASE WHEN z = 0 THEN 'neutral' WHEN z > 0 THEN 'chase' ELSE 'defend' END AS stance FROM z""",
+    "lane_odds": f"""WITH c AS (SELECT c_custkey // 20 AS league, c_custkey, {CENTS.format("c_acctbal")} / 100000 AS mean, c_custkey % 4 + 1 AS sigma, unnest(range(0, 100)) AS draw FROM customer),
+v AS (SELECT *, sigma * {NORMAL.format(x="league || '|' || c_custkey || '|' || draw")} AS noise FROM c), b AS (SELECT league, draw, max(mean + noise) AS best FROM v WHERE c_custkey % 20 <> 7 GROUP BY 1, 2),
+o AS (SELECT v.*, lane, best, mean + add AS other FROM v JOIN b USING (league, draw), (VALUES ('captain', 1), ('transfer', -2), ('same', 0)) l(lane, add) WHERE c_custkey % 20 = 7)
+SELECT league, lane, round((avg(CASE WHEN mean + noise > best THEN 1 ELSE 0 END) - avg(CASE WHEN other + noise > best THEN 1 ELSE 0 END)) * 100, 4) AS gain FROM o GROUP BY 1, 2""",
 }
