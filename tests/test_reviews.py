@@ -53,8 +53,8 @@ def test_aligned_weeks_are_not_graded(spark):
 
 def test_walk_stops_at_the_first_refusal_and_at_the_cap(spark):
     scores = {"a": {1: [0, 0, 0], 2: [1, 1, 0], 3: [0, 0, 0], 4: [9, 9, 9]}, "b": {1: [0, 0, 0], 2: [1, 1, 1], 6: [2, 2, 2], 7: [3, 3, 3]}, "c": {1: [0, 0, 0]}}
-    df = spark.createDataFrame([(k, r, i, v, r > 5) for k, rs in scores.items() for r, vs in rs.items() for i, v in enumerate(vs)], "k string, r int, d int, v int, c boolean")
-    got = rows(reviews.walk(df, "k", "r", "d", "v", "c", 0.6))
+    df = spark.createDataFrame([(k, r, vs, r > 5) for k, rs in scores.items() for r, vs in rs.items()], "k string, r int, v array<int>, c boolean")
+    got = rows(reviews.walk(df, "k", "r", "v", "c", 0.6))
     assert got == [("a", 1, 2, 0.6667, True), ("a", 2, 3, 0.0, False), ("b", 1, 2, 1.0, True), ("b", 2, 6, 1.0, False)]
 
 

@@ -70,18 +70,19 @@ def tiers(ledger: DataFrame, by: str, delta: str, aligned: str, least: int = LEA
     return sums.withColumns({"graded": graded, "tier": F.when(graded < least, "early").when(F.col("wins") > F.col("losses"), "backed").otherwise("mixed")})
 
 
-def walk(scores: DataFrame, by: str, rung: str, draw: str, value: str, capped: str, bar: float) -> DataFrame:
-    """(by, below, above, share, taken), of one score a key, rung and draw: steps from a key's lowest rung upwards, up to and with the first refusal.
+def walk(rungs: DataFrame, by: str, rung: str, values: str, capped: str, bar: float) -> DataFrame:
+    """(by, below, above, share, taken), of one row a key and rung whose `values` hold a score a draw: steps from a key's lowest rung upwards, up to and with the first refusal.
 
-    A step is taken where the upper rung isn't capped and beats the lower in at least `bar` of the draws they share.
-    A key and draw, and a key, meet in one window each, of as many rows as it has rungs.
+    A step is taken where the upper rung isn't capped and beats the lower in at least `bar` of the draws they
+    share. A key meets in one window, of as many rows as it has rungs; its draws stay in their arrays.
     """
-    shared = Window.partitionBy(by, draw).orderBy(rung)
-    pairs = scores.withColumns({"below": F.lag(rung).over(shared), "_low": F.lag(value).over(shared)}).where("below is not null")
-    steps = pairs.groupBy(by, "below", F.col(rung).alias("above")).agg(F.round(F.avg(F.when(F.col(value) > F.col("_low"), 1.0).otherwise(0.0)), 4).alias("share"), F.max(capped).alias("_capped"))
-    steps = steps.withColumn("taken", ~F.col("_capped") & (F.col("share") >= bar))
-    earlier = Window.partitionBy(by).orderBy("above").rowsBetween(Window.unboundedPreceding, -1)
-    return steps.withColumn("_open", F.coalesce(F.min("taken").over(earlier), F.lit(True))).where("_open").select(by, "below", "above", "share", "taken")
+    steps = Window.partitionBy(by).orderBy(rung)
+    low = F.lag(values).over(steps)
+    pairs = rungs.withColumns({"below": F.lag(rung).over(steps), "_low": low}).where("below is not null")
+    better = F.size(F.filter(F.zip_with(values, "_low", lambda a, b: a > b), lambda x: x))
+    pairs = pairs.withColumn("share", F.round(better / F.size(values), 4)).withColumn("taken", ~F.col(capped) & (F.col("share") >= bar))
+    earlier = Window.partitionBy(by).orderBy(rung).rowsBetween(Window.unboundedPreceding, -1)
+    return pairs.withColumn("_open", F.coalesce(F.min("taken").over(earlier), F.lit(True))).where("_open").select(by, "below", F.col(rung).alias("above"), "share", "taken")
 
 
 def repeats(df: DataFrame, by: str, rung: str, signature: str) -> DataFrame:

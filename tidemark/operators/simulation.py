@@ -45,10 +45,10 @@ def field_rank(entries: DataFrame, by: str, element: str, mean: str, sigma: str,
     whole thousandths, so that sums don't depend on their order. Rows are draws x managers an element, summed
     on the map side; what meets in one group is the managers' totals of a draw.
     """
-    rows = drawn(entries, F.col(mean), F.col(sigma), [by, element], draws).withColumn("_v", F.floor(F.col("value") * 1000).cast("bigint"))
-    rows = rows.withColumn("_manager", F.explode(F.sequence(F.lit(0), F.lit(managers - 1))))
-    has = hash_uniform(F.col(by), F.col(element), F.col("_manager"), "owns") < F.col(owned)
-    totals = rows.groupBy(by, "draw", "_manager").agg(F.sum(F.when(has, F.col("_v")).otherwise(0)).alias("_total"), F.sum(F.col("_v") * F.col(mine)).alias("_own"))
+    owns = F.transform(F.sequence(F.lit(0), F.lit(managers - 1)), lambda m: hash_uniform(F.col(by), F.col(element), m, "owns") < F.col(owned))
+    rows = drawn(entries.withColumn("_owns", owns), F.col(mean), F.col(sigma), [by, element], draws).withColumn("_v", F.floor(F.col("value") * 1000).cast("bigint"))
+    rows = rows.select(by, "draw", "_v", mine, F.posexplode("_owns").alias("_manager", "_has"))
+    totals = rows.groupBy(by, "draw", "_manager").agg(F.sum(F.when(F.col("_has"), F.col("_v")).otherwise(0)).alias("_total"), F.sum(F.col("_v") * F.col(mine)).alias("_own"))
     weeks = totals.groupBy(by, "draw").agg(F.percentile("_total", F.lit(0.5)).alias("_median"), F.max("_own").alias("_own"))
     return weeks.groupBy(by).agg(F.avg(F.when(F.col("_own") > F.col("_median"), 1.0).otherwise(0.0)).alias("p_green"), (F.avg("_median") / 1000).alias("median"), (F.avg("_own") / 1000).alias("own"))
 
