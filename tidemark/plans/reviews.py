@@ -286,13 +286,28 @@ def score_strengths(spark, d):
     return teams.select("team", places("attack").alias("attack"), places("defence").alias("defence"), F.lit(round(edge, 4)).alias("edge"), F.lit(round(rho, 4)).alias("rho"))
 
 
+def priority_pivot(spark, d):
+    """A customer's orders by status, a column each; a status without orders counts 0 and has no sum."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", cents("o_totalprice").alias("v"))
+    wide = o.groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+    return wide.select("o_custkey", *[F.coalesce(f"{s}_n", F.lit(0)).alias(f"n_{s.lower()}") for s in "FOP"], *[F.col(f"{s}_v").alias(f"v_{s.lower()}") for s in "FOP"])
+
+
+def history_rows(spark, d):
+    """Entities' payloads as JSON, each with the rows of its history under other names; a payload without a history, or broken, has none."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "{}").when(F.col("s_suppkey") % 11 == 0, '{"history": [').otherwise(
+        F.format_string('{"history": [{"round": 1, "total_points": %d}, {"round": 2, "total_points": null, "new": true}, {"round": "x"}]}', F.col("s_suppkey") % 13)).alias("raw"))
+    row = F.explode(F.from_json("raw", "history array<struct<round: string, total_points: string>>")["history"])
+    return s.select("s_suppkey", row.alias("h")).select("s_suppkey", F.col("h.round").try_cast("bigint").alias("slot"), F.col("h.total_points").try_cast("bigint").alias("points"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         gated_calibration, starter_health, starter_bias, sigma_floor, lead_histogram, verdict_grades, captain_tiers, biggest_misses, penalty_blocks, attack_multipliers, penalty_increments,
         fixture_difficulty, ladder_walk, same_as_rungs, seed_spread, availability_draws, field_rank, effective_picks, local_day_match, archive_dates, threshold_rows, scoring_points,
         carried_orders, coverage_gate, mode_rescale, other_side_club, attached_verdicts, open_play_totals, horizon_decomposition,
-        merged_availability, superseded_versions, rival_strategy, lane_odds, score_strengths,
+        merged_availability, superseded_versions, rival_strategy, lane_odds, score_strengths, priority_pivot, history_rows,
     )
 }
 
@@ -404,4 +419,7 @@ SELECT league, rival, gap, round(z, 6) AS z, round(0.5 * tanh(abs(z)) * sign(z),
 v AS (SELECT *, sigma * {NORMAL.format(x="league || '|' || c_custkey || '|' || draw")} AS noise FROM c), b AS (SELECT league, draw, max(mean + noise) AS best FROM v WHERE c_custkey % 20 <> 7 GROUP BY 1, 2),
 o AS (SELECT v.*, lane, best, mean + add AS other FROM v JOIN b USING (league, draw), (VALUES ('captain', 1), ('transfer', -2), ('same', 0)) l(lane, add) WHERE c_custkey % 20 = 7)
 SELECT league, lane, round((avg(CASE WHEN mean + noise > best THEN 1 ELSE 0 END) - avg(CASE WHEN other + noise > best THEN 1 ELSE 0 END)) * 100, 4) AS gain FROM o GROUP BY 1, 2""",
+    "priority_pivot": f"""WITH o AS (SELECT o_custkey, o_orderstatus AS s, {CENTS.format("o_totalprice")} AS v FROM orders)
+SELECT o_custkey, count(*) FILTER (WHERE s = 'F') AS n_f, count(*) FILTER (WHERE s = 'O') AS n_o, count(*) FILTER (WHERE s = 'P') AS n_p, CAST(sum(v) FILTER (WHERE s = 'F') AS BIGINT) AS v_f, CAST(sum(v) FILTER (WHERE s = 'O') AS BIGINT) AS v_o, CAST(sum(v) FILTER (WHERE s = 'P') AS BIGINT) AS v_p FROM o GROUP BY 1""",
+    "history_rows": """SELECT s_suppkey, slot::BIGINT AS slot, CASE WHEN slot = 1 THEN s_suppkey % 13 END AS points FROM supplier, (VALUES (1), (2), (NULL)) r(slot) WHERE s_suppkey % 7 > 0 AND s_suppkey % 11 > 0""",
 }
