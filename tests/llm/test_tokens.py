@@ -1,5 +1,7 @@
 """Token files and packing against the tokenizers library itself."""
 
+import random
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -28,6 +30,22 @@ def test_pieces_give_the_ids_of_whole_texts(name, rows, spark, sf):
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(tokenizer_file(name)).ids(texts)] == [ids(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_whole_texts_whatever_the_letters(name):
+    """Each letter of Unicode begins, ends and is a word before each mark; and 100,000 texts of odd characters."""
+    rng, ids, encoder = random.Random(9), whole(name), Encoder(tokenizer_file(name))
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    odd = [c for c in letters if not unicodedata.normalize("NFD", c.lower()).isalpha() or len(c.lower()) + len(c.upper()) > 2]
+    texts = [" ".join(f"{c}{m} a{c}{m} {c}b" for c, m in zip(letters[i : i + 40], ".,;:!?" * 7)) for i in range(0, len(letters), 40)]
+    texts += [" ".join(f"{c}{m} a{c}{m} {c}b{m}" for m in ".,;:!?") for c in odd]
+    some = [*odd, *"aZéßİıΣςŉǰﬁﬃẞ0٣́̇ͅ'’-.,;:!?", " ", " ", " ", "\n"]
+    texts += ["".join(rng.choices(some, k=rng.randint(1, 14))) for _ in range(100_000)]
+    for i in range(0, len(texts), 2000):
+        part = texts[i : i + 2000]
+        for text, found in zip(part, encoder.ids(part), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == ids(text), text
+
+
 def test_token_files(rows, docs, empty):
     manifest = write_token_files(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, length=128, per_batch=4)
     got = sorted(read_token_files(manifest).collect(), key=lambda r: r.start)

@@ -65,6 +65,7 @@ class Encoder:
         self.leads = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and normalizer is None
         self.cuts = self.leads or bool(suffix)
         self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
+        self.normal = normalizer.normalize_str if normalizer is not None else None
         self.pieces = byte_pieces if self.leads else word_pieces
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -91,6 +92,10 @@ class Encoder:
             cuts = [*at, len(raw)] if self.leads else [0, *at]
             yield from (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
+    def _is_letters(self, run: str) -> bool:
+        """Letters before and after normalising: a letter whose normal form ends in a mark (İ) would draw in what follows."""
+        return run.isalpha() and (run.isascii() or self.normal is None or self.normal(run).isalpha())
+
     def _learn(self, missing: Iterable[str]) -> None:
         """Puts the ids of pieces into self.known."""
         known, older, leads = self.known, self.older, self.leads
@@ -103,7 +108,7 @@ class Encoder:
                 continue
             mark = piece[-1:] if piece[-1:] in TAILS else ""
             run = piece[:-1] if mark else piece
-            if not (run[1:] if leads and run[:1] == " " else "" if leads else run).isalpha():
+            if not self._is_letters(run[1:] if leads and run[:1] == " " else "" if leads else run):
                 others.append(piece)
                 continue
             if self.lowers and run.isascii():
