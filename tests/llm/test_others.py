@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
-from tidemark.llm.common import _BYTE
+from tidemark.llm.common import _BYTE, row_hash
 from tidemark.llm.fingerprints import fingerprint_neighbours, fingerprints
-from tidemark.llm.mixing import mix_sources, mixed_documents, sainte_lague, source_targets
+from tidemark.llm.mixing import _mixed, mix_sources, mixed_documents, sainte_lague, source_targets
 from tidemark.llm.queries import op4_toxicity
 from tidemark.llm.token_files import opened
 from tidemark.llm.warc import chunk_table, read_archives, roles, write_archives
@@ -75,6 +75,26 @@ def test_mix_sources(rows, docs, empty):
     assert mix_sources(empty).count() == 0
 
 
+def test_mixing_agrees_on_reruns_of_repeated_and_unknown_ids(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3]), " ".join(["w"] * rng.randint(0, 60)) + f" {k % 40}", rng.choice(["a", "b", None])) for k in range(2000)]
+    results = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(seed + 2)
+        results.append(Counter(map(str, mix_sources(df, shard_words=2000, block=16).collect())))
+    assert results[0] == results[1] == results[2]
+
+
+def test_unknown_ids_are_dealt_to_all_shards(spark):
+    df = spark.range(20_000).selectExpr("cast(null as long) doc_id", "concat('some words of row ', id) text", "'s' source")
+    found = _mixed(df, (3, 1, 2), 1.5, 2.0, 64, 17, 1 << 12, None, "text", "doc_id", "source")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard" in plan and found.count() == 20_000
+    shards = df.select(F.pmod(F.xxhash64(F.lit(17), "doc_id", row_hash(df)), F.lit(32)).alias("s")).groupBy("s").count().collect()
+    assert len(shards) == 32 and max(r["count"] for r in shards) < 2 * 20_000 / 32
+
+
 def test_fingerprints(rows, docs, empty):
     got = fingerprint_neighbours(docs)
     assert fingerprint_neighbours(empty).count() == 0

@@ -1,9 +1,11 @@
 """The stages on their own, each against a plain version of what it decides."""
 
+import functools
 import re
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_dedup import plain_join, plain_lines
 from test_others import plain_targets
 
@@ -48,5 +50,24 @@ def test_stages(spark, sf):
     assert n.n > 0 and n.s <= 1.02 * n.n / 2048 + 8 * 12
 
 
+def test_stages_leave_other_columns_alone(spark, sf):
+    """Columns whose names the operators use inside come out as they went in, and text and n_chars agree."""
+    names = ["size", "_size", "_shard", "_to", "n_dropped", "kept_text", "_score", "score", "row", "taken", "cuts", "target", "source_no", "id", "copy", "added", "h1", "tie", "a`b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({n: F.concat(F.lit(f"{n} of "), "doc_id") for n in names})
+    docs = docs.withColumn("n_chars", F.length("text").cast("long")).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = corpus_pipeline.written(stage(spark, docs, sf), "kept")
+        assert out.columns == docs.columns and out.count() > 0
+        told = [F.col(f"`{n.replace('`', '``')}`") != F.concat(F.lit(f"{n} of "), "doc_id") for n in names]
+        assert out.where(functools.reduce(lambda a, b: a | b, told)).count() == 0, name
+        assert out.where("text is not null and n_chars <> length(text)").count() == 0, name
+
+
+def test_empty_tables_run_through(spark, sf, tmp_path):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{table}.parquet").where("false").write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0

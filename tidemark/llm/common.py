@@ -53,19 +53,17 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table of written() before the driver ends, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns of df as one, so that they clash with no other name on the way."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all values of a row (but maps and variants, which have none), to order rows that are equal in everything else."""
+    told = [F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*[x for c in told for x in (c.isNull(), c)]) if told else F.lit(0).cast("long")
+
+
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], name: str) -> DataFrame:
     """df with a column for each of `sums`: its sum over all rows up to and with this one, in an order that tells all rows apart.
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running, written
+from .common import WORD, row_hash, running, whole_row, written
 
 ADDED = ("size", "source_size", "target", "taken", "whole", "cuts")
 
@@ -65,6 +65,39 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, by: Sequence[str
     return shares.join(won, [*by, party], "left").withColumn("quota", F.col("_lo") + F.coalesce("_won", F.lit(0))).select(*parties.columns, "quota")
 
 
+def _mixed(docs: DataFrame, weights: Sequence[int], share: float, most: float, block: int, seed: int, shard_words: int, size: Column | None, text: str, doc_id: str, source: str) -> DataFrame:
+    """(row, size, source_size, target, taken, whole, cuts): row holds all columns of docs, so none of them can clash with those made here."""
+    size = n_words(F.col(text)) if size is None else size
+    tie = row_hash(docs)
+    who = F.xxhash64(F.lit(seed), F.col(doc_id), tie)
+    base = docs.select(whole_row(docs).alias("row"), size.alias("size"), F.col(doc_id).alias("id"), tie.alias("tie"), who.alias("who"), F.col(source).alias("source"))
+    order = [F.xxhash64(F.lit(seed + 1), "id", "tie"), F.col("id"), F.col("size"), F.col("tie")]
+    totals = written(base.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
+    words = written(source_targets(totals, weights, share, most), "source_targets")
+    blocks = int((words.agg(F.sum("target")).first()[0] or 0) // block)
+    sources = sainte_lague(words.withColumn("_one", F.lit(0)), "target", F.lit(blocks).cast("long"), ["_one"], "source_no").drop("_one").withColumnRenamed("quota", "blocks")
+    n_shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("source_size") / F.lit(shard_words), F.lit(1.0))))).cast("long")
+    known = written(sources.select(F.col("source").alias("of"), "source_size", "target", n_shards.alias("n_shards"), "source_no", "blocks"), "sources")
+    dealt = base.join(known.drop("blocks"), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("shard", F.pmod("who", "n_shards")).drop("of", "n_shards", "who", "source")
+    shards = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"))
+    shards = sainte_lague(shards.join(known.select("source_no", "blocks"), "source_no"), "shard_size", F.col("blocks"), ["source_no"], "shard")
+    shards = shards.withColumn("words", F.least(F.col("quota") * block, (F.col("shard_size") * F.lit(most)).cast("long")))
+    passes = [F.when(F.col("shard_size") > 0, x).otherwise(0) for x in (F.expr("words div shard_size"), F.col("words") % F.col("shard_size"))]
+    begin = F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))) * block
+    plan = written(shards.select("source_no", "shard", "shard_size", passes[0].alias("passes"), passes[1].alias("rest"), begin.alias("begin")), "shards")
+    run = Window.partitionBy("source_no", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("upto", F.sum("size").over(run)).join(plan, ["source_no", "shard"], "left")
+    at, end = F.col("upto") - F.col("size"), F.col("begin") + F.col("rest")
+
+    def cut(lo: Column, hi: Column) -> Column:
+        return F.struct((F.greatest(at, lo) - at).alias("from"), (F.least(F.col("upto"), hi) - at).alias("to"))
+
+    cuts = F.filter(F.array(cut(F.col("begin"), F.least(end, F.col("shard_size"))), cut(F.lit(0), end - F.col("shard_size"))), lambda x: x["from"] < x["to"])
+    out = placed.withColumn("cuts", cuts).withColumn("whole", F.col("passes").cast("long"))
+    taken = F.aggregate("cuts", F.col("whole") * F.col("size"), lambda a, x: a + x["to"] - x["from"])
+    return out.withColumn("taken", taken).select("row", *ADDED)
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17,
     shard_words: int = 1 << 20, size: Column | None = None, text: str = "text", doc_id: str = "doc_id", source: str = "source",
@@ -74,49 +107,30 @@ def mix_sources(
     taken counts the words the mix takes from the document, repeats included: `whole` passes over all of
     it, and in `cuts` the ranges (from, to) of its words that a further pass takes. size: the column's own
     word counts, if known; otherwise words of `text`. Null and empty texts have size 0 and are never
-    taken; a null source is a source of its own, the last. Rows that repeat a doc_id are documents of their own; an
+    taken; a null source is a source of its own, the last. Rows that repeat a doc_id are documents of their own, dealt and ordered by a hash of
+    all their values too, so reruns agree whatever order rows come in; an
     empty table gives no rows. A source has a shard for each shard_words of its words (to a power of two), and running sums
-    go by shard, so no task holds more of a source however large it is.
+    go by shard, so no task holds more of a source however large it is, or however many rows have no doc_id.
     """
-    size = n_words(F.col(text)) if size is None else size
-    base = docs.withColumn("_size", size).drop("size", *ADDED[1:]).withColumnRenamed("_size", "size")
-    who, order = F.xxhash64(F.lit(seed), F.col(doc_id)), [F.xxhash64(F.lit(seed + 1), F.col(doc_id)), F.col(doc_id), F.hash(*[F.col(c) for c in docs.columns if c in (text, source)])]
-    totals = written(base.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), "source_sizes")
-    sources = source_targets(totals, weights, share, most)
-    words = written(sources, "source_targets")
-    blocks = int((words.agg(F.sum("target")).first()[0] or 0) // block)
-    sources = sainte_lague(words.withColumn("_one", F.lit(0)), "target", F.lit(blocks).cast("long"), ["_one"], "source_no").drop("_one").withColumnRenamed("quota", "blocks")
-    n_shards = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("source_size") / F.lit(shard_words), F.lit(1.0))))).cast("long")
-    known = written(sources.select(F.col("source").alias("_source"), F.struct("source_size", "target").alias("_s"), n_shards.alias("_shards"), F.col("source_no").alias("_no"), "blocks"), "sources")
-    dealt = base.join(known.drop("blocks"), F.col(source).eqNullSafe(F.col("_source")), "left").withColumn("_shard", F.pmod(who, "_shards")).drop("_source", "_shards")
-    shards = dealt.groupBy(F.col("_no").alias("source_no"), F.col("_shard").alias("shard")).agg(F.sum("size").alias("shard_size"))
-    shards = shards.join(known.select(F.col("_no").alias("source_no"), "blocks"), "source_no")
-    shards = sainte_lague(shards, "shard_size", F.col("blocks"), ["source_no"], "shard")
-    shards = shards.withColumn("words", F.least(F.col("quota") * block, (F.col("shard_size") * F.lit(most)).cast("long")))
-    passes = [F.when(F.col("shard_size") > 0, x).otherwise(0) for x in (F.expr("words div shard_size"), F.col("words") % F.col("shard_size"))]
-    begin = F.pmod(F.xxhash64(F.lit(seed), "source_no", "shard"), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block))) * block
-    plan = shards.select(F.col("source_no").alias("_no"), F.col("shard").alias("_shard"), F.struct("shard_size", passes[0].alias("passes"), passes[1].alias("rest"), begin.alias("begin")).alias("_q"))
-    plan = written(plan, "shards")
-    run = Window.partitionBy("_no", "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = dealt.withColumn("_to", F.sum("size").over(run)).join(plan, ["_no", "_shard"], "left")
-    at, q = F.col("_to") - F.col("size"), lambda c: F.col(f"_q.{c}")
-    end = q("begin") + q("rest")
+    found = _mixed(docs, weights, share, most, block, seed, shard_words, size, text, doc_id, source)
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
-    def cut(lo: Column, hi: Column) -> Column:
-        return F.struct((F.greatest(at, lo) - at).alias("from"), (F.least(F.col("_to"), hi) - at).alias("to"))
-
-    cuts = F.filter(F.array(cut(q("begin"), F.least(end, q("shard_size"))), cut(F.lit(0), end - q("shard_size"))), lambda x: x["from"] < x["to"])
-    out = placed.withColumn("cuts", cuts).withColumn("whole", q("passes").cast("long"))
-    taken = F.aggregate("cuts", F.col("whole") * F.col("size"), lambda a, x: a + x["to"] - x["from"])
-    return out.select(*[c for c in docs.columns if c not in ADDED], "size", F.col("_s.source_size").alias("source_size"), F.col("_s.target").alias("target"), taken.alias("taken"), "whole", "cuts")
 
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17,
+    shard_words: int = 1 << 20, text: str = "text", doc_id: str = "doc_id", source: str = "source",
+) -> DataFrame:
+    """The mix itself, in the columns of docs: each document as often as it is taken whole, and where it is cut, the words of the cut joined by spaces (n_chars follows, other columns stay as they are).
 
-def mixed_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The mix itself, in the columns of docs: each document as often as it is taken whole, and where it is cut, the words of the cut joined by spaces (n_chars follows)."""
-    mixed = mix_sources(docs, text=text, **how)
-    words = lambda x: F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), 1), (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), " ")
+    Null and empty texts, of which no word can be taken, are left out; an empty table gives no rows.
+    """
+    mixed = _mixed(docs, weights, share, most, block, seed, shard_words, None, text, doc_id, source)
+    body = F.col("row").getField(text)
+    words = lambda x: F.array_join(F.slice(F.regexp_extract_all(body, F.lit(f"({WORD})"), 1), (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), " ")
     uncut = lambda x: (x["from"] == 0) & (x["to"] == F.col("size"))
-    copies = F.concat(F.array_repeat(F.col(text), F.col("whole").cast("int")), F.transform("cuts", lambda x: F.when(uncut(x), F.col(text)).otherwise(words(x))))
-    out = mixed.where("taken > 0").withColumn("_copy", F.explode(copies))
-    new = {text: F.col("_copy"), "n_chars": F.when(F.col("_copy") == F.col(text), F.col("n_chars")).otherwise(F.char_length("_copy").cast("long"))} if "n_chars" in docs.columns else {text: F.col("_copy")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    copies = F.concat(F.array_repeat(body, F.col("whole").cast("int")), F.transform("cuts", lambda x: F.when(uncut(x), body).otherwise(words(x))))
+    out = mixed.where("taken > 0").select("row", F.explode(copies).alias("copy"))
+    new = {text: F.col("copy")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("copy") == body, F.col("row").getField("n_chars")).otherwise(F.char_length("copy").cast("long"))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

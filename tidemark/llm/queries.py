@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
-from .common import written
+from .common import row_hash, written
 from .conversation_repair import damaged, repair
 from .exact_dedup import exact_dedup
 from .fill_middle import fill_in_middle, restored
@@ -38,7 +38,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("n")), "sizes")
+    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("n"), row_hash(docs).alias("h")), "sizes")
     return mix_sources(sized, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -212,15 +212,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """At most `most` labelled doc_ids, not held out, those that hash lowest, with the texts of their rows (text, toxic).
+    """(text, toxic) of at most `most` labelled doc_ids, not held out, those that hash lowest; so rows are bounded too.
 
-    Rows without doc_id or label are left out; of several labels of one doc_id the highest counts. Null texts are empty.
+    Rows without doc_id or label are left out; of several labels of one doc_id the highest counts, of several texts that whose
+    hash is least. Null texts are empty.
     """
     rows = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     rows = rows.groupBy(F.col(doc_id).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return written(texts.join(F.broadcast(picked), "id").select("text", "toxic"), "labelled")
+    own = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return written(own.select("text", "toxic"), "labelled")
 
 
 def learned_lexicon(
