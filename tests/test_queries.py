@@ -90,10 +90,13 @@ def test_ladder_p_best_gives_every_customer_a_share_of_2000_draws(spark, sf):
 def test_offences_are_what_no_fact_says(spark):
     told = spark.createDataFrame([(1, "Fernandes is 96% to drop, 3,5 points for Shocky Supplies; −4 now."), (2, "Saka has 7.")], "c int, text string")
     prose = spark.createDataFrame([(1, 0, "Sell Fernandes at -96 and +3.5. Haaland's on 4, Palmer’s on 96 in GW12! Then Saka has 7."), (2, 1, "Both Saka and Rice have 7 or 8 or 8."), (3, 0, None)], "c int, t int, text string")
-    got = lambda **how: {tuple(r) for r in facts.offences(told, prose, "c", "t", "text", **how).collect()}
+    got = lambda **how: {tuple(r) for r in facts.offences(told, prose, "c", "t", "text", codes="^GW[0-9]+$", **how).collect()}
     want = {(1, 0, 2, "number", "4", 1), (1, 0, 2, "name", "Palmer", 1), (1, 0, 2, "number", "12", 1), (1, 0, 3, "name", "Saka", 1), (1, 0, 3, "number", "7", 1), (2, 1, 1, "name", "Rice", 1), (2, 1, 1, "number", "8", 2)}
     assert got() == want
     assert got(known=spark.createDataFrame([("Haaland",), ("Fernandes",)], "name string")) == want | {(1, 0, 2, "name", "Haaland", 1)}
+    assert got(allow=spark.createDataFrame([("Rice",), ("May",)], "token string")) == {w for w in want if w[4] != "Rice"}
+    names = {r.token for r in facts.calendar_names(spark).collect()}
+    assert len(names) == 19 and {"January", "May", "December", "Monday", "Sunday"} <= names
 
 
 def test_check_brief_reports_openers_no_fact_of_the_conversation_says(spark, tmp_path):

@@ -134,10 +134,10 @@ def numbers_in_facts(spark, d):
 
 
 def check_brief(spark, d):
-    """Numbers and capitalised names that the other turns of a conversation say and its user's turns don't; capitalised words of any user's turn are known names."""
+    """Numbers and capitalised names that the other turns of a conversation say and its user's turns don't; capitalised words of any user's turn are known names, months and weekdays none."""
     c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("role").eqNullSafe(F.lit("user")).alias("fact"))
     known = facts_op.tokens(c.where("fact"), [], "text").where((F.col("kind") == "name") & F.col("token").rlike(r"^\p{Lu}")).select(F.col("token").alias("name"))
-    return facts_op.offences(c.where("fact"), c.where("NOT fact"), "conv_id", "turn", "text", known=known)
+    return facts_op.offences(c.where("fact"), c.where("NOT fact"), "conv_id", "turn", "text", allow=facts_op.calendar_names(spark), known=known)
 
 
 def html_table_parse(spark, d):
@@ -196,10 +196,10 @@ SELECT o_custkey, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'dropped'
 s AS (SELECT conv_id, turn, fact, unnest(a) AS x, CAST(generate_subscripts(a, 1) AS BIGINT) AS sentence FROM t),
 w AS (SELECT conv_id, turn, fact, sentence, unnest(string_split_regex(x, '{BLANK}')) AS w, generate_subscripts(string_split_regex(x, '{BLANK}'), 1) AS i FROM s),
 k AS (SELECT conv_id, turn, fact, sentence, 'number' AS kind, ltrim(replace(replace(unnest(regexp_extract_all(x, '{facts_op.NUMBER}')), '−', '-'), ',', '.'), '+') AS token, 0 AS i FROM s
-  UNION ALL SELECT conv_id, turn, fact, sentence, 'name', regexp_replace(trim(w, '{facts_op.STRIP.replace("'", "''")}'), '[''’]s$', ''), i FROM w),
+  UNION ALL SELECT conv_id, turn, fact, sentence, 'name', regexp_replace(regexp_replace(w, '{facts_op.EDGES}', '', 'g'), '[''’]s$', ''), i FROM w),
 f AS (SELECT DISTINCT conv_id, kind, token FROM k WHERE fact AND token <> ''), o AS (SELECT DISTINCT token FROM f WHERE kind = 'name' AND regexp_matches(token, '^\p{{Lu}}'))
 SELECT conv_id, turn, sentence, kind, token, count(*) AS n FROM k WHERE NOT fact
-AND (kind = 'number' OR (token <> '' AND token NOT IN {facts_op.ALLOW} AND CASE WHEN i = 1 THEN token IN (SELECT token FROM o) ELSE regexp_matches(token, '^\p{{Lu}}') AND NOT regexp_matches(token, '^GW[0-9]+$') END))
+AND (kind = 'number' OR (token <> '' AND token NOT IN (SELECT monthname(make_date(2024, m, 1)) FROM range(1, 13) t(m) UNION ALL SELECT dayname(make_date(2024, 1, m)) FROM range(1, 8) t(m)) AND CASE WHEN i = 1 THEN token IN (SELECT token FROM o) ELSE regexp_matches(token, '^\p{{Lu}}') END))
 AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.kind = k.kind AND f.token = k.token)
 AND NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.kind = k.kind AND k.kind = 'number' AND f.token = ltrim(k.token, '-')) GROUP BY ALL""",
     "html_table_parse": f"""WITH p AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '{LINK}', 1) AS xs, regexp_extract_all(coalesce(html, ''), '{LINK}', 2) AS ys FROM pages)
