@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import filled
@@ -24,12 +24,24 @@ def many_to_one(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
 def interval_join(facts: DataFrame, spells: DataFrame, on: str, time: str) -> DataFrame:
     """Left join to the spell (start, end, ...) that holds the time, start included and end not; a null end is open. Of several the earliest start counts.
 
-    A key's spells, a short history, become one sorted array, in which each fact looks up its own: facts aren't grouped again.
+    A key's spells become one array, sorted and with the latest end so far beside each, which never falls: the first spell whose
+    latest end is after a fact's time is found by halving, and it holds the time or none does. Facts aren't grouped again.
     """
     told = [c for c in spells.columns if c not in (on, "start", "end")]
-    packed = spells.groupBy(on).agg(F.array_sort(F.collect_list(F.struct("start", "end", *told))).alias("_spells"))
-    holds = lambda s: (F.col(time) >= s["start"]) & (s["end"].isNull() | (F.col(time) < s["end"]))
-    found = facts.join(packed, on, "left").withColumn("_spell", F.get(F.filter("_spells", holds), F.lit(0)))
+    before = Window.partitionBy(on).orderBy("start", "end", *told).rowsBetween(Window.unboundedPreceding, 0)  # a key's spells
+    ended = spells.withColumns({"_open": F.max(F.col("end").isNull()).over(before), "_upto": F.max("end").over(before)})
+    packed = ended.groupBy(on).agg(F.array_sort(F.collect_list(F.struct("start", F.struct("_open", "_upto").alias("last"), "end", *told))).alias("_spells"))
+    after = lambda i: F.get("_spells", i)["last"]["_open"] | (F.get("_spells", i)["last"]["_upto"] > F.col(time))
+    halves = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_spells") + 1.0)).cast("int"))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        ends = (s["lo"] >= s["hi"]) | after(mid)
+        return F.struct(F.when(ends, s["lo"]).otherwise(mid + 1).alias("lo"), F.when((s["lo"] < s["hi"]) & after(mid), mid).otherwise(s["hi"]).alias("hi"))
+
+    first = F.aggregate(halves, F.struct(F.lit(0).alias("lo"), F.size("_spells").alias("hi")), halved)["lo"]
+    found = facts.join(packed, on, "left").withColumn("_spell", F.get("_spells", F.when(F.col("_spells").isNotNull(), first)))
+    found = found.withColumn("_spell", F.when(F.col(time) >= F.col("_spell.start"), F.col("_spell")))
     return found.select(*facts.columns, *[F.col(f"_spell.{c}").alias(c) for c in told])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,13 +44,17 @@ def p_best(df: DataFrame, group: str, key: str, score: Callable[[Column], Column
 
     score gives a row's score in a draw; whether it is null must not depend on the draw. A group with an unknown score has
     no winners, so p_best is null for all of it. Keys are unique. Rows times draws are met twice (for the best, then for who
-    has it) and never shuffled; the best of each group and draw is broadcast.
+    has it) and never shuffled: the best of a group's draws are an array, which each of its rows is compared with.
     """
     spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     drawn = spread.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(F.col(group).alias("_g"), F.col(key).alias("_k"), "_draw", score(F.col("_draw")).alias("_s"))
     best = drawn.groupBy(F.col("_g").alias("_in"), F.col("_draw").alias("_at")).agg(F.max("_s").alias("_top"))
-    won = drawn.join(F.broadcast(best), F.col("_g").eqNullSafe(F.col("_in")) & (F.col("_draw") == F.col("_at")) & (F.col("_s") == F.col("_top")))
-    shares = won.withColumn("_share", 1 / F.count(F.lit(1)).over(Window.partitionBy("_g", "_draw"))).groupBy("_k").agg((F.sum("_share") / draws).alias("_p"))
+    tops = best.groupBy("_in").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_top"))), lambda x: x["_top"]).alias("_tops"))  # a number a draw
+    rows = spread.join(tops, F.col(group).eqNullSafe(F.col("_in")))
+    wins = F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: score(i) == F.get("_tops", i))
+    won = rows.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.explode(wins).alias("_draw"))
+    tied = won.groupBy(F.col("_g").alias("_in"), F.col("_draw").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    shares = won.join(tied, F.col("_g").eqNullSafe(F.col("_in")) & (F.col("_draw") == F.col("_at"))).groupBy("_k").agg((F.sum(1 / F.col("_n")) / draws).alias("_p"))
     unknown = df.groupBy(F.col(group).alias("_in")).agg(F.bool_or(score(F.lit(0)).isNull()).alias("_unknown"))
-    every = df.select(group, key).join(F.broadcast(unknown), F.col(group).eqNullSafe(F.col("_in"))).join(shares, F.col(key) == F.col("_k"), "left")
+    every = df.select(group, key).join(unknown, F.col(group).eqNullSafe(F.col("_in"))).join(shares, F.col(key) == F.col("_k"), "left")
     return every.select(group, key, F.when(~F.col("_unknown"), F.coalesce("_p", F.lit(0.0))).alias("p_best"))

@@ -5,18 +5,26 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df, in the folder of spark.checkpoint.dir. A local session without one gets a temporary folder, a cluster an error."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets a temporary folder, a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df, in the shared folder."""
+    folder = shared_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -52,8 +60,8 @@ def filled(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: di
     return out.withColumns({n: F.coalesce(f"_near_{n}", f"_far_{n}") for n in values}).select(*[c for c in df.columns if c not in values], *values)
 
 
-def percentiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """One row with the exact percentiles (interpolated) p0, p1...: ranks of distinct values by running counts over ranges."""
+def percentiles(df: DataFrame, value: str, shares: Sequence[float], how: Sequence[str] | None = None) -> DataFrame:
+    """One row with the exact percentiles p0, p1..., each interpolated ("linear") or the next observed value ("higher", "lower"): ranks of distinct values by running counts over ranges."""
     counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     dealt = ranges(counted, [F.col(value)])
     totals = dealt.groupBy("_range").agg(F.sum("_n").alias("_size"))
@@ -66,4 +74,5 @@ def percentiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame
     at = lambda i: F.min(F.when(F.col("_upto") > i, F.col(value).cast("double")))
     place = [(F.col("_all") - 1) * F.lit(float(s)) for s in shares]
     found = placed.agg(F.first("_all").alias("_all"), *[at(F.floor(p)).alias(f"l{k}") for k, p in enumerate(place)], *[at(F.ceil(p)).alias(f"h{k}") for k, p in enumerate(place)])
-    return found.select(*[(F.col(f"l{k}") + (p - F.floor(p)) * (F.col(f"h{k}") - F.col(f"l{k}"))).alias(f"p{k}") for k, p in enumerate(place)])
+    of = {"linear": lambda k, p: F.col(f"l{k}") + (p - F.floor(p)) * (F.col(f"h{k}") - F.col(f"l{k}")), "higher": lambda k, p: F.col(f"h{k}"), "lower": lambda k, p: F.col(f"l{k}")}
+    return found.select(*[of[how[k] if how else "linear"](k, p).alias(f"p{k}") for k, p in enumerate(place)])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cents, normalised_name, places
 from ..operators import models, policy, resolution
+from ..operators.ordered import shared_dir
 from ..sources.tables import table
 from ..streaming import finality
 
@@ -81,8 +82,7 @@ def stream_append_finality(spark, d):
     The path is a pattern, since a stream of a single file's path isn't allowed.
     """
     path, schema = f"{d}/events.parquet*", spark.read.parquet(f"{d}/events.parquet").schema
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    own = f"{shared}/finality-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/finality-{uuid.uuid4().hex}"
     events = finality.parquet_stream(spark, path, schema, files_at_once=1_000_000).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", cents("value").alias("v"))
     finality.run_to_table(finality.final_windows(events, "ts", "event_type", "v"), f"{own}/table", f"{own}/checkpoint")
     rows = spark.read.schema("start timestamp, event_type string, n bigint, total bigint").parquet(f"{own}/table")

@@ -58,14 +58,15 @@ def empirical_cdf_by_type(spark, d):
 
 
 def weighted_ownership_se(spark, d):
-    n = F.lit(float(table(spark, d, "orders").count()))
-    return M.weighted_share_se(_line(spark, d), "l_suppkey", "q", n).select("l_suppkey", places("share").alias("share"), places("se").alias("se"))
+    n = table(spark, d, "orders").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return M.weighted_share_se(_line(spark, d).join(F.broadcast(n)), "l_suppkey", "q", F.max("n")).select("l_suppkey", places("share").alias("share"), places("se").alias("se"))
 
 
 def share_of_group_max(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     own = _line(spark, d).join(p, "l_partkey").groupBy("p_brand", "l_suppkey").agg(F.sum("q").alias("q"))
-    return own.withColumn("share", F.col("q") / F.sum("q").over(Window.partitionBy("p_brand"))).groupBy("l_suppkey").agg(places(F.max("share"), 6).alias("share"))
+    brands = own.groupBy("p_brand").agg(F.sum("q").alias("all"))
+    return own.join(brands, "p_brand").withColumn("share", F.col("q") / F.col("all")).groupBy("l_suppkey").agg(places(F.max("share"), 6).alias("share"))
 
 
 def first_change_latency(spark, d):
@@ -130,9 +131,9 @@ def poisson_tail(spark, d):
 
 
 def winsor_minmax(spark, d):
-    """Balances between their 5th and 95th percentile as 0 to 1; unknown ones, and all where there is no spread, are a half."""
+    """Balances between the first observed at or above their 5th percentile and the last at or below their 95th, as 0 to 1; unknown ones, and all where there is no spread, are a half."""
     s = table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 10 > 0, cents("s_acctbal")).alias("b"))
-    edges = percentiles(s, "b", [0.05, 0.95]).select(F.col("p0").alias("lo"), F.col("p1").alias("hi"))
+    edges = percentiles(s, "b", [0.05, 0.95], ["higher", "lower"]).select(F.col("p0").alias("lo"), F.col("p1").alias("hi"))
     x = (clip_to(F.col("b"), F.col("lo"), F.col("hi")) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return s.join(F.broadcast(edges)).select("s_suppkey", places(F.coalesce(x, F.lit(0.5)), 6).alias("x"))  # one row
 
@@ -184,7 +185,7 @@ SELECT coalesce(bucket, 'all') AS bucket, count(*) AS n, round(sqrt(avg(e * e)),
     "availability_cascade": f"{E_} SELECT event_id, CAST(CASE WHEN v IS NULL THEN 1.0 WHEN v >= 7500 THEN 0.0 WHEN v >= 5000 AND user_id % 2 = 0 THEN 0.25 WHEN v >= 5000 THEN 0.5 WHEN v >= 2500 THEN 0.75 ELSE 1.0 END AS DOUBLE) AS chance FROM e",
     "devig_normalise": f"{L_}, g AS (SELECT l_orderkey, l_suppkey, sum(1.0::DOUBLE / v) AS i FROM l GROUP BY ALL) SELECT l_orderkey, l_suppkey, round(i / sum(i) OVER (PARTITION BY l_orderkey), 6) AS p FROM g",
     "poisson_tail": f"{L_}, g AS (SELECT l_orderkey, CAST(sum(q) AS DOUBLE) / 50.0 AS m FROM l GROUP BY 1) SELECT l_orderkey, round(1 - exp(-m) * (1 + m), 6) AS p FROM g",
-    "winsor_minmax": "WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 > 0 THEN CAST(round(s_acctbal * 100) AS BIGINT) END AS b FROM supplier), e AS (SELECT quantile_cont(b, 0.05) AS lo, quantile_cont(b, 0.95) AS hi FROM s) SELECT s_suppkey, CASE WHEN b IS NULL OR hi = lo THEN 0.5::DOUBLE ELSE round((least(greatest(b, lo), hi) - lo) / (hi - lo), 6) END AS x FROM s, e",
+    "winsor_minmax": "WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 10 > 0 THEN CAST(round(s_acctbal * 100) AS BIGINT) END AS b FROM supplier), l AS (SELECT list(b ORDER BY b) AS x FROM s WHERE b IS NOT NULL), e AS (SELECT x[CAST(ceil((len(x) - 1) * 0.05) AS INT) + 1] AS lo, x[CAST(floor((len(x) - 1) * 0.95) AS INT) + 1] AS hi FROM l) SELECT s_suppkey, CASE WHEN b IS NULL OR hi = lo THEN 0.5::DOUBLE ELSE round((least(greatest(b, lo), hi) - lo) / (hi - lo), 6) END AS x FROM s, e",
     "mc_p_best": """WITH c AS (SELECT c_custkey, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS b, draw FROM customer, range(0, 40) t(draw)),
 n AS (SELECT *, b + CAST(floor(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 200000) AS BIGINT) AS s FROM c),
 m AS (SELECT c_mktsegment, draw, c_custkey FROM n QUALIFY row_number() OVER (PARTITION BY c_mktsegment, draw ORDER BY s DESC, c_custkey DESC) = 1)

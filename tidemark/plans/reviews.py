@@ -69,8 +69,8 @@ def verdict_grades(spark, d):
 
 
 def captain_tiers(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 7 > 0")  # the rest was pruned, so nothing was reviewed
-    ledger = o.select("o_custkey", F.when(F.col("o_orderkey") % 11 > 0, cents("o_totalprice") % 7 - 3).alias("delta"), (F.col("o_orderkey") % 5 == 0).alias("aligned"))
+    o = table(spark, d, "orders")
+    ledger = o.select("o_custkey", F.when((F.col("o_orderkey") % 11 > 0) & (F.col("o_orderkey") % 7 > 0), cents("o_totalprice") % 7 - 3).alias("delta"), (F.col("o_orderkey") % 5 == 0).alias("aligned"))
     return V.tiers(ledger, "o_custkey", "delta", "aligned").select("o_custkey", "reviewed", "graded", "wins", "losses", "aligned", "tier")
 
 
@@ -229,8 +229,8 @@ def other_side_club(spark, d):
 
 
 def attached_verdicts(spark, d):
-    rows = table(spark, d, "labels").where("doc_id % 3 > 0").select("doc_id", F.col("quality").cast("bigint").alias("quality"))
-    verdicts = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.col("lang").alias("verdict"))
+    rows = table(spark, d, "labels").select("doc_id", F.col("quality").cast("bigint").alias("quality"))
+    verdicts = table(spark, d, "documents").select("doc_id", F.col("lang").alias("verdict"))
     return V.with_carriers(rows, verdicts, "doc_id")
 
 
@@ -335,7 +335,7 @@ SELECT CASE WHEN lead >= 7 THEN '7d+' WHEN lead >= 5 THEN '5-7d' WHEN lead >= 3
     "verdict_grades": f"""{LOG}, l AS (SELECT slot, user_id, status AS verdict FROM g WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY slot, user_id ORDER BY day DESC, event_id DESC) = 1),
 r AS (SELECT verdict, 1 - started AS m FROM l JOIN out USING (slot, user_id))
 SELECT verdict, count(*) AS n, CAST(sum(m) AS BIGINT) AS missed, round(sum(m) / count(*), 6) AS precision, round(coalesce(sum(m) / nullif((SELECT sum(m) FROM r), 0), 0), 6) AS recall FROM r GROUP BY 1""",
-    "captain_tiers": f"""WITH l AS (SELECT o_custkey, CASE WHEN o_orderkey % 11 > 0 THEN {CENTS.format("o_totalprice")} % 7 - 3 END AS x, o_orderkey % 5 = 0 AS al FROM orders WHERE o_orderkey % 7 > 0),
+    "captain_tiers": f"""WITH l AS (SELECT o_custkey, CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 7 > 0 THEN {CENTS.format("o_totalprice")} % 7 - 3 END AS x, o_orderkey % 5 = 0 AS al FROM orders),
 s AS (SELECT o_custkey, count(*) AS reviewed, count(*) FILTER (WHERE NOT al AND x < 0) AS wins, count(*) FILTER (WHERE NOT al AND x > 0) AS losses, count(*) FILTER (WHERE al) AS aligned FROM l GROUP BY 1)
 SELECT o_custkey, reviewed, wins + losses AS graded, wins, losses, aligned, CASE WHEN wins + losses < 4 THEN 'early' WHEN wins > losses THEN 'backed' ELSE 'mixed' END AS tier FROM s""",
     "biggest_misses": f"""{FORECAST}, s AS (SELECT slot, o_custkey, CAST(sum(p) AS BIGINT) AS p, CAST(sum(a) AS BIGINT) AS a FROM f GROUP BY 1, 2)
@@ -398,7 +398,7 @@ SELECT l_orderkey, k, round(p * 0.8::DOUBLE + 0.05::DOUBLE, 6) AS absent, round(
 s AS (SELECT slot, away AS opp, home AS club, true AS h FROM o UNION ALL SELECT slot, home, away, false FROM o), u AS (SELECT slot, opp, any_value(club) AS club, any_value(h) AS h FROM s GROUP BY 1, 2 HAVING count(*) = 1),
 r AS (SELECT o_orderkey, CAST(l_linenumber AS BIGINT) AS k, slot, CASE WHEN l_linenumber % 2 = 0 THEN away ELSE home END AS opp, CASE l_linenumber WHEN 5 THEN NULL WHEN 3 THEN false WHEN 4 THEN false ELSE l_linenumber % 2 = 0 END AS flag FROM lineitem JOIN o ON l_orderkey = o_orderkey)
 SELECT o_orderkey, k, coalesce(CASE WHEN flag IS NULL OR flag = h THEN club END, -1) AS club FROM r LEFT JOIN u USING (slot, opp)""",
-    "attached_verdicts": """WITH r AS (SELECT doc_id, CAST(quality AS BIGINT) AS quality FROM labels WHERE doc_id % 3 > 0), v AS (SELECT doc_id, lang AS verdict FROM documents WHERE doc_id % 5 = 0)
+    "attached_verdicts": """WITH r AS (SELECT doc_id, CAST(quality AS BIGINT) AS quality FROM labels), v AS (SELECT doc_id, lang AS verdict FROM documents)
 SELECT doc_id, quality, verdict FROM r FULL JOIN v USING (doc_id)""",
     "open_play_totals": f"SELECT l_suppkey, year(l_shipdate) AS yr, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE {CENTS.format('l_extendedprice')} END) AS BIGINT) AS open_play FROM lineitem GROUP BY 1, 2",
     "horizon_decomposition": f"""WITH g AS (SELECT l_returnflag, CAST(floor(round(l_tax * 100) / 3) AS BIGINT) AS horizon, CAST(sum({CENTS.format("l_extendedprice")}) AS BIGINT) AS total FROM lineitem GROUP BY 1, 2)

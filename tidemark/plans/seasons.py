@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from ..functions import cents, days_between, places
 from ..functions import rules as R
 from ..operators import simulation as S
 from ..operators import squads as Q
+from ..operators.ordered import shared_dir
 from ..sources.contracts import contracted
 from ..sources.stores import Store
 from ..sources.tables import table
@@ -85,8 +85,7 @@ def hot_slots(spark, d):
 
 def stored_orders(spark, d):
     """Orders by status, saved as a named table in the shared folder and loaded again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    store = Store(spark, f"{root.rstrip('/')}/tidemark-store-{uuid.uuid4().hex}")
+    store = Store(spark, f"{shared_dir(spark)}/tidemark-store-{uuid.uuid4().hex}")
     o = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum(cents("o_totalprice")).alias("v"))
     store.save(o, "orders_by_status")
     return store.load("orders_by_status")

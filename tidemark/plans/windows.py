@@ -116,9 +116,10 @@ def topn_per_group_plus_owned(spark, d):
 
 
 def rank_change_table(spark, d):
-    o = _orders(spark, d).where("yr = 2000").groupBy("o_custkey").agg(F.sum(F.when(F.month("o_orderdate") < 12, F.col("v")).otherwise(0)).alias("pre"), F.sum("v").alias("total"))
-    out = ranked(ranked(o, [], [F.desc("pre"), F.col("o_custkey")], "pre_rank"), [], [F.desc("total"), F.col("o_custkey")], "live_rank")
-    return out.select("o_custkey", "total", F.col("live_rank").cast("bigint").alias("live_rank"), (F.col("pre_rank") - F.col("live_rank")).cast("bigint").alias("change"))
+    """Ranks in each year by its orders, and how they moved by December's."""
+    o = _orders(spark, d).groupBy("yr", "o_custkey").agg(F.sum(F.when(F.month("o_orderdate") < 12, F.col("v")).otherwise(0)).alias("pre"), F.sum("v").alias("total"))
+    out = ranked(ranked(o, ["yr"], [F.desc("pre"), F.col("o_custkey")], "pre_rank"), ["yr"], [F.desc("total"), F.col("o_custkey")], "live_rank")
+    return out.select(F.col("yr").cast("bigint").alias("yr"), "o_custkey", "total", F.col("live_rank").cast("bigint").alias("live_rank"), (F.col("pre_rank") - F.col("live_rank")).cast("bigint").alias("change"))
 
 
 def neighbour_margins(spark, d):
@@ -173,7 +174,8 @@ SELECT event_type, CAST(day AS VARCHAR) AS day, n_new, round(avg(n_new) OVER (PA
     "spell_cumulative_prior": O + SHRUNK.format(g="CAST(c_nationkey AS VARCHAR) || '|' || CAST(yr AS VARCHAR)", k="5.0", extra="g AS spell, "),
     "competition_rank_award": "WITH s AS (SELECT l_orderkey, l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS score FROM lineitem GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY score DESC) AS k FROM s) SELECT l_orderkey, l_suppkey, score, CAST(CASE k WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS award FROM r",
     "topn_per_group_plus_owned": "WITH p AS (SELECT p_partkey, p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS price, p_size FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY price DESC, p_partkey) AS n FROM p) SELECT p_partkey, p_brand, price FROM r WHERE n <= 5 OR p_size = 1",
-    "rank_change_table": f"{O}, t AS (SELECT o_custkey, CAST(sum(CASE WHEN month(o_orderdate) < 12 THEN v ELSE 0 END) AS BIGINT) AS pre, CAST(sum(v) AS BIGINT) AS total FROM o WHERE yr = 2000 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY pre DESC, o_custkey) AS a, row_number() OVER (ORDER BY total DESC, o_custkey) AS b FROM t) SELECT o_custkey, total, b AS live_rank, a - b AS change FROM r",
+    "rank_change_table": f"""{O}, t AS (SELECT yr, o_custkey, CAST(sum(CASE WHEN month(o_orderdate) < 12 THEN v ELSE 0 END) AS BIGINT) AS pre, CAST(sum(v) AS BIGINT) AS total FROM o GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY pre DESC, o_custkey) AS a, row_number() OVER (PARTITION BY yr ORDER BY total DESC, o_custkey) AS b FROM t) SELECT yr, o_custkey, total, b AS live_rank, a - b AS change FROM r""",
     "neighbour_margins": "WITH c AS (SELECT c_custkey, c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS bal FROM customer) SELECT c_custkey, lag(bal) OVER w - bal AS behind, bal - lead(bal) OVER w AS ahead, first_value(bal) OVER w - bal AS to_leader FROM c WINDOW w AS (PARTITION BY c_nationkey ORDER BY bal DESC, c_custkey)",
     "latest_per_key": f"{E_} SELECT user_id, event_type, event_id, v AS value FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
 }
