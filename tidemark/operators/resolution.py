@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import kept
+
 
 def unique_matches(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
     """(source_id, code, ...) where the key occurs once on either side; ambiguous keys match nothing."""
@@ -39,3 +41,84 @@ def first_and_last(name: Column) -> Column:
     """First and last word of a normalised name."""
     words = F.filter(F.split(name, " "), lambda w: w != "")
     return F.when(F.size(words) > 0, F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, -1)))
+
+
+def _club_tokens(names: DataFrame, who: str) -> DataFrame:
+    """(who, club, words): the words of a normalised name in order; names without one are left out."""
+    words = F.filter(F.split("name", " "), lambda w: w != "")
+    return names.select(who, "club", words.alias("words")).where((F.size("words") > 0) & F.col("club").isNotNull())
+
+
+def subset_hits(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source_id, code) of one club where one side's words are a subset of the other's.
+
+    An inverted index on rare words: the smaller name's rarest word of its club must be among the larger's, so a name is looked up by
+    that word alone and pairs are only made of names that share it. Counts of words are of both sides together.
+    """
+    sides = {"source_id": _club_tokens(left, "source_id"), "code": _club_tokens(right, "code")}
+    each = {who: df.select("club", who, "words", F.explode(F.array_distinct("words")).alias("word")) for who, df in sides.items()}
+    counts = each["source_id"].select("club", "word").unionByName(each["code"].select("club", "word")).groupBy("club", "word").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = {who: each[who].join(counts, ["club", "word"]).groupBy("club", who).agg(F.min_by("word", F.struct("_n", "word")).alias("word"), F.first("words").alias("words")) for who in each}
+
+    def hits(small: str, large: str) -> DataFrame:
+        pairs = rarest[small].withColumnRenamed("words", "_small").join(each[large].withColumnRenamed("words", "_large"), ["club", "word"])
+        return pairs.where(F.size(F.array_except("_small", "_large")) == 0).select("source_id", "code")
+
+    return hits("source_id", "code").unionByName(hits("code", "source_id")).distinct()
+
+
+def kin_hits(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source_id, code) of one club that share a word and whose first words are one the start of the other.
+
+    Each side's first word is looked up among the other's starts, together with the shared word, so only pairs that hit are made.
+    """
+    one, two = _club_tokens(left, "source_id"), _club_tokens(right, "code")
+    first = lambda df, who: df.select("club", who, F.element_at("words", 1).alias("start"), F.explode(F.array_distinct("words")).alias("word"))
+    starts = F.explode(F.transform(F.sequence(F.lit(1), F.length(F.element_at("words", 1))), lambda k: F.substring(F.element_at("words", 1), F.lit(1), k)))
+    every = lambda df, who: df.select("club", who, F.array_distinct("words").alias("_all"), starts.alias("start")).select("club", who, "start", F.explode("_all").alias("word"))
+    keys = ["club", "start", "word"]
+    return first(one, "source_id").join(every(two, "code"), keys).select("source_id", "code").unionByName(every(one, "source_id").join(first(two, "code"), keys).select("source_id", "code")).distinct()
+
+
+def claimed_in_order(hits: DataFrame) -> DataFrame:
+    """(source_id, code): sources take, in ascending order, the code they hit if it is the only one that no source before took; others are refused.
+
+    What a source gets depends on those before it that hit a code of its own, so sources are settled in rounds: all that no unsettled one
+    before them shares a code with, and all before the first that has a single code left in what hangs together by shared codes (here: at all), since
+    nothing can be taken before that. Each round is a checkpoint; there are as many as claims wait for each other.
+    """
+    open_ = kept(hits.select("source_id", "code").distinct())
+    done = open_.where("false")
+    while True:
+        counts = open_.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+        first = open_.groupBy("code").agg(F.min("source_id").alias("_first"))
+        single = counts.where("n = 1").agg(F.min("source_id").alias("_single"))
+        ahead = open_.join(first, "code").groupBy("source_id").agg(F.bool_and(F.col("_first") == F.col("source_id")).alias("ahead"), F.count(F.lit(1)).alias("n"), F.first("code").alias("code"))
+        told = kept(ahead.join(F.broadcast(single)).where(F.col("ahead") | F.col("_single").isNull() | (F.col("source_id") < F.col("_single"))))  # one row
+        if told.isEmpty():
+            return done
+        taken = told.where("n = 1 and ahead").select("source_id", "code")
+        done = kept(done.unionByName(taken))
+        open_ = kept(open_.join(told.select("source_id"), "source_id", "left_anti").join(taken.select("code"), "code", "left_anti").select("source_id", "code"))
+
+
+def resolve_clubs(left: DataFrame, right: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(source_id, code, rule) in five passes: names alike at one club, names alike anywhere, words a subset at one club, first names kin at one club, and what `overrides` (source_id, code) says.
+
+    left holds (source_id, name, club), a source once, right (code, name, club), a code once for each of its clubs; names are normalised. The first takes
+    the largest code where a club has a name twice, the second needs a name with one code. The third and fourth give a code once at most, and only
+    codes that no pass before took; sources claim in ascending order. Null names and clubs match nothing.
+    """
+    named = left.where(F.col("name").isNotNull() & (F.col("name") != ""))
+    exact = named.join(right.groupBy("name", "club").agg(F.max("code").alias("code")), ["name", "club"]).select("source_id", "code", F.lit("exact").alias("rule"))
+    once = right.groupBy("name").agg(F.min("code").alias("code"), F.max("code").alias("_b")).where("code = _b").drop("_b")
+    free = lambda out: left.join(out.select("source_id"), "source_id", "left_anti")
+    out = exact.unionByName(free(exact).join(once, "name").select("source_id", "code", F.lit("cross_club").alias("rule")))
+    for rule, hits in (("token_subset", subset_hits), ("surname_club", kin_hits)):
+        out = kept(out)
+        found = hits(free(out), right.join(out.select("code").distinct(), "code", "left_anti"))
+        out = out.unionByName(claimed_in_order(found).withColumn("rule", F.lit(rule)))
+    if overrides is not None:
+        out = kept(out)
+        out = out.unionByName(overrides.join(free(out).select("source_id"), "source_id", "left_semi").select("source_id", "code", F.lit("override").alias("rule")))
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("windows", "joins", "metrics", "decisions", "rules", "reports", "seasons", "reviews", "transfers")
+MODULES: tuple[str, ...] = ("windows", "joins", "metrics", "decisions", "rules", "reports", "seasons", "reviews", "transfers", "pages")
 
 
 def _joined(what: str) -> dict:
