@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import cents, hash_uniform, odds, places
 from ..functions import rules as R
-from ..operators import feeds, models
+from ..operators import feeds
 from ..operators import reviews as V
 from ..operators import simulation as S
 from ..operators import squads as Q
+from ..operators import strengths as Z
 from ..sources.tables import table
 from .reports import _forecast
 from .seasons import NORMAL, SQUADS, UNIFORM, _squads
@@ -278,12 +279,24 @@ def lane_odds(spark, d):
     return out.select("league", "lane", places("gain", 4).alias("gain"))
 
 
-def score_strengths(spark, d):
+def _matches(spark, d):
     """Orders as matches of a customer's nation against another, the goals from price and key."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    m = o.select("c_nationkey", (F.col("o_orderkey") % 25).alias("away"), (cents("o_totalprice") % 5).alias("hg"), (F.col("o_orderkey") % 7 % 4).alias("ag"), "o_orderdate").where("c_nationkey <> away")
-    teams, edge, rho = models.score_model(m, "c_nationkey", "away", "hg", "ag", "o_orderdate")
-    return teams.select("team", places("attack").alias("attack"), places("defence").alias("defence"), F.lit(round(edge, 4)).alias("edge"), F.lit(round(rho, 4)).alias("rho"))
+    return o.select("o_orderkey", "o_orderpriority", "c_nationkey", (F.col("o_orderkey") % 25).alias("away"), (cents("o_totalprice") % 5).alias("hg"), (F.col("o_orderkey") % 7 % 4).alias("ag"), "o_orderdate").where("c_nationkey <> away")
+
+
+def score_strengths(spark, d):
+    """Strengths of nations in each priority's matches."""
+    sums = Z.pair_sums(_matches(spark, d), ["o_orderpriority"], "c_nationkey", "away", "hg", "ag", "o_orderdate")
+    found = Z.strengths(sums, ["o_orderpriority"])
+    return found.select("o_orderpriority", "team", *[places(c).alias(c) for c in ("attack", "defence", "edge", "rho")], "weak")
+
+
+def walk_forward_clean(spark, d):
+    """Chances that either side of a match stays without a goal, each half-year by a refit on all before it."""
+    m = _matches(spark, d).withColumn("fold", (F.year("o_orderdate") * 2 + F.floor((F.month("o_orderdate") - 1) / 6)).cast("bigint"))
+    found = Z.walk_forward(m, ["o_orderpriority"], "fold", "c_nationkey", "away", "hg", "ag", "o_orderdate")
+    return found.select("o_orderkey", "fold", *[places(c).alias(c) for c in ("lam", "mu", "home_clean", "away_clean")])
 
 
 def priority_pivot(spark, d):
@@ -307,7 +320,7 @@ QUERIES = {
         gated_calibration, starter_health, starter_bias, sigma_floor, lead_histogram, verdict_grades, captain_tiers, biggest_misses, penalty_blocks, attack_multipliers, penalty_increments,
         fixture_difficulty, ladder_walk, same_as_rungs, seed_spread, availability_draws, field_rank, effective_picks, local_day_match, archive_dates, threshold_rows, scoring_points,
         carried_orders, coverage_gate, mode_rescale, other_side_club, attached_verdicts, open_play_totals, horizon_decomposition,
-        merged_availability, superseded_versions, rival_strategy, lane_odds, score_strengths, priority_pivot, history_rows,
+        merged_availability, superseded_versions, rival_strategy, lane_odds, score_strengths, walk_forward_clean, priority_pivot, history_rows,
     )
 }
 
