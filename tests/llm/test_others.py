@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity
-from tidemark.llm.common import _BYTE, row_hash
+from tidemark.llm.common import _BYTE, dealt_by_id, row_hash
 from tidemark.llm.fingerprints import fingerprint_neighbours, fingerprints
 from tidemark.llm.mixing import _mixed, mix_sources, mixed_documents, sainte_lague, source_targets
 from tidemark.llm.queries import op4_toxicity
@@ -95,6 +95,19 @@ def test_unknown_ids_are_dealt_to_all_shards(spark):
     assert len(shards) == 32 and max(r["count"] for r in shards) < 2 * 20_000 / 32
 
 
+def test_rows_of_one_id_are_dealt_to_many_ranges(spark):
+    rows = spark.range(100_000).selectExpr("case when id % 3 = 0 then id end doc_id", "case when id % 2 = 0 then 'the same' else concat('text ', id) end text")
+    sizes = [r["count"] for r in dealt_by_id(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 100_000 / 8
+
+
+def test_fingerprints_of_equal_rows(spark):
+    rows = [(None, "same text here")] * 300 + [(1, "x" * 50)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = fingerprint_neighbours(df).collect()
+    assert len(got) == 303 and sum(r.near_next == 1 for r in got) >= 299
+
+
 def test_fingerprints(rows, docs, empty):
     got = fingerprint_neighbours(docs)
     assert fingerprint_neighbours(empty).count() == 0

@@ -64,6 +64,13 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[x for c in told for x in (c.isNull(), c)]) if told else F.lit(0).cast("long")
 
 
+def dealt_by_id(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) dealt to ranges of ascending doc_id (null first), then a hash of the text, then `place`, which only tells equal rows apart: a range of them may hold a part of the rows of an id, however many share it. Sorted within each range."""
+    keyed = rows.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    order = [F.asc_nulls_first("doc_id"), F.col("h"), F.col("place")]
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], name: str) -> DataFrame:
     """df with a column for each of `sums`: its sum over all rows up to and with this one, in an order that tells all rows apart.
 

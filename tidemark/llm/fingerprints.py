@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _powers, mix, written
+from .common import _BYTE, _powers, dealt_by_id, mix, written
 
 WANTED = 48
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -98,27 +98,27 @@ def _pairs(docs: list[tuple[int | None, str]], follows: list[str]) -> pa.RecordB
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted documents of a partition: PAIR of all but the last, then the first and the last document in columns of their own."""
-    edge = pa.schema([("first_id", pa.int64()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())])
+    edge = pa.schema([("first_id", pa.int64()), ("first_h", pa.int64()), ("first_place", pa.int64()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())])
     names = [x.split()[0] for x in PAIR.split(", ")]
     first, held, size = None, [], 0
 
     def rows() -> pa.RecordBatch:
-        part = _pairs(held[:-1], [t for _, t in held[1:]])
+        part = _pairs([d[:2] for d in held[:-1]], [d[1] for d in held[1:]])
         return pa.record_batch([*part.columns, *(pa.nulls(part.num_rows, f.type) for f in edge), pa.array([False] * part.num_rows)], [*names, *edge.names, "edge"])
 
     for batch in batches:
         for doc in (d for k in range(0, len(batch), 200) for d in zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True)):
             first = first or doc
             held.append(doc)
-            size += len(doc[1])
+            size += len(doc[1]) + 64
             if size >= SLICE // 4 and len(held) > 1:
                 yield rows()
-                held, size = held[-1:], len(held[-1][1])
+                held, size = held[-1:], len(held[-1][1]) + 64
     if len(held) > 1:
         yield rows()
     if first:
         schema = pa.schema([(n, k) for n, k in zip(names, [pa.int64(), pa.int64(), pa.string(), *[pa.int32(), pa.string(), pa.string()] * 3], strict=True)])
-        yield pa.record_batch([*(pa.nulls(1, f.type) for f in schema), *(pa.array([x], f.type) for x, f in zip((*first, *held[-1]), edge, strict=True)), pa.array([True])], [*names, *edge.names, "edge"])
+        yield pa.record_batch([*(pa.nulls(1, f.type) for f in schema), *(pa.array([x], f.type) for x, f in zip((first[0], *first[2:], first[1], *held[-1][:2]), edge, strict=True)), pa.array([True])], [*names, *edge.names, "edge"])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,16 +134,17 @@ def fingerprint_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "d
     Order is ascending doc_id, null first, repeated ids by a hash of the text; the first document follows the
     last. The edited text is the text with its last quarter of code points (rounded down) replaced by as many
     from the start of the next text, or by all of that. Null texts are empty. A document alone follows itself.
-    Texts move once, sorted into ranges; only the two documents at each range's ends meet again.
+    Texts move once, sorted into ranges, which part the rows of an id too; only the two documents at each range's ends meet again.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    found = written(ordered.mapInArrow(_in_order, f"{PAIR}, first_id long, first_text string, last_id long, last_text string, edge boolean"), "neighbours")
+    edge = "first_id long, first_h long, first_place long, first_text string, last_id long, last_text string, edge boolean"
+    found = written(dealt_by_id(rows).mapInArrow(_in_order, f"{PAIR}, {edge}"), "neighbours")
     ends = found.where("edge")
-    ranked = written(ends.select("first_id", "last_id").withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_first("first_id")))), "ranges")  # a row a range
+    first = [F.col(c) for c in ("first_h", "first_place")]
+    ranked = written(ends.select("first_id", *first).withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_first("first_id"), *first))), "ranges")  # a row a range
     n = ranked.count()
-    same = F.col("first_id").eqNullSafe(F.col("_first"))
-    numbered = ends.join(ranked.select(F.col("first_id").alias("_first"), "place"), same)
+    same = F.col("first_id").eqNullSafe(F.col("_i")) & (F.col("first_h") == F.col("_h")) & (F.col("first_place") == F.col("_p"))
+    numbered = ends.join(ranked.select(F.col("first_id").alias("_i"), F.col("first_h").alias("_h"), F.col("first_place").alias("_p"), "place"), same)
     heads = numbered.select((F.pmod(F.col("place") - 2, F.lit(max(1, n))) + 1).alias("place"), F.col("first_text").alias("follows"))
     last = numbered.select("place", "last_id", "last_text").join(heads, "place").select("last_id", "last_text", "follows").mapInArrow(_edges, PAIR)
     whole = found.where("not edge").select(*last.columns).unionByName(last)

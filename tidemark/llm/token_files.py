@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import dealt_by_id, scratch_path, written
 
-MANIFEST = "path string, first_doc long, n_docs long, n_tokens long, n_sequences long"
+MANIFEST = "path string, first_doc long, first_h long, first_place long, n_docs long, n_tokens long, n_sequences long"
 
 
 def opened(path: str):
@@ -118,7 +118,7 @@ def documents_in(path: str) -> Iterator[tuple[int | None, int, int, int]]:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, length: int = 2048, per_batch: int = 64, folder: str | None = None, keep: int = 600_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Writes the shards and returns their manifest with `start`, the ids before each shard.
 
-    Order: ascending doc_id, null first, repeated doc_ids by a hash of the text. Null and empty texts
+    Order: ascending doc_id, null first, repeated doc_ids by a hash of the text; the rows of an id may be parted too. Null and empty texts
     have the end id alone. An empty table has no shard, and so no row. A Python worker remembers the ids of
     about twice `keep` pieces, some 200 bytes each.
     """
@@ -132,19 +132,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, l
 
         writer, first, encoder, end = None, None, None, np.array([] if end_id is None else [end_id], "<u4").tobytes()
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(encoder := encoder_of(tokenizer, keep), batch.column(1)), strict=True):
+            for doc, key, ids in zip(batch.column(0).to_pylist(), zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True), encoded(encoder := encoder_of(tokenizer, keep), batch.column(1)), strict=True):
                 if writer is None:
                     kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-                    writer, first = SequenceWriter(f"{folder}/{uuid.uuid4().hex}.arrow", length, per_batch, kind), doc
+                    writer, first = SequenceWriter(f"{folder}/{uuid.uuid4().hex}.arrow", length, per_batch, kind), (doc, *key)
                 writer.add(doc, np.frombuffer(ids + end, "<u4"))
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"path": writer.path, "first_doc": first, "n_docs": writer.docs, "n_tokens": writer.total, "n_sequences": writer.sequences}], schema=pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("first_doc", "n_docs", "n_tokens", "n_sequences"))]))
+            yield pa.RecordBatch.from_pylist([{"path": writer.path, "first_doc": first[0], "first_h": first[1], "first_place": first[2], "n_docs": writer.docs, "n_tokens": writer.total, "n_sequences": writer.sequences}], schema=pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("first_doc", "first_h", "first_place", "n_docs", "n_tokens", "n_sequences"))]))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    manifest = written(sorted_rows.mapInArrow(write, MANIFEST), "manifest")
-    before = Window.orderBy(F.asc_nulls_first("first_doc")).rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    manifest = written(dealt_by_id(rows).mapInArrow(write, MANIFEST), "manifest")
+    before = Window.orderBy(F.asc_nulls_first("first_doc"), "first_h", "first_place").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
