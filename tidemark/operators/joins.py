@@ -45,17 +45,17 @@ def interval_join(facts: DataFrame, spells: DataFrame, on: str, time: str) -> Da
     return found.select(*facts.columns, *[F.col(f"_spell.{c}").alias(c) for c in told])
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: str, forward: bool = False, strict: bool = True) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, value: str, forward: bool = False, strict: bool = True, bucket: Column | None = None) -> DataFrame:
     """left with `value` of the nearest right row (one per key and time) before or after; strict leaves out equal times.
 
-    Both sides meet in one order by key and time, dealt to ranges, so a key costs its rows once and a hot key is split.
+    Both sides meet in one order by key and time, dealt to ranges or to buckets of the time (see filled), so a key costs its rows once and a hot key is split.
     """
     tagged = left.withColumns({value: F.lit(None).cast(right.schema[value].dataType), "_side": F.lit(1)})
     seen = right.select(*by, time, value, F.lit(0).alias("_side"))
     rows = tagged.unionByName(seen, allowMissingColumns=True)
     # among equal times, those of the right that may count stand on the side that is looked at
     ahead = F.col("_side") if strict == forward else -F.col("_side")
-    out = filled(rows, by, [F.col(time), ahead], {value: F.when(F.col("_side") == 0, F.col(value))}, forward)
+    out = filled(rows, by, [F.col(time), ahead], {value: F.when(F.col("_side") == 0, F.col(value))}, forward, bucket=bucket)
     return out.where("_side = 1").drop("_side").select(*left.columns, value)
 
 

@@ -43,9 +43,13 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str)
     return dealt.withColumn("_here", here).join(offsets, [*by, "_range"]).withColumn(name, F.col("_here") + F.col("_before")).drop("_here", "_before", "_range")
 
 
-def filled(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: dict[str, Column], forward: bool = False, own: bool = True) -> DataFrame:
-    """df with, for each name, the last value that isn't null before a row of its key in the order, or the first after it (forward); with `own` the row itself counts."""
-    dealt = ranges(df, [*map(F.col, by), order[0]]).withColumns({f"_{n}": c for n, c in values.items()})
+def filled(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: dict[str, Column], forward: bool = False, own: bool = True, bucket: Column | None = None) -> DataFrame:
+    """df with, for each name, the last value that isn't null before a row of its key in the order, or the first after it (forward); with `own` the row itself counts.
+
+    bucket, which never falls along the order (a month of a time), parts a key's rows in place of sampled ranges, which need df twice and a written copy of it.
+    """
+    dealt = ranges(df, [*map(F.col, by), order[0]]) if bucket is None else df.withColumn("_range", bucket)
+    dealt = dealt.withColumns({f"_{n}": c for n, c in values.items()})
     pick = F.first if forward else F.last
     rows = Window.partitionBy(*by, "_range").orderBy(*order)
     frame = rows.rowsBetween(0 if own else 1, Window.unboundedFollowing) if forward else rows.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
@@ -53,7 +57,7 @@ def filled(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: di
     at = F.struct(*[F.row_number().over(rows).alias("n")])
     edge = F.min_by if forward else F.max_by
     edges = dealt.withColumn("_at", at).groupBy(*by, "_range").agg(*[edge(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("_at"))).alias(f"_edge_{n}") for n in values])
-    line = Window.partitionBy(*by).orderBy("_range")  # a row a key and range
+    line = Window.partitionBy(*by).orderBy("_range")  # a row a key and range or bucket
     far = line.rowsBetween(1, Window.unboundedFollowing) if forward else line.rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(*by, "_range", *[pick(f"_edge_{n}", ignorenulls=True).over(far).alias(f"_far_{n}") for n in values])
     out = near.join(carried, [*by, "_range"])

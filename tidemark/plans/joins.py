@@ -50,13 +50,13 @@ def _nation_orders(spark, d):
 def asof_backward_latest(spark, d):
     o = _nation_orders(spark, d)
     before = o.groupBy("nation", "t").agg(F.max("v").alias("latest"))
-    return J.as_of(o.select("o_orderkey", "nation", "t"), before, ["nation"], "t", "latest").select("o_orderkey", "nation", "latest")
+    return J.as_of(o.select("o_orderkey", "nation", "t"), before, ["nation"], "t", "latest", bucket=F.date_trunc("month", "t")).select("o_orderkey", "nation", "latest")
 
 
 def asof_next(spark, d):
     o = _nation_orders(spark, d)
     after = o.groupBy("nation", "t").agg(F.max("v").alias("next"))
-    return J.as_of(o.select("o_orderkey", "nation", "t"), after, ["nation"], "t", "next", forward=True).select("o_orderkey", "nation", "next")
+    return J.as_of(o.select("o_orderkey", "nation", "t"), after, ["nation"], "t", "next", forward=True, bucket=F.date_trunc("month", "t")).select("o_orderkey", "nation", "next")
 
 
 def many_to_one_enrich(spark, d):
