@@ -97,7 +97,11 @@ def test_unknown_ids_are_dealt_to_all_shards(spark):
 
 def test_rows_of_one_id_are_dealt_to_many_ranges(spark):
     rows = spark.range(100_000).selectExpr("case when id % 3 = 0 then id end doc_id", "case when id % 2 = 0 then 'the same' else concat('text ', id) end text")
-    sizes = [r["count"] for r in dealt_by_id(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in dealt_by_id(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) == 8 and max(sizes) < 2 * 100_000 / 8
 
 
@@ -173,13 +177,16 @@ def test_warc(spark):
 
 def weigh(text, lexicon=None):
     scorer = toxicity.Scorer(lexicon or toxicity.Lexicon())
-    insults, threats = scorer.run([scorer.symbols(toxicity.LETTERS.findall(text.lower()))])
+    *insults, threats = scorer.run([scorer.symbols(toxicity.LETTERS.findall(text.lower()))])
+    insults = sum(insults)
     return insults[0], threats[0]
 
 
 def test_clause_grammar():
     insult, aimed, denied, told = (weigh(t)[0] for t in ("such an idiot", "you idiot", "you are not an idiot", "he said you idiot"))
     assert aimed > insult > denied > 0 and aimed > told > 0
+    kinds = lambda t: [x[0] > 0 for x in toxicity.Scorer(toxicity.Lexicon()).run([toxicity.Scorer(toxicity.Lexicon()).symbols(t.split())])]
+    assert [kinds(t).index(True) for t in ("you idiot", "such an idiot", "you are not an idiot", "he said you idiot", "kill them")] == [0, 1, 2, 2, 3]
     assert weigh("i will kill you")[1] > weigh("i will not kill you")[1] > 0 == weigh("to kill time")[1]
 
 
@@ -208,7 +215,8 @@ def test_composition_against_a_plain_reading():
     rng, scorer = random.Random(8), toxicity.Scorer(toxicity.Lexicon())
     clauses = [[rng.choice("----ITGNR") for _ in range(rng.choice([0, 1, 5, 30]))] for _ in range(400)]
     weights = [[rng.choice([1.0, 3.0]) for _ in c] for c in clauses]
-    a, b = scorer.run([([toxicity.KINDS.index(k) for k in c], w) for c, w in zip(clauses, weights)])
+    *a, b = scorer.run([([toxicity.KINDS.index(k) for k in c], w) for c, w in zip(clauses, weights)])
+    a = sum(a)
     for x, y, c, w in zip(a, b, clauses, weights):
         assert abs(x - plain_weigh(c, w)[0]) < 1e-9 and abs(y - plain_weigh(c, w)[1]) < 1e-9
     words = {"I": "idiot", "T": "kill", "G": "you", "N": "not", "R": "said", "-": "word"}
@@ -225,7 +233,7 @@ def test_toxicity_held_out(spark, docs, empty):
     assert len(rows) > 40 and right >= 0.9 * len(rows)
     caught = [r.predicted for r in rows if r.toxic == 1]
     assert sum(caught) >= 0.5 * len(caught)
-    model = toxicity.Model(toxicity.Lexicon(), toxicity.np.array([1.0, 1, 0, 0, 1, -2.5]))
+    model = toxicity.Model(toxicity.Lexicon(), toxicity.np.array([1.0, 1, 0, 1, 0, 0, 1, -2.5]))
     scored = toxicity.toxicity(docs, model)
     assert scored.where("score between 0 and 1").count() == docs.count() and toxicity.toxicity(empty, model).count() == 0
     bare = toxicity.train(docs, labels.where("false"))

@@ -4,8 +4,9 @@ Words become symbols: insult, threat, target, negation, verb of reporting, other
 the one before it writes: negation marks insults and threats in its reach, reported speech those after its verb,
 a target the insults after it, threat turns a verb and its target into one symbol, and insult gives
 insults and threats their weights, by the marks on them. The composition is built once as one table, (state, symbol) to
-(state, weight), and clauses run through it side by side as arrays. A text's score is a logistic function of the
-weights of its matched clauses, fitted on labelled rows. Insult words beyond the listed ones are learned from labelled rows.
+(state, weight), and clauses run through it side by side as arrays. What a clause comes to is kept by what it does with its insults: it aims them at
+somebody, leaves them bare, or denies or reports them. A text's score is a logistic function of these sums over its matched clauses, so
+what each mark is worth is fitted on labelled rows. Insult words beyond the listed ones are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ class Lexicon:
         return found
 
 
-FEATURES = ("log insults", "log threats", "log strongest clause", "log matched clauses", "share of clauses matched")
+FEATURES = ("log aimed insults", "log bare insults", "log denied or reported insults", "log threats", "log strongest clause", "log matched clauses", "share of clauses matched")
 
 
 class Scorer:
@@ -156,23 +157,25 @@ class Scorer:
         return kinds, weights
 
     def run(self, clauses: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of insults and weight of threats of each clause."""
+        """Of each clause the weight of its aimed insults, of its bare ones, of those negated or reported, and of its threats."""
         sizes = np.array([len(k) for k, _ in clauses], np.int64)
         order = np.argsort(-sizes, kind="stable")
         offsets = np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
         kinds = np.array([k for c, _ in clauses for k in c], np.int32)
         weights = np.array([w for _, c in clauses for w in c], float)
-        state, out = np.zeros(len(clauses), np.int32), np.zeros((2, len(clauses)))
+        state, out = np.zeros(len(clauses), np.int32), np.zeros((4, len(clauses)))
         longest_first = sizes[order]
         for t in range(int(sizes.max(initial=0))):
             n = int(np.searchsorted(-longest_first, -t, "left"))  # clauses that have a word t
             at = offsets[:n] + t
             kind, got = kinds[at], self.factors[state[:n], kinds[at]]
             insults = kind == 1
-            out[0, order[:n]] += np.where(insults, got * weights[at], 0.0)
-            out[1, order[:n]] += np.where(insults, 0.0, got)
+            weighed, aimed, bare = got * weights[at], insults & (got == WEIGHTS["a"]), insults & (got == 1.0)
+            for k, which in enumerate((aimed, bare, insults & ~aimed & ~bare)):
+                out[k, order[:n]] += np.where(which, weighed, 0.0)
+            out[3, order[:n]] += np.where(insults, 0.0, got)
             state[:n] = self.following[state[:n], kind]
-        return out[0], out[1]
+        return out
 
     def features(self, texts: list[str], at_once: int = 256) -> np.ndarray:
         """What the score is made of, a row a text; zeros for a text without a matched clause."""
@@ -196,14 +199,14 @@ class Scorer:
         if not clauses:
             return
         owner = np.array(owner)
-        insults, threats = self.run(clauses)
-        n = len(texts)
+        weights = self.run(clauses)
+        total, n = weights.sum(0), len(texts)
         strongest = np.zeros(n)
-        np.maximum.at(strongest, owner, insults + threats)
-        matched = np.bincount(owner[insults + threats > 0], minlength=n)
-        columns = (np.bincount(owner, insults, n), np.bincount(owner, threats, n), strongest, matched)
-        found[:, :4] = np.log1p(np.column_stack(columns))
-        found[:, 4] = matched / n_clauses
+        np.maximum.at(strongest, owner, total)
+        matched = np.bincount(owner[total > 0], minlength=n)
+        columns = (*(np.bincount(owner, w, n) for w in weights), strongest, matched)
+        found[:, :-1] = np.log1p(np.column_stack(columns))
+        found[:, -1] = matched / n_clauses
 
 
 def held_out(doc_id: Column) -> Column:
@@ -288,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, text: str = "t
     rows = sample.mapInArrow(_features(lexicon), "toxic int, " + ", ".join(f"f{k} double" for k in range(len(FEATURES)))).toPandas()
     y = rows["toxic"].to_numpy(float)
     if len(set(y)) < 2:
-        return Model(lexicon, np.array([1.0, 1.0, 0.0, 0.0, 0.0, -1.0]))
+        return Model(lexicon, np.array([1.5, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, -1.5]))
     return Model(lexicon, fitted(rows.drop(columns="toxic").to_numpy(float), y))
 
 
