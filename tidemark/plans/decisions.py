@@ -21,7 +21,7 @@ def elo_sequential(spark, d):
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("c_nationkey <> s_nationkey").select(
         F.concat_ws(" ", F.year("o_orderdate"), "o_orderpriority").alias("pool"), F.col("o_orderdate").cast("string").alias("day"), "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.col("c_nationkey").cast("bigint").alias("home"), F.col("s_nationkey").cast("bigint").alias("away"), score.alias("score")
     )
-    rated = models.elo(rows, "pool", ["day", "l_orderkey", "l_linenumber"], "home", "away", "score")
+    rated = models.elo(rows, "pool", ["day", "l_orderkey", "l_linenumber", "away", "score"], "home", "away", "score")
     return rated.select("l_orderkey", "l_linenumber", "home", "away", places("home_elo", 6).alias("home_elo"), places("away_elo", 6).alias("away_elo"))
 
 
@@ -104,6 +104,16 @@ g AS (SELECT m.*, h.k AS h, a.k AS a, greatest(0, exp(h.k * ln(lam) - lam) / fac
   * CASE WHEN h.k = 0 AND a.k = 0 THEN 1 - lam * mu * -0.05::DOUBLE WHEN h.k = 0 AND a.k = 1 THEN 1 + lam * -0.05::DOUBLE WHEN h.k = 1 AND a.k = 0 THEN 1 + mu * -0.05::DOUBLE WHEN h.k = 1 AND a.k = 1 THEN 1.05::DOUBLE ELSE 1 END) AS p FROM m, k h, k a)
 SELECT s_suppkey, round(sum(CASE WHEN h > a THEN p ELSE 0 END) / sum(p), 6) AS p_home, round(sum(CASE WHEN h = a THEN p ELSE 0 END) / sum(p), 6) AS p_draw, round(sum(CASE WHEN h < a THEN p ELSE 0 END) / sum(p), 6) AS p_away,
   round(sum(CASE WHEN a = 0 THEN p ELSE 0 END) / sum(p), 6) AS home_clean, round(sum(CASE WHEN h = 0 THEN p ELSE 0 END) / sum(p), 6) AS away_clean FROM g GROUP BY s_suppkey""",
+    "elo_sequential": """
+WITH RECURSIVE m AS (SELECT year(o_orderdate) || ' ' || o_orderpriority AS pool, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(c_nationkey AS BIGINT) AS home, CAST(s_nationkey AS BIGINT) AS away, CASE WHEN l_quantity > 25 THEN 1.0 WHEN l_quantity = 25 THEN 0.5 ELSE 0.0 END::DOUBLE AS score, o_orderdate
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
+i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY o_orderdate, l_orderkey, l_linenumber, away, score) AS i FROM m),
+s AS MATERIALIZED (SELECT i, list(struct_pack(pool := pool, k := l_orderkey, n := l_linenumber, home := home, away := away, score := score)) AS now FROM i GROUP BY i),
+r AS (SELECT 0::BIGINT AS i, map([('', -1::BIGINT)], [0.0::DOUBLE]) AS e, NULL::STRUCT(k BIGINT, n BIGINT, home BIGINT, away BIGINT, h DOUBLE, a DOUBLE)[] AS told
+  UNION ALL SELECT i, map_concat(e, map_from_entries(flatten(list_transform(x, lambda y: [((y.pool, y.home), y.h + y.move), ((y.pool, y.away), y.a - y.move)])))), list_transform(x, lambda y: struct_pack(k := y.k, n := y.n, home := y.home, away := y.away, h := y.h, a := y.a))
+  FROM (SELECT s.i, r.e, list_transform(list_transform(s.now, lambda y: struct_pack(pool := y.pool, k := y.k, n := y.n, home := y.home, away := y.away, score := y.score, h := coalesce(r.e[(y.pool, y.home)], 1500.0), a := coalesce(r.e[(y.pool, y.away)], 1500.0))),
+    lambda y: struct_pack(pool := y.pool, k := y.k, n := y.n, home := y.home, away := y.away, h := y.h, a := y.a, move := 20.0 * (y.score - 1 / (1 + pow(10.0, (y.a - y.h) / 400.0))))) AS x FROM r JOIN s ON s.i = r.i + 1))
+SELECT t.k AS l_orderkey, t.n AS l_linenumber, t.home, t.away, round(t.h, 6) AS home_elo, round(t.a, 6) AS away_elo FROM (SELECT unnest(told) AS t FROM r)""",
     "stopping_thresholds": """
 WITH RECURSIVE d AS (SELECT event_type, CAST(floor(day(ts) / 10.0) AS BIGINT) AS slot, round(value) AS x FROM events WHERE value IS NOT NULL),
 l AS (SELECT event_type, max(slot) AS slot FROM d GROUP BY event_type),

@@ -178,6 +178,19 @@ L = """WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS
 SCORE = "CASE WHEN {x} = 1 THEN 1.0::DOUBLE WHEN {x} = 2 THEN 0.5::DOUBLE WHEN {x} >= 3 THEN 0.0::DOUBLE END"
 TAIL = """(exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE)))))"""
 
+
+
+def _cdf(z):
+    """SQL of the normal distribution by the same published formula."""
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    tail = f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+_STEP = f"CASE WHEN abs(mu * {_cdf('(mu / sigma)')} + sigma * exp(-(mu / sigma) * (mu / sigma) / 2) / sqrt(2 * pi()) - ep) <= 1e-9 THEN mu WHEN {_cdf('(mu / sigma)')} <= 1e-12 THEN mu + sigma ELSE mu - (mu * {_cdf('(mu / sigma)')} + sigma * exp(-(mu / sigma) * (mu / sigma) / 2) / sqrt(2 * pi()) - ep) / {_cdf('(mu / sigma)')} END"
+#: After rows p (p_partkey, ep, sigma) the mean of each, by forty Newton steps.
+_MEANS = f"""r AS (SELECT p_partkey, ep, sigma, ep AS mu, 0 AS k FROM p UNION ALL SELECT p_partkey, ep, sigma, CASE WHEN sigma > 0 AND ep > 0 THEN {_STEP} ELSE mu END, k + 1 FROM r WHERE k < 40), m AS (SELECT * FROM r WHERE k = 40)"""
+
 ORACLE_SQL = {
     "setpiece_scores": f"""{L}, s AS (SELECT l_orderkey, k, nullif(k, 4) AS a, nullif(q % 5, 0) AS b FROM l), b AS (SELECT *, least(a, b) AS best FROM s)
 SELECT l_orderkey, k, {SCORE.format(x="a")} AS first, {SCORE.format(x="best")} AS best FROM b""",
@@ -237,4 +250,10 @@ SELECT s_suppkey, mean_home, mean_away FROM supplier JOIN b ON s_suppkey % 8 = x
 SELECT l_orderkey, round(sum(exp(-x) * pow(x, h) / factorial(h::INTEGER) * exp(-y) * pow(y, a) / factorial(a::INTEGER)), 6) AS p FROM g, range(1, 11) i(h), range(0, 10) j(a) WHERE a < h GROUP BY 1""",
     "normalised_rates": f"""{L}, s AS (SELECT *, -ln(1 - least(greatest(1 / (1.05::DOUBLE + v / 1000000), 1e-9), 1 - 1e-9)) AS rate FROM l)
 SELECT l_orderkey, k, round(rate * (sum(q) OVER w / 40) / sum(rate) OVER w, 5) AS rate FROM s WINDOW w AS (PARTITION BY l_orderkey)""",
+    "recentred_means": f"""WITH RECURSIVE p AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) / 30000.0::DOUBLE - 3 AS ep, p_size / 8.0::DOUBLE - 0.5 AS sigma FROM part), {_MEANS}
+SELECT p_partkey, round(mu, 4) AS mean FROM m""",
+    "points_bands": f"""WITH RECURSIVE p AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) / 20000.0::DOUBLE - 5 AS ep, (p_size % 5)::DOUBLE AS sigma FROM part), {_MEANS},
+s AS (SELECT *, sigma > 0 AND ep > 0 AS wide FROM m)
+SELECT p_partkey, round(CASE WHEN wide THEN greatest(0, mu - {odds.BAND_Z} * sigma) ELSE greatest(mu, 0) END, 3) AS ep_lo, round(CASE WHEN wide THEN mu + {odds.BAND_Z} * sigma ELSE greatest(mu, 0) END, 3) AS ep_hi,
+  round(CASE WHEN wide THEN 1 - {_cdf(f"(({odds.HAUL} - mu) / sigma)")} WHEN mu >= {odds.HAUL} THEN 1 ELSE 0 END, 3) AS p_haul, round(CASE WHEN wide THEN {_cdf(f"(({odds.BLANK} - mu) / sigma)")} WHEN mu <= {odds.BLANK} THEN 1 ELSE 0 END, 3) AS p_blank FROM s""",
 }

@@ -140,6 +140,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY squad, kind ORDER BY points DESC
 t AS (SELECT squad, d, m, f, sum(points) AS total, count(*) AS eleven, max(points) AS captain FROM r, f
   WHERE n <= CASE kind WHEN 'GKP' THEN 1 WHEN 'DEF' THEN d WHEN 'MID' THEN m ELSE f END GROUP BY 1, 2, 3, 4)
 SELECT squad, CAST(max(total + captain) AS BIGINT) AS total, max(captain) AS captain FROM t WHERE eleven = 11 GROUP BY 1""",
+    "squad_substitutions": """WITH RECURSIVE p AS (SELECT p_partkey // 15 AS squad, p_partkey % 15 AS i, CAST(round(p_retailprice * 100) AS BIGINT) % 17 - 3 AS points, p_size % 4 > 0 AS played FROM part),
+s AS (SELECT squad, list_position([0, 2, 3, 4, 5, 7, 8, 9, 10, 12, 13, 1, 6, 11, 14], i) AS place, CASE WHEN i < 2 THEN 1 WHEN i < 7 THEN 2 WHEN i < 12 THEN 3 ELSE 4 END AS kind, points, coalesce(played, false) AS played FROM p),
+q AS (SELECT squad, list(struct_pack(i := place, kind := kind, points := points, played := played) ORDER BY place) AS x FROM s GROUP BY 1),
+b AS (SELECT squad, list_filter(x, lambda r: r.i <= 11) AS xi, list_filter(x, lambda r: r.i > 11) AS bench FROM q),
+f AS (SELECT squad, 1::BIGINT AS n, list_transform([1, 2, 3, 4], lambda k: len(list_filter(xi, lambda r: r.kind = k))) AS counts, []::BIGINT[] AS ins, 0::BIGINT AS points FROM b
+  UNION ALL SELECT squad, n + 1, CASE WHEN stays THEN counts ELSE list_transform([1, 2, 3, 4], lambda k: counts[k] - CASE WHEN own.kind = k THEN 1 ELSE 0 END + CASE WHEN sub.kind = k THEN 1 ELSE 0 END) END, CASE WHEN stays THEN ins ELSE ins || [sub.i] END, points + CASE WHEN stays THEN own.points ELSE sub.points END
+  FROM (SELECT *, own.played OR sub IS NULL AS stays FROM (SELECT f.*, b.xi[f.n] AS own, list_filter(b.bench, lambda r: r.played AND NOT list_contains(f.ins, r.i) AND list_bool_and(list_transform([1, 2, 3, 4], lambda k:
+      f.counts[k] - CASE WHEN b.xi[f.n].kind = k THEN 1 ELSE 0 END + CASE WHEN r.kind = k THEN 1 ELSE 0 END BETWEEN [1, 3, 2, 1][k] AND [1, 5, 5, 3][k])))[1] AS sub FROM f JOIN b USING (squad) WHERE f.n <= len(b.xi))))
+SELECT f.squad, len(ins) AS n_subs, array_to_string(ins, ',') AS ins, f.points FROM f JOIN b USING (squad) WHERE f.n = len(b.xi) + 1""",
     "entry_points": """WITH l AS (SELECT l_orderkey, l_linenumber AS k, CAST(l_quantity AS BIGINT) % 3 AS m, CAST(round(l_discount * 100) AS BIGINT) AS p, l_linestatus FROM lineitem)
 SELECT l_orderkey, CAST(sum(m * (p + CASE WHEN k = 1 THEN 3 ELSE 0 END)) AS BIGINT) AS points, round(sum(m * k * CASE WHEN l_linestatus = 'F' THEN 0 WHEN k <= 1 THEN 1 ELSE greatest(0, 1 - p * 9 / 90) END), 2)::DOUBLE AS to_come
 FROM l WHERE m >= 1 GROUP BY 1""",
