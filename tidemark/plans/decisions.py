@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import cents, normalised_name, places
-from ..operators import models, policy, resolution
+from ..operators import models, policy, resolution, softmax
 from ..operators.ordered import shared_dir
 from ..sources.tables import table
 from ..streaming import finality
@@ -76,6 +76,16 @@ def gbt_head(spark, d):
     return models.out_of_fold(rows, "fold", ["n_chars", "p"], "y", "score", binary=True).select("doc_id", "y", "score")
 
 
+def three_modes(spark, d):
+    """Chances of three modes of a document (English, German, another language) from its length and marks, learned from four in five; mode is what it is."""
+    share = lambda letters: F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"[{letters}]")) / F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"), share("ehr").alias("common"), share("äöüß").alias("dots"), F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2).alias("mode"))
+    features = ["n", "common", "dots"]
+    model = softmax.fit(docs.where("doc_id % 5 > 0"), features, "mode", 3, rounds=10)
+    found = model.predicted(docs, "p")
+    return found.select("doc_id", "mode", (F.col("doc_id") % 5 == 0).alias("held_out"), *[places(F.get("p", F.lit(k)), 6).alias(f"p{k}") for k in range(3)])
+
+
 def stream_append_finality(spark, d):
     """Days of events as a stream closes them: a day is final, and is appended once, when two hours after its end have been seen.
 
@@ -91,7 +101,7 @@ def stream_append_finality(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (elo_sequential, fixture_outcomes, stopping_thresholds, mixture_by_duplication, best_slot_gain, threshold_gate, token_resolution, isotonic_calibration, gbt_head, stream_append_finality)
+    for f in (elo_sequential, fixture_outcomes, stopping_thresholds, mixture_by_duplication, best_slot_gain, threshold_gate, token_resolution, isotonic_calibration, gbt_head, three_modes, stream_append_finality)
 }
 
 _CENTS = "CAST(round({} * 100) AS BIGINT)"
