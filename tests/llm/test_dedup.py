@@ -10,7 +10,7 @@ import pytest
 
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import line_dedup
-from tidemark.llm.ngram_join import choose_bands, near_distinct, ngram_join
+from tidemark.llm.ngram_join import choose_bands, near_distinct, ngram_join, verified
 from tidemark.llm.substring_dedup import substring_dedup
 
 LAST = 2**63 - 1
@@ -18,6 +18,17 @@ sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 null_last = lambda d: (d is None, d or 0)
 
 
+def test_pairs_at_the_threshold_itself_are_links():
+    """Sets of 4 in 5 alike, of all sizes: the counts are 32-bit floats, in which 1.8 times a count falls below 0.8 times the sizes' sum now and then."""
+    for k in [*range(1, 120), 270, 1001, 40_001]:
+        union = np.arange(5 * k, dtype=np.uint64)
+        a, b, c = union[: 4 * k + k // 2], np.concatenate([union[: 4 * k], union[4 * k + k // 2 :]]), np.concatenate([union[: 4 * k - 1], union[4 * k + k // 2 :], union[-1:] + np.uint64(1)])
+        near = {i: (0, 0, 0, 0, i, bytes(8), x.tobytes()) for i, x in enumerate((a, b))}
+        assert verified(near, 0.8)[1].sum() == 2, k
+        far = {i: (0, 0, 0, 0, i, bytes(8), x.tobytes()) for i, x in enumerate((a, c))}
+        assert len(np.intersect1d(a, c)) * 5 < 4 * len(np.union1d(a, c)) and verified(far, 0.8)[1].sum() == 0, k
+
+
 def test_exact_dedup(rows, docs, empty):
     groups = defaultdict(list)
     for d, t, _ in rows:

@@ -138,7 +138,7 @@ def verified(by_cid: dict[int, tuple], threshold: float) -> tuple[np.ndarray, np
     sizes, mine = np.array([len(s) for s in sets], np.float64), np.array([r[3] for r in rows])
     found = []
     for k in range(len(rows)):  # inter >= t * (a + b - inter), a row of the matrix at a time
-        like = both[k, k + 1 :] * (1 + threshold) >= threshold * (sizes[k] + sizes[k + 1 :]) - 1e-6
+        like = both[k, k + 1 :].astype(float) * (1 + threshold) >= threshold * (sizes[k] + sizes[k + 1 :]) - 1e-6
         if one != two:
             like &= mine[k + 1 :] != mine[k]
         found.append(np.flatnonzero(like).astype(np.int32) + np.int32(k + 1))
@@ -220,7 +220,7 @@ def _key(text: Column, doc_id: Column) -> list[Column]:
     return [doc_id.cast("long").alias("doc_id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(11), body).alias("h2")]
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, most_hashes: int = 256, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, most_hashes: int = 288, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_copies, first (and h1, h2, hashes of the text).
 
     Two different texts are linked if the sets of their runs of `width` words (unchanged, parted by ASCII white
