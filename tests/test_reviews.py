@@ -119,3 +119,10 @@ def test_penalty_increment_is_bounded_and_gives_back_its_points(spark):
     assert all(r.p * r.x.goals * r.pts == pytest.approx(r.x.ep) for r in found)
     assert [round(r.x.ep, 4) for r in found] == [0.8, -0.3, 0.1014, 0.0]
     assert statistics.mean(r.x.ep for r in found) < 0.2
+
+
+def test_lanes_meet_their_rivals_without_a_broadcast(spark):
+    c = spark.range(40).selectExpr("floor(id / 20) league", "id entry", "cast(id as double) mean", "1.0D sigma")
+    out = simulation.lane_gains(c, "league", "entry", F.col("entry") % 20 == 7, "mean", "sigma", {"captain": F.col("mean") + 1}, 100)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.league, r.lane) for r in out.collect()} == {(0, "captain"), (1, "captain")}

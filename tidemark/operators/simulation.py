@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform
+from .ordered import dealt, shuffled
 
 
 def hash_normal(*keys) -> Column:
@@ -18,8 +19,11 @@ def hash_normal(*keys) -> Column:
 
 
 def drawn(df: DataFrame, mean: Column, sigma: Column, keys: Sequence[str], draws: int) -> DataFrame:
-    """df once a draw (column draw), with its value; the mean itself where there is no spread."""
-    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    """df once a draw (column draw), with its value; the mean itself where there is no spread.
+
+    Rows are dealt to ranges of their keys before they grow, so tasks are alike whatever the files, and what is summed by the first key meets on the map side.
+    """
+    rows = dealt(df, keys).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     return rows.withColumn("value", mean + F.coalesce(sigma, F.lit(0.0)) * hash_normal(*[F.col(k) for k in keys], F.col("draw")))
 
 
@@ -63,4 +67,4 @@ def lane_gains(entries: DataFrame, by: str, entry: str, mine: Column, mean: str,
     told = F.array(*[F.struct(F.lit(n).alias("lane"), c.cast("double").alias("_mean")) for n, c in lanes.items()])
     own = rows.where(mine).withColumn("_lane", F.explode(told)).select(by, entry, "draw", "_lane.lane", F.col(mean).alias("_is"), "_lane._mean", (F.col(sigma) * F.col("value")).alias("_noise"))
     wins = lambda m: F.avg(F.when(F.col(m) + F.col("_noise") > F.col("_best"), 1.0).otherwise(0.0))
-    return own.join(best, [by, "draw"]).groupBy(by, "lane").agg(((wins("_is") - wins("_mean")) * 100).alias("gain"))
+    return own.join(shuffled(best), [by, "draw"]).groupBy(by, "lane").agg(((wins("_is") - wins("_mean")) * 100).alias("gain"))
