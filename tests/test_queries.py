@@ -104,3 +104,13 @@ def test_check_brief_reports_openers_no_fact_of_the_conversation_says(spark, tmp
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = QUERIES["check_brief"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(1, 1, 2, "number", "8", 1), (2, 1, 1, "name", "Saka", 1)}
+
+
+def test_winners_need_no_sort_and_losers_no_draw(spark, sf, tmp_path):
+    assert "SortAggregate" not in QUERIES["mc_p_best"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([(1, "A", None), (2, "A", None), (3, "B", None), (4, "B", 1.0)], "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    assert {tuple(r) for r in QUERIES["mc_p_best"](spark, str(tmp_path)).collect()} == {("A", 2, 1.0), ("B", 4, 1.0)}
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("a", 3, 2), (None, 4, 0)], "g string, k int, v int")
+    score = lambda draw: F.when((F.col("k") == 3) & (draw > 0), F.raise_error(F.lit("drawn")).cast("int")).otherwise(F.col("v"))
+    got = {r.k: r.p_best for r in metrics.p_best(df, "g", "k", score, 10, (F.col("v"), F.col("v") + 1)).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.0, 4: 1.0}

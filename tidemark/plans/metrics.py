@@ -142,19 +142,27 @@ def clip_to(x, low, high):
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
+NOISE = 200000
+
+
+def _noisy(spark, d):
+    """Customers' balances in cents, their noisy balance in a draw, which depends on keys alone, and what it is at least and at most."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", cents("c_acctbal").alias("b"))
+    noisy = lambda draw: F.col("b") + F.floor(hash_uniform(F.col("c_custkey"), draw) * NOISE)
+    return c, noisy, (F.col("b"), F.col("b") + NOISE)
+
+
 def mc_p_best(spark, d):
-    """How often each customer has its segment's best noisy balance in 40 draws; draws depend on keys alone."""
-    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", cents("c_acctbal").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("draw"))
-    noisy = c.withColumn("s", F.col("b") + F.floor(hash_uniform(F.col("c_custkey"), F.col("draw")) * 200000))
-    best = noisy.groupBy("c_mktsegment", "draw").agg(F.max(F.struct("s", "c_custkey")).alias("m"))
-    return best.groupBy("c_mktsegment", F.col("m.c_custkey").alias("c_custkey")).agg((F.count(F.lit(1)) / 40.0).alias("p_best"))
+    """How often each customer has its segment's best noisy balance in 40 draws; unknown ones are below all others."""
+    c, noisy, bounds = _noisy(spark, d)
+    known = lambda x: F.coalesce(x, F.lit(-(2**62)))
+    return M.last_best(c, "c_mktsegment", "c_custkey", lambda draw: known(noisy(draw)), 40, tuple(map(known, bounds)))
 
 
 def ladder_p_best(spark, d):
-    """How often each customer has its segment's best noisy balance, over the reference's 2000 draws; draws depend on keys alone."""
-    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", cents("c_acctbal").alias("b"))
-    noisy = lambda draw: F.col("b") + F.floor(hash_uniform(F.col("c_custkey"), draw) * 200000)
-    return M.p_best(c, "c_mktsegment", "c_custkey", noisy).select("c_mktsegment", "c_custkey", places("p_best", 8).alias("p_best"))
+    """How often each customer has its segment's best noisy balance, over the reference's 2000 draws."""
+    c, noisy, bounds = _noisy(spark, d)
+    return M.p_best(c, "c_mktsegment", "c_custkey", noisy, bounds=bounds).select("c_mktsegment", "c_custkey", places("p_best", 8).alias("p_best"))
 
 
 QUERIES = {f.__name__: f for f in (stratified_errors, reliability_bins, brier_logloss, cumulative_metrics, sigma_grouping_sets, empirical_cdf_by_type, weighted_ownership_se, share_of_group_max, first_change_latency, confusion_last_row, ols_slope, margin_sigma_fallback, softmax_threats, rule_table_score, convex_blend, availability_cascade, devig_normalise, poisson_tail, winsor_minmax, mc_p_best, ladder_p_best)}
