@@ -126,3 +126,12 @@ def test_lanes_meet_their_rivals_without_a_broadcast(spark):
     out = simulation.lane_gains(c, "league", "entry", F.col("entry") % 20 == 7, "mean", "sigma", {"captain": F.col("mean") + 1}, 100)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.league, r.lane) for r in out.collect()} == {(0, "captain"), (1, "captain")}
+
+
+def test_fields_and_leagues_stay_small(spark):
+    c = spark.range(60).selectExpr("floor(id / 20) squad", "id k", "id / 9 mean", "cast(id % 4 as double) sigma", "id % 5 / 5 owned", "id % 2 mine", "id % 3 / 4 e")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    field = simulation.field_rank(c, "squad", "k", "mean", "sigma", "owned", "mine", 20, 15)
+    assert plan(field).count("Generate") == 1 and field.count() == 3  # draws alone, not managers too
+    league = simulation.league(c, "squad", "k", "mean", "sigma", "e", 30)
+    assert plan(league).count("Exchange") == 1 and league.count() == 60  # entries alone are shuffled
