@@ -54,6 +54,7 @@ def mc_league(spark, d):
 def plan_scores(spark, d):
     """Mean and spread of plans (orders) over draws of their lines' points, the first line counted twice, four points off a returned line."""
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("k"), (F.round(F.col("l_discount") * 100) / 2).alias("mu"), (F.col("l_returnflag") == "R").cast("bigint").alias("hit"))
+    li = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # lines are shuffled, their draws stay with their order
     rows = S.drawn(li, F.col("mu"), F.sqrt(F.greatest(F.col("mu"), F.lit(0.0)) * 1.5), ["l_orderkey", "k"], 20)
     totals = rows.groupBy("l_orderkey", "draw").agg(F.sum(F.col("value") * F.when(F.col("k") == 1, 2).otherwise(1) - 4 * F.col("hit")).alias("total"))
     return totals.groupBy("l_orderkey").agg(places(F.avg("total"), 3).alias("mean"), places(F.stddev_pop("total"), 3).alias("spread"))
