@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
-from tidemark.operators import facts, joins, metrics, windows
+from tidemark.operators import facts, joins, metrics, ordered, windows
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
@@ -114,3 +114,16 @@ def test_winners_need_no_sort_and_losers_no_draw(spark, sf, tmp_path):
     score = lambda draw: F.when((F.col("k") == 3) & (draw > 0), F.raise_error(F.lit("drawn")).cast("int")).otherwise(F.col("v"))
     got = {r.k: r.p_best for r in metrics.p_best(df, "g", "k", score, 10, (F.col("v"), F.col("v") + 1)).collect()}
     assert got == {1: 0.5, 2: 0.5, 3: 0.0, 4: 1.0}
+
+
+def test_forward_fills_have_no_frame_to_the_end(spark):
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate([None, 3, None, None, 5, None])], "g string, k int, v int")
+    for own, want in ((True, [3, 3, 5, 5, 5, None]), (False, [3, 5, 5, 5, None, None])):
+        out = ordered.filled(df, ["g"], [F.col("k")], {"near": F.col("v")}, forward=True, own=own)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+        assert [r.near for r in out.orderBy("k").collect()] == want
+
+
+def test_draws_of_plans_stay_with_their_order(spark, sf):
+    assert QUERIES["plan_scores"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert "Exchange" in QUERIES["recentred_means"](spark, sf)._jdf.queryExecution().executedPlan().toString()  # dealt

@@ -156,6 +156,7 @@ def normalised_rates(spark, d):
 
 def recentred_means(spark, d):
     p = table(spark, d, "part").select("p_partkey", (cents("p_retailprice") / 30000.0 - 3).alias("ep"), (F.col("p_size") / 8.0 - 0.5).alias("sigma"))
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # forty steps a row, and a small file is few tasks
     return p.select("p_partkey", places(odds.recentred_mean(F.col("ep"), F.col("sigma"))).alias("mean"))
 
 
