@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators import resolution, sampling
@@ -135,3 +136,9 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert sampling.sample(df.where("false"), ["g"], ["id"], 25, 3).count() == 0
     slots = [tuple(r) for r in sampling.sampled_slots(df.select("id"), ["id"], "id", 100, 5, 50).collect()]
     assert len(set(slots)) == 100 and all((p - 1) * 50 + s == i for p, s, i in slots)
+
+
+def test_items_of_small_pages_share_a_batch():
+    pages = pa.record_batch([pa.array(range(900)), pa.array(["<ul><li>a<li>b</ul>"] * 450 + [None] * 449 + ["<li>c" * 6000])], names=["key", "page"])
+    got = list(P.item_batches([pages], ["li"], {}))
+    assert [b.num_rows for b in got] == [5000, 1900] and [got[0].column(0)[k].as_py() for k in (0, 1, 2, 900)] == [0, 0, 1, 899]

@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -133,25 +134,21 @@ def items(page: str, wanted: Sequence[str], headings: Mapping[str, int]) -> Iter
     yield from closed(1)
 
 
-def page_items(pages: DataFrame, key: str, page: str, wanted: Sequence[str] = ("li", "td", "p"), headings: Mapping[str, int] | None = None) -> DataFrame:
-    """(key, and the columns of SCHEMA): the items of each page in order, see items(). A null page has none; pages are read a row at a time, each in time linear in its length times its depth."""
-    levels = {f"h{k}": k for k in range(1, 7)} if headings is None else dict(headings)
+def item_batches(batches: Iterator[pa.RecordBatch], wanted: Sequence[str], headings: Mapping[str, int]) -> Iterator[pa.RecordBatch]:
+    """Batches (key, and the columns of SCHEMA) of up to 5000 items, of many pages or of a part of one, from batches (key, page)."""
     kinds = [("n", pa.int64()), ("tag", pa.string()), ("path", pa.list_(pa.string())), ("within", pa.string()), ("class", pa.string()), ("title", pa.string()), ("refs", pa.list_(pa.string())), ("text", pa.string())]
+    for batch in batches:
+        schema = pa.schema([(batch.schema.names[0], batch.column(0).type), *kinds])
+        found = ((key, *row) for key, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for row in items(page.as_py() or "", wanted, headings))
+        while rows := list(islice(found, 5000)):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0)
-            schema = pa.schema([(batch.schema.names[0], keys.type), *kinds])
-            for k in range(len(batch)):
-                found, more = items(batch.column(1)[k].as_py() or "", wanted, levels), True
-                while more:
-                    rows = [x for _, x in zip(range(5000), found)]
-                    more = len(rows) == 5000
-                    if rows:
-                        yield pa.record_batch([pa.array([keys[k].as_py()] * len(rows), keys.type), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True))], schema=schema)
 
+def page_items(pages: DataFrame, key: str, page: str, wanted: Sequence[str] = ("li", "td", "p"), headings: Mapping[str, int] | None = None) -> DataFrame:
+    """(key, and the columns of SCHEMA): the items of each page in order, see items(). A null page has none; pages are read a row at a time, each in time linear in its length times its depth."""
+    levels = {f"h{k}": k for k in range(1, 7)} if headings is None else dict(headings)
     rows = pages.select(F.col(key).alias("key"), F.col(page).alias("page"))
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("key", key)
+    return rows.mapInArrow(lambda batches: item_batches(batches, wanted, levels), f"key {rows.schema['key'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("key", key)
 
 
 def lineups(items_: DataFrame, key: str, slots: Mapping[str, str]) -> DataFrame:
