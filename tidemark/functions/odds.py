@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,21 +17,35 @@ MEANS = tuple(round(0.2 + 0.05 * i, 2) for i in range(77))
 BAND_Z, HAUL, BLANK = 0.6744897501960817, 10.0, 2.0
 
 
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x) with x worked out once, also where x is used in steps over arrays."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def shin_probabilities(implied: Column) -> Column:
-    """Array of 1 / price to probabilities by Shin's model; without an overround or with one price, each one's share."""
-    book = F.aggregate(implied, F.lit(0.0), lambda a, x: a + x)
-    root = lambda x, z: (F.sqrt(z * z + 4 * (1 - z) * x * x / book) - z) / (2 * (1 - z))
-    total = lambda z: F.aggregate(implied, F.lit(0.0), lambda a, x: a + root(x, z))
-
-    def halve(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        above = total(mid) > 1
-        return F.struct(F.when(above, mid).otherwise(state["lo"]).alias("lo"), F.when(above, state["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(MOST_Z).alias("hi"))
-    z = F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
-    solved = F.transform(F.array(z), lambda at: F.transform(implied, lambda x: root(x, at) / total(at)))[0]
-    return F.when((F.size(implied) < 2) | (book <= 1), F.transform(implied, lambda x: x / book)).otherwise(solved)
+    """Array of 1 / price to probabilities by Shin's model; without an overround or with one price, each one's share.
+
+    The book, and what a step has of z alone, are worked out once and not for each price.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def solved(book: Column) -> Column:
+        at = lambda z: F.struct(z.alias("z"), (z * z).alias("zz"), (4 * (1 - z)).alias("four"), (2 * (1 - z)).alias("two"))
+        root = lambda x, s: (F.sqrt(s["zz"] + s["four"] * x * x / book) - s["z"]) / s["two"]
+
+        def halve(state: Column, _: Column) -> Column:
+            def half(s: Column) -> Column:
+                above = F.aggregate(implied, F.lit(0.0), lambda a, x: a + root(x, s)) > 1
+                return F.when(above, F.struct(s["z"].alias("lo"), state["hi"].alias("hi"))).otherwise(F.struct(state["lo"].alias("lo"), s["z"].alias("hi")))
+
+            return _once(at((state["lo"] + state["hi"]) / 2), half)
+
+        start = F.struct(F.lit(0.0).alias("lo"), F.lit(MOST_Z).alias("hi"))
+        z = F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+        chances = _once(_once(z, at), lambda s: F.transform(implied, lambda x: root(x, s)))
+        return _once(chances, lambda c: _once(total(c), lambda all_: F.transform(c, lambda p: p / all_)))
+
+    return _once(total(implied), lambda book: F.when((F.size(implied) < 2) | (book <= 1), F.transform(implied, lambda x: x / book)).otherwise(solved(book)))
 
 
 def scoring_rate(price: Column) -> Column:
