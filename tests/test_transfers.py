@@ -138,3 +138,31 @@ def test_chips_go_where_they_gain_most(spark):
         assert sum(r.g for r in plan) == max(best, 0) and all(r.total == max(best, 0) and r.g == mine[r.s, r.c] > 0 for r in plan)
         assert len({r.s for r in plan}) == len({r.c for r in plan}) == len(plan)
         assert all(r.per_week == r.g / (slots[-1] - r.s + 1 if r.c == "b" else 1) for r in plan)
+
+
+def test_nobody_is_bought_and_sold_in_a_week(spark):
+    rows = made_up(random.Random(2), 1, ["FWD", "FWD"], 2)
+    rows = [(*r[:4], 50, 500 if i == 15 else 50, r[6], False, r[8]) for i, r in enumerate(rows)]  # one to buy whom a sale would bring ten times his cost
+    states = spark.createDataFrame([(1, 0, 2)], "squad long, bank long, free int")
+    (plan,) = selection.best_plans(spark.createDataFrame(rows, PLAYERS), states, "squad", Terms(weeks=1, club_limit=15)).collect()
+    told = [m.split(" ") for m in plan.moves]
+    assert not {c for _, side, c in told if side == "in"} & {c for _, side, c in told if side == "out"} and plan.bank <= 0
+
+
+def test_a_search_shuffles_boards_and_states_alone(spark):
+    rows = made_up(random.Random(4), 1, ["MID"], 3)
+    states = spark.createDataFrame([(1, 0, 2)], "squad long, bank long, free int")
+    plan = selection.best_plans(spark.createDataFrame(rows, PLAYERS), states, "squad", Terms(weeks=3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "BroadcastExchange" not in plan
+
+
+def test_sets_of_moves_that_cannot_win_are_not_built(spark):
+    """Two outsiders of no use and one of much: in the last week only the sets that bring in this one, and the empty one, are built."""
+    rows = made_up(random.Random(6), 1, ["DEF", "MID", "FWD"], 2)
+    rows = [(*r[:3], str(i), 50, 50, r[6], False, [0.0, 0.0] if i in (15, 16) else [9.0, 99.0] if i == 17 else [5.0 + i / 10] * 2) for i, r in enumerate(rows)]
+    board = selection.boards(spark.createDataFrame(rows, PLAYERS), "squad")
+    have = board.selectExpr("*", "0L AS bank", "0.0D AS value", "1 AS free").withColumn("have", selection.F.expr("filter(sequence(0, size(all) - 1), i -> all[i].owned)"))
+    t = Terms(weeks=2)
+    state = selection._bounded(have, 0, t).withColumn("best", selection.F.col("holds"))
+    built = selection._moved(state, t, True).select("come", "all").collect()
+    assert 0 < len(built) < selection._moved(state, t, False).count() / 1.5 and all(not r.come or 117 in [r["all"][i].code for i in r.come] for r in built)
