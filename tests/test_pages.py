@@ -142,3 +142,18 @@ def test_items_of_small_pages_share_a_batch():
     pages = pa.record_batch([pa.array(range(900)), pa.array(["<ul><li>a<li>b</ul>"] * 450 + [None] * 449 + ["<li>c" * 6000])], names=["key", "page"])
     got = list(P.item_batches([pages], ["li"], {}))
     assert [b.num_rows for b in got] == [5000, 1900] and [got[0].column(0)[k].as_py() for k in (0, 1, 2, 900)] == [0, 0, 1, 899]
+
+
+def test_text_without_references_stays_and_numbers_are_strict(spark):
+    texts = {"a\x01b": "a\x01b", "&#12ab; &#65 ; &#0000065; &#x0; &#X41; &": "&#12ab; &#65 ; &#0000065; &#x0; &#X41; &", "&#65;&#x42;&#233;&#x1F600;&amp;lt;": "ABé\U0001f600&lt;"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("u", P.unescaped(F.col("t")))
+    assert {r.t: r.u for r in df.collect()} == texts
+
+
+def test_scripts_with_escaped_backslashes_and_many_records(spark):
+    escaped = lambda s: s.replace("\\", "\\\\").replace("'", "\\'").replace('"', r"\x22")
+    rows = [[{"t": r"C:\\xyz it's"}], [{"t": r"a \"b\" \\ c"}], [{"t": "é" * 50}] * 3000]
+    pages = ["<script>var d = JSON.parse('" + escaped("[" + ",".join('{"t":"' + x["t"] + '"}' for x in r) + "]") + "');</script>" for r in rows]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, html string").withColumn("m", P.embedded_json(F.col("html"), "d", "array<struct<t: string>>"))
+    got = {r.k: [x.t for x in r.m] for r in df.collect()}
+    assert got == {0: [r"C:\xyz it's"], 1: ['a "b" \\ c'], 2: ["é" * 50] * 3000}

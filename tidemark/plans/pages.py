@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import cents, normalised_name
@@ -48,13 +49,23 @@ def injury_spells(spark, d):
 
 def embedded_matches(spark, d):
     """Matches from the scripts of a page an order, a match a line; every seventh page's payload is cut off."""
-    title = lambda *x: F.struct(F.concat(*x).alias("title"))
-    record = F.struct(F.concat_ws("-", "l_orderkey", "k").alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("datetime"), title(F.lit("N&#039;Golo "), "supp").alias("h"), title(F.lit('A &amp; "B" \\ '), "part", F.lit(" it's")).alias("a"), (F.col("l_linestatus") == "F").alias("isResult"))
-    json = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", record.alias("r")))), lambda x: x["r"]))
-    rows = _lines(spark, d).groupBy("l_orderkey").agg(json.alias("json"))
-    script = F.regexp_replace(F.regexp_replace(F.col("json"), r"\\", r"\\\\"), "'", r"\\'")
-    for char, code in (('"', "22"), ("[", "5B"), ("{", "7B"), ("}", "7D"), ("]", "5D")):
-        script = F.replace(script, F.lit(char), F.lit(rf"\x{code}"))
+
+    def told(text: str) -> Column:
+        """A constant part of the JSON as it stands in the script."""
+        text = text.replace("\\", r"\\").replace("'", r"\'")
+        for char, code in (('"', "22"), ("[", "5B"), ("{", "7B"), ("}", "7D"), ("]", "5D")):
+            text = text.replace(char, rf"\x{code}")
+        return F.lit(text)
+
+    field = lambda before, value, after: F.coalesce(F.concat(told(before), value, told(after)), F.lit(""))
+    record = lambda r: F.concat(
+        told('{"id":"'), F.concat_ws("-", "l_orderkey", r["k"]), told('"'), field(',"datetime":"', F.date_format(r["l_shipdate"], "yyyy-MM-dd HH:mm:ss"), '"'), told(',"h":{'), field('"title":"N&#039;Golo ', r["supp"].cast("string"), '"'),
+        told('},"a":{'), field('"title":"A &amp; \\"B\\" \\\\ ', r["part"].cast("string"), ' it\'s"'), told("}"), field(',"isResult":', (r["l_linestatus"] == "F").cast("string"), ""), told("}"),
+    )
+    line = F.struct("k", "l_shipdate", "supp", "part", "l_linestatus")
+    rows = _lines(spark, d).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    rows = rows.withColumn("script", F.concat(told("["), F.array_join(F.transform("lines", record), ","), told("]")))
+    script = F.col("script")
     script = F.when(F.col("l_orderkey") % 7 == 0, F.substring(script, F.lit(1), F.length(script) - 9)).otherwise(script)
     pages = rows.select("l_orderkey", F.concat(F.lit("<html><script>var other = 1; var datesData = JSON.parse('"), script, F.lit("');</script></html>")).alias("html"))
     shape = "array<struct<id: string, datetime: string, h: struct<title: string>, a: struct<title: string>, isResult: boolean>>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -180,20 +180,30 @@ def spells(items_: DataFrame, key: str, columns: int = 6) -> DataFrame:
     return out.where("days is not null and lower(season) <> 'season'")
 
 
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x) with x worked out once."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def unescaped(text: Column) -> Column:
     """HTML character references undone: numbers of up to six digits, and amp, lt, gt, quot, apos, nbsp (as a blank)."""
     named = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
     parts = F.split(F.regexp_replace(text, rf"(&#x?[0-9a-fA-F]{{1,6}};|&(?:{'|'.join(named)});)", "\x01$1\x01"), "\x01")
     known = F.create_map(*[F.lit(v) for k, c in named.items() for v in (f"&{k};", c)])
 
-    def one(x: Column) -> Column:
-        number = F.regexp_extract(x, r"^&#(x?)([0-9a-fA-F]{1,6});$", 2)
-        is_hex = F.regexp_extract(x, r"^&#(x?)([0-9a-fA-F]{1,6});$", 1) == "x"
-        point = F.when(is_hex, F.conv(number, 16, 10)).otherwise(F.when(number.rlike("^[0-9]+$"), number)).cast("int")
+    def char(point: Column, x: Column) -> Column:
         valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.coalesce(F.try_element_at(known, x), x))
+        far = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.when(point.between(1, 127), F.char(point.cast("bigint"))).when(valid, far).otherwise(x)
+
+    def one(x: Column) -> Column:
+        # a branch is worked out only where those before it don't hold, so most parts cost a comparison or two
+        number = lambda skip: F.substring(x, F.lit(skip + 1), F.length(x) - skip - 1)
+        point = F.when(x.startswith("&#x"), F.conv(number(3), 16, 10)).otherwise(number(2)).try_cast("int")
+        numeric = x.startswith("&#") & x.rlike("^&#x?[0-9a-fA-F]{1,6};$")
+        return F.when(~x.startswith("&"), x).when(numeric, _once(point, lambda p: char(p, x))).otherwise(F.coalesce(F.try_element_at(known, x), x))
 
-    return F.array_join(F.transform(parts, one), "")
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def embedded_json(page: Column, variable: str, schema: str) -> Column:
@@ -201,8 +211,10 @@ def embedded_json(page: Column, variable: str, schema: str) -> Column:
 
     The argument is a JavaScript string: its hexadecimal escapes become JSON's, quotes and raw tabs are escaped, and JSON's own reader undoes them.
     """
-    found = F.regexp_extract(page, rf"\b{variable}\s*=\s*JSON\.parse\(\s*'((?:[^'\\]|\\.)*+)'\s*\)", 1)
-    quoted = F.regexp_replace(F.regexp_replace(found, r"\\x([0-9a-fA-F]{2})", r"\\u00$1"), r"\\'", "'")
-    quoted = F.replace(F.regexp_replace(quoted, r'(?<!\\)((?:\\\\)*)"', r'$1\\"'), F.lit("\t"), F.lit("\\t"))
+    found = F.regexp_extract(page, rf"\b{variable}\s*=\s*JSON\.parse\(\s*'([^'\\]*+(?:\\.[^'\\]*+)*+)'\s*\)", 1)
+    # patterns are left to what plain replacement wouldn't get right: an x after an escaped backslash that is no number, and raw quotes
+    escapes = lambda x: F.when(x.contains(r"\\x") & x.rlike(r"\\\\x(?![0-9a-fA-F]{2})"), F.regexp_replace(x, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")).otherwise(F.replace(x, F.lit(r"\x"), F.lit(r"\u00")))
+    quotes = lambda x: F.when(x.contains('"'), F.regexp_replace(x, r'(?<!\\)((?:\\\\)*)"', r'$1\\"')).otherwise(x)
+    quoted = F.replace(_once(F.replace(_once(found, escapes), F.lit(r"\'"), F.lit("'")), quotes), F.lit("\t"), F.lit("\\t"))
     text = F.get(F.from_json(F.concat(F.lit('["'), quoted, F.lit('"]')), "array<string>"), F.lit(0))
-    return F.from_json(F.nullif(text, F.lit("")), schema, {"mode": "PERMISSIVE"})
+    return F.from_json(_once(text, lambda x: F.nullif(x, F.lit(""))), schema, {"mode": "PERMISSIVE"})
