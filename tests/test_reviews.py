@@ -135,3 +135,10 @@ def test_fields_and_leagues_stay_small(spark):
     assert plan(field).count("Generate") == 1 and field.count() == 3  # draws alone, not managers too
     league = simulation.league(c, "squad", "k", "mean", "sigma", "e", 30)
     assert plan(league).count("Exchange") == 1 and league.count() == 60  # entries alone are shuffled
+
+
+def test_draws_of_a_ladder_are_compiled(spark, sf):
+    from tidemark.plans import reviews as queries
+
+    plan = queries.ladder_walk(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "transform(sequence(0, 19" not in plan.lower() and "transform([0,1,2" not in plan.lower()
