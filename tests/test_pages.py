@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.operators import resolution, sampling
 from tidemark.sources import pages as P
 
@@ -157,3 +158,46 @@ def test_scripts_with_escaped_backslashes_and_many_records(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "k int, html string").withColumn("m", P.embedded_json(F.col("html"), "d", "array<struct<t: string>>"))
     got = {r.k: [x.t for x in r.m] for r in df.collect()}
     assert got == {0: [r"C:\xyz it's"], 1: ['a "b" \\ c'], 2: ["é" * 50] * 3000}
+
+
+def plain_row(*cells):
+    return "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+
+
+def test_plain_rows_are_read_at_once():
+    page = f"<div class='x'><table>{plain_row('a', '<b>b</b> &eacute;')}\n{plain_row('c')}<tr><td class='y'>d</td></tr>{plain_row() * 2500}</table></div>"
+    kinds = [k for k, _, _ in P.tokens(page, lambda: True)]
+    assert kinds.count("rows") == 4 and len(kinds) == 4 + 4 + 5  # tags around, and the row with an attribute
+    assert [(n, within, text) for n, _, _, within, _, _, _, text in P.items(page, ["td"], {})] == [(0, "x", "a"), (1, "x", "b é"), (2, "x", "c"), (3, "x", "d")]
+    assert list(P.cells(page)) == ["a", "b é", "c", "d"]
+
+
+def test_plain_rows_read_as_the_fold_reads_them(monkeypatch):
+    rng = random.Random(4)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<td class='y'>", " &lt; x", "<b>", "</b>", "<h2>", "</h2>", "<li>", "</li>", "<p>", "<ul>", "<a href=v>", "</a>", "<br>", "<!-- c -->", "< 5"]
+    row = lambda: plain_row(*rng.choices(["", "a  b", "x&nbsp;", "<b>T</b> é", "1<i> 2</i>3<em></em>"], k=rng.randint(0, 3)))
+    pages = ["".join(row() if rng.random() < 0.5 else rng.choice(bits) for _ in range(rng.randint(1, 16)))[: rng.choice([None, 60])] for _ in range(1500)]
+    pages += ["<table>" + p for p in pages]
+    cases = [(["td"], {}), (["li", "td", "p"], LEVELS), (["td", "tr"], {}), (["td", "b"], {"h2": 2}), (["td"], {"td": 3}), (["td"], {"b": 1}), (["td"], {".y": 1})]
+    read_all = lambda: [[list(P.items(p, *case)) for case in cases] + [list(P.cells(p))] for p in pages]
+    fast = read_all()
+    monkeypatch.setattr(P, "ROWS", P.re.compile("(?!)"))
+    assert fast == read_all()
+
+
+def test_spells_of_pages_are_those_of_their_cells_without_a_shuffle(spark):
+    row = plain_row
+    good = row("23/24", "Knee&nbsp;<i>Injury</i>", "a", "b", "31 days", "5 of 6") + row("22/23", "Flu", "a", "b", "?", "1") + row("21/22", "Cold", "a", "b", "1 day", "-") + row("", "", "", "", "007days", "")
+    head = row("Season", "Injury", "a", "b", "9 days", "g")
+    pages = [f"<table>{head}{good}</table>", f"<h1>x</h1><table class='t'><tbody>{good}</tbody></table>", good.replace("<td>", "<td class='c'>"), f"<li>{good}</li>", f"<table>{good}</b>{good}", f"<table>{good}<tr><td>20/21<td>Cut<td>a<td>b<td>8 days", f"<table>{good}<tr><td>19/20<td>Cut", "none", "", None, f"<table>{good * 900}</table>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    found, cells = P.page_spells(df, "id", "html"), P.spells(P.page_items(df, "id", "html", ["td"]), "id")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert found.schema.simpleString() == cells.schema.simpleString() and rows(found) == rows(cells)
+    assert (0, "23/24", "knee injury", 31.0, 56.0) in rows(found) and (5, "20/21", "cut", 8.0, 0.0) in rows(found) and len(rows(found)) == 3 * 907 + 1
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_injury_spells_shuffle_only_lines(spark, sf):
+    plan = plans.queries()["injury_spells"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == plan.count("Exchange ") == 1

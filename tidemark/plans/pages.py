@@ -39,12 +39,13 @@ def lineup_rows(spark, d):
 
 def injury_spells(spark, d):
     """Spells from a table an order, a row a line; the fourth line's length can't be read."""
-    cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
-    length = F.when(F.col("k") == 4, F.lit("-")).otherwise(F.concat("q", F.when(F.col("q") == 1, " day").otherwise(" days")))
-    row = F.concat(F.lit("<tr>"), cell("yr"), cell(F.lit("<b>Type</b> "), "l_returnflag", F.lit(" &eacute;")), cell(F.lit("a")), cell(F.lit("b")), cell(length), cell("k", F.lit(" games")), F.lit("</tr>"))
+    length = lambda r: F.when(r["k"] == 4, F.lit("-")).otherwise(F.concat(r["q"], F.when(r["q"] == 1, " day").otherwise(" days")))
+    row = lambda r: F.concat(F.lit("<tr><td>"), r["yr"], F.lit("</td><td><b>Type</b> "), r["l_returnflag"], F.lit(" &eacute;</td><td>a</td><td>b</td><td>"), length(r), F.lit("</td><td>"), r["k"], F.lit(" games</td></tr>"))
     head = F.lit("<table><tr>" + "".join(f"<td>{c}</td>" for c in ("Season", "Injury", "from", "until", "Days", "Games")) + "</tr>")
-    pages = _lines(spark, d).groupBy("l_orderkey").agg(F.concat(head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("r")))), lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
-    return P.spells(P.page_items(pages, "l_orderkey", "html", ["td"]), "l_orderkey")
+    lines = _lines(spark, d).select("l_orderkey", "k", "yr", "l_returnflag", "q").repartition("l_orderkey")  # their numbers are shuffled, not their lists
+    rows = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("k", "yr", "l_returnflag", "q"))).alias("lines"))
+    pages = rows.select("l_orderkey", F.concat(head, F.array_join(F.transform("lines", row), ""), F.lit("</table>")).alias("html"))
+    return P.page_spells(pages, "l_orderkey", "html")
 
 
 def embedded_matches(spark, d):
